@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Arrow schema strings and Spark use the same names for these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,8 +51,6 @@ def running_offsets(counts: DataFrame, keys: list[str], bucket: str, n: str, coa
     Buckets are summed in runs of ``coarse`` first, so that no task sorts all of
     them: a run's buckets meet in one task, then the runs' totals do.
     """
-    from pyspark.sql import Window as W
-
     runs = counts.withColumn("_run", F.floor(F.col(bucket) / coarse))
     inner = W.partitionBy(*keys, "_run").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
@@ -60,3 +60,33 @@ def running_offsets(counts: DataFrame, keys: list[str], bucket: str, n: str, coa
     same = [fine[k].eqNullSafe(totals[k]) for k in keys] + [fine["_run"] == totals["_run"]]
     joined = fine.join(totals, same)
     return joined.select(*[fine[k] for k in keys], fine[bucket], (F.col("_within") + F.col("_base")).alias("before"))
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
+    """``out``: 1-based place of each row per ``keys``, in order of (bucket, order)."""
+    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_offsets(counts, keys, bucket, "_n").select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col(bucket).alias("_b"), "before"
+    )
+    within = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(bucket) == F.col("_b")]
+    numbered = df.withColumn("_within", within).join(before, same)
+    return numbered.withColumn(out, F.col("_within") + F.col("before")).drop("_within", "_b", "before", *[f"_{k}" for k in keys])
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the checkpoint folder and read it back.
+
+    For what is wide or long: compressed and columnar where ``cut`` is neither.
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)

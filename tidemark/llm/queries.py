@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, media, sharding, simhash
+from . import kdtree, media, packing, sharding, simhash, suffix_dedup
 from .common import documents
 
 SHARDS = 24
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), digest_only=True)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text(documents(spark, sf_dir))
 
@@ -40,6 +45,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 ORACLES: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (
@@ -60,7 +69,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op7_simhash, op8_top_k, op9_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_media_columns, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

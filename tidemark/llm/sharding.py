@@ -12,28 +12,15 @@ add up the counts of earlier buckets, and number rows within a bucket only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import buckets_for, cut, running_offsets
+from .common import buckets_for, cut, numbered
 
 BUCKET_ROWS = 2000
 SEED = "interleave-1"
 
 
-def _numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
-    """``out``: 1-based place of each row per ``keys``, in order of (bucket, order)."""
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = running_offsets(counts, keys, bucket, "_n").select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col(bucket).alias("_b"), "before"
-    )
-    within = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(bucket) == F.col("_b")]
-    numbered = df.withColumn("_within", within).join(before, same)
-    return numbered.withColumn(out, F.col("_within") + F.col("before")).drop("_within", "_b", "before", *[f"_{k}" for k in keys])
-
-
 def interleave(rows: DataFrame, shards: int, key: str = "id", source: str = "source", seed: str = SEED) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each).
 
@@ -50,15 +37,14 @@ def interleave(rows: DataFrame, shards: int, key: str = "id", source: str = "sou
             "_bucket", F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32))
         )
     )
-    ranked = _numbered(marked, [source], "_bucket", [F.col("_digest"), *ties], "_rank").drop("_bucket")
+    ranked = numbered(marked, [source], "_bucket", [F.col("_digest"), *ties], "_rank").drop("_bucket")
     sizes = rows.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_size"))
     placed = ranked.join(sizes, F.col(source).eqNullSafe(F.col("_source"))).withColumn(
         "_fraction", (F.col("_rank") - 0.5) / F.col("_size")
     )
     placed = cut(placed.withColumn("_step", F.floor(F.col("_fraction") * buckets)).drop("_source"))
     order = [F.col("_fraction"), F.col(source).asc_nulls_first(), F.col("_digest"), *ties]
-    sorted_rows = _numbered(placed, [], "_step", order, "_place")
-    shard = F.floor((F.col("_place") - 1) * shards / F.lit(max(total, 1)))
+    sorted_rows = numbered(placed, [], "_step", order, "_place")
     shard = F.expr(f"cast((_place - 1) * {shards} div {max(total, 1)} as int)")
     start = F.expr(f"({'_shard'} * {max(total, 1)}L + {shards - 1}) div {shards}")
     out = sorted_rows.withColumn("_shard", shard).withColumn("slot", F.col("_place") - 1 - start)
