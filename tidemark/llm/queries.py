@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, media, packing, sharding, simhash, suffix_dedup
+from . import kdtree, media, packing, quality, sharding, simhash, suffix_dedup
 from .common import documents
 
 SHARDS = 24
@@ -22,6 +22,15 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (quality.fold_of() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     print16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -69,7 +78,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_media_columns, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_media_columns, op5_quality, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
