@@ -16,6 +16,7 @@ match cannot start inside a run whose start has failed.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,6 +94,10 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str) -> Callable[[Column], Column]:
+    return lambda s: _valid(kind, s["match"])
+
+
 def proposals(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``texts`` with ``_text`` and an array of located spans ``_<kind>`` for each kind."""
     out = texts.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
@@ -104,7 +109,7 @@ def proposals(texts: DataFrame, text_col: str = "text") -> DataFrame:
         guard = F.col("_digit") if needs == "[0-9]" else F.col("_text").rlike(needs)
         out = _proposed(out, kind, pattern, guard)
     for kind in BASE:
-        out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda s, k=kind: _valid(k, s["match"])))
+        out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _checked(kind)))
     return out.drop("_digit")
 
 
@@ -198,11 +203,13 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> Chooser:
     """Trees and thresholds from ``n`` generated examples, read by the expressions used on the corpus."""
     made = spark.createDataFrame(examples(n), "text string, a int, b int, personal int")
     wide = proposals(made)
-    rows = []
-    for kind in GENERATORS:
-        s = F.col("s")
-        one = wide.select("a", "b", "personal", F.explode(f"_{kind}").alias("s"))
-        rows += one.select(F.lit(kind), "personal", "a", "b", "s.start", "s.end", *features(kind, s)).collect()
+
+    def measured(kind: str) -> Column:
+        form = lambda s: F.array(*features(kind, s)).alias("f")
+        return F.transform(f"_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), form(s)))
+
+    every = wide.select("personal", "a", "b", F.explode(F.concat(*[measured(k) for k in GENERATORS])).alias("s"))
+    rows = [(r.s.kind, r.personal, r.a, r.b, r.s.start, r.s.end, *r.s.f) for r in every.collect()]  # a few for each example
     rows.sort(key=lambda x: tuple(map(str, x)))
     x = np.array([r[6:] for r in rows], float)
     y = np.array([r[1] == 1 and r[4] >= r[2] - 1 and r[5] <= r[3] + 1 and (r[5] - r[4]) * 2 >= r[3] - r[2] for r in rows])
@@ -230,23 +237,21 @@ def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame
     wide = proposals(docs, text_col)
 
     def plain(kind: str, s: Column, score: Column) -> Column:
-        order = KINDS.index(kind)
-        return F.struct(F.lit(order).alias("o"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        order = F.lit(KINDS.index(kind)).alias("o")
+        return F.struct(order, s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    base = F.concat(*[F.transform(f"_{k}", lambda s, k=k: plain(k, s, F.lit(1.0))) for k in BASE])
-    chosen = []
-    for kind in GENERATORS:
+    def sure(kind: str) -> Column:
+        return F.transform(f"_{kind}", lambda s: plain(kind, s, F.lit(1.0)))
 
-        def scored(s: Column, kind: str = kind) -> Column:
-            form = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(features(kind, s))])
-            return F.struct(s.alias("s"), form.alias("f"))
+    def chosen(kind: str) -> Column:
+        # Form first, then the trees: each feature is computed once.
+        form = lambda s: F.struct(*[c.alias(f"f{i}") for i, c in enumerate(features(kind, s))]).alias("f")
+        measured = F.transform(f"_{kind}", lambda s: F.struct(s.alias("s"), form(s)))
+        score = lambda c: chooser.model.column([c["f"][f"f{i}"] for i in range(len(FEATURES))])
+        return F.filter(F.transform(measured, lambda c: plain(kind, c["s"], score(c))), lambda c: c["score"] >= chooser.thresholds[kind])
 
-        measured = F.transform(f"_{kind}", scored)
-        marked = F.transform(
-            measured, lambda c, kind=kind: plain(kind, c["s"], chooser.model.column([c["f"][f"f{i}"] for i in range(len(FEATURES))]))
-        )
-        chosen.append(F.filter(marked, lambda c, kind=kind: c["score"] >= chooser.thresholds[kind]))
-    wide = wide.withColumn("_base", base).withColumn("_chosen", F.concat(*chosen))
+    base = F.concat(*[sure(k) for k in BASE])
+    wide = wide.withColumn("_base", base).withColumn("_chosen", F.concat(*[chosen(k) for k in GENERATORS]))
 
     def overlap(a: Column, b: Column) -> Column:
         return (a["start"] < b["end"]) & (b["start"] < a["end"])

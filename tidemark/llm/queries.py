@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, licenses, media, packing, pii, quality, sharding, simhash, suffix_dedup
+from . import kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
 from .common import documents
 
 SHARDS = 24
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     print16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -90,7 +94,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
