@@ -1,22 +1,23 @@
 """Removal of repeated passages by bucket refinement over suffixes.
 
 A byte goes if some string of ``length`` bytes that covers it also starts
-anywhere else. Suffixes are put in buckets by a q-gram and buckets are refined by
-the identifiers of the buckets that later offsets are in, so that a bucket at
-depth d and one at d bytes later give one at depth 2d, up to ``length``. Buckets
-of one suffix are dropped at once. Identifiers are hashes of the bucket's string:
-tasks agree on them without a global sort.
-
-Not every suffix enters the first sort. Of the q-grams of a window of ``length``
-bytes the least one (by hash, then place) is its anchor; equal windows have equal
-anchors at equal places, so only anchors, one in about 130 bytes, are shuffled:
-
-1. q-gram buckets of anchors; those of one anchor end here.
-2. An anchor owns a run of windows. Where a whole run, as a string, is in the
-   bucket twice, all its windows are repeats.
-3. The remaining runs (one of each) fetch their bytes, and their suffixes are
-   refined to full depth: within a task for buckets of ordinary size, by counts
-   of full-depth identifiers over all tasks for buckets of very many runs.
+anywhere else. Suffixes are put in buckets by a q-gram, and buckets are refined by
+the identifiers of deeper buckets at later offsets until they are ``length`` bytes
+deep; what one level settles is not looked at by the next. Identifiers are hashes
+of the bucket's string: tasks agree on them without a global sort.
+
+Not every suffix enters a sort. Of the q-grams of a window of ``length`` bytes the
+least one (by hash, then place) is its anchor; equal windows have equal anchors at
+equal places, so only anchors are shuffled, one in about 130 bytes at first. An
+anchor owns a run of windows. At each depth
+
+1. buckets of one anchor end;
+2. a run that, as a string, is in its bucket twice is a repeat as a whole;
+3. one of each other run fetches its bytes and goes to the next depth, where the
+   later offsets of its suffixes give more anchors with shorter runs.
+
+At the last depth a run is a single window. Only runs at the borders of repeats
+get there.
 """
 
 from __future__ import annotations
@@ -29,19 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import Rolling, mix
+from .bytehash import Rolling
 from .common import table
 
 LENGTH = 400
-Q = 128
-#: Runs in a bucket from which on its suffixes are counted over all tasks.
-WIDE_BUCKET = 256
+#: Bytes of a bucket's string at each level; the last level is the whole length.
+DEPTHS = (128, 336)
 #: Of a ranked q-gram's 64 bits: its place in the text, below its hash.
 PLACE_BITS = 24
 WORK = "array<struct<gram: bigint, wide: boolean, lo: int, hi: int>>"
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, length: int = LENGTH, q: int = DEPTHS[0]) -> tuple[np.ndarray, ...]:
     """(gram, run, lo, hi) of each anchor: its bucket, the hash of the string its windows cover, and the first and last of their starts."""
     n = len(data) - length + 1
     if n <= 0:
@@ -65,154 +65,89 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndar
     return grams[place[lo].astype(np.int64)].view(np.int64), rolling.of(lo, hi + length).view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
 
 
-def refine(data: np.ndarray, length: int = LENGTH, q: int = Q) -> np.ndarray:
-    """Identifiers at depth ``length`` of all suffixes that reach it."""
-    ids, depth = Rolling(data).grams(q), q
-    while depth < length:
-        step = min(depth, length - depth)
-        ids = mix(ids[:-step] * np.uint64(0x9E3779B97F4A7C15) + ids[step:])
-        depth += step
-    return ids
-
-
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
     for value in column.cast(pa.binary()):
         yield np.frombuffer(value.as_py() or b"", np.uint8)
 
 
-def _anchor_rows(docs: DataFrame, length: int, q: int) -> DataFrame:
+def _anchor_rows(texts: DataFrame, length: int, q: int) -> DataFrame:
+    """Anchors of (doc, print, base, data) rows; places count from the start of the document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(d, length, q) for d in _bytes(batch.column(2))]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            cols = [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)] if found else []
-            if cols:
-                names = ["gram", "run", "lo", "hi", "doc", "print"]
-                yield pa.RecordBatch.from_arrays([*cols, batch.column(0).take(owner), batch.column(1).take(owner)], names)
-
-    return docs.mapInArrow(run, "gram bigint, run bigint, lo int, hi int, doc bigint, print bigint")
-
-
-def _run_bytes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "wide", "doc", "print", "lo", "data"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for batch in batches:
-        rows = []
-        for doc, mark, text, work in zip(*(batch.column(i) for i in range(4))):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            for w in work.as_py():
-                rows.append((w["gram"], w["wide"], doc.as_py(), mark.as_py(), w["lo"], raw[w["lo"] : w["hi"] + length]))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def _suffixes(data: pa.Array, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start within the row, identifier) of every window of the runs of a batch."""
-    parts = list(_bytes(data))
-    ids = refine(np.concatenate(parts), length, q)
-    sizes = np.array([len(p) for p in parts])
-    windows = sizes - length + 1
-    row = np.repeat(np.arange(len(parts)), windows)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return row, start, ids[np.repeat(np.cumsum(sizes) - sizes, windows) + start]
-
-
-def _narrow(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows within buckets; rows come sorted by bucket, and no bucket is wide."""
-
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        part = rows.combine_chunks().to_batches()[0]
-        row, start, ids = _suffixes(part.column(part.schema.get_field_index("data")), length, q)
-        order = np.argsort(ids, kind="stable")
-        same = ids[order[1:]] == ids[order[:-1]]
-        hit = np.zeros(len(ids), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        at = np.flatnonzero(hit)
-        first = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0)]) if len(at) else np.zeros(0, bool)
-        begin = np.flatnonzero(first)
-        end = np.concatenate([begin[1:], [len(at)]]) - 1
-        a, b = at[begin], at[end] if len(begin) else at
-        owner = pa.array(row[a])
-        base = part.column(part.schema.get_field_index("lo")).to_numpy()[row[a]]
-        cols = [part.column(part.schema.get_field_index(c)).take(owner) for c in ("doc", "print")]
-        return pa.RecordBatch.from_arrays(
-            [*cols, pa.array((base + start[a]).astype(np.int32)), pa.array((base + start[b]).astype(np.int32))], ["doc", "print", "lo", "hi"]
-        )
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
-        if last == 0 and held and held[-1].column(0)[-1].as_py() == keys[-1]:
-            held.append(batch)
-            continue
-        ready = [*held, batch.slice(0, last)]
-        if sum(b.num_rows for b in ready):
-            yield found(pa.Table.from_batches(ready))
-        held = [batch.slice(last)]
-    if held:
-        yield found(pa.Table.from_batches(held))
-
-
-def _wide(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            row, start, ids = _suffixes(part.column(5), length, q)
-            owner = pa.array(row)
-            place = (part.column(4).to_numpy()[row] + start).astype(np.int32)
-            cols = [part.column(i).take(owner) for i in (0, 2, 3)]
-            yield pa.RecordBatch.from_arrays([cols[0], pa.array(ids.view(np.int64)), cols[1], cols[2], pa.array(place)], ["gram", "id", "doc", "print", "lo"])
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(doc, print, windows): for (doc, print, text) rows, the runs of window starts that repeat.
-
-    ``print`` is a digest of the text: rows that share an id but not a text are
-    kept apart; rows equal in both have equal results.
+            found = [anchors(d, length, q) for d in _bytes(batch.column(3))]
+            if not found:
+                continue
+            counts = [len(f[0]) for f in found]
+            owner = pa.array(np.repeat(np.arange(len(found)), counts))
+            gram, bucket, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
+            base = np.repeat(batch.column(2).to_numpy(), counts)
+            cols = [pa.array(gram), pa.array(bucket), batch.column(0).take(owner), batch.column(1).take(owner)]
+            cols += [pa.array(x.astype(np.int32)) for x in (base, base + lo, base + hi)]
+            yield pa.RecordBatch.from_arrays(cols, ["gram", "run", "doc", "print", "base", "lo", "hi"])
+
+    kind = "gram bigint, run bigint, doc bigint, print bigint, base int, lo int, hi int"
+    return texts.select("doc", "print", "base", "data").mapInArrow(run, kind)
+
+
+def _level(texts: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets at depth ``q``: (runs of windows found to repeat, one of each run that is left).
+
+    A bucket of one anchor is dropped. A run whose whole string is in its bucket
+    twice repeats as a whole. Both follow from counts and minima with map-side
+    combine, so a bucket of any size is never gathered.
     """
-    rows = _anchor_rows(docs, length, q)
+    rows = _anchor_rows(texts, length, q)
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
-    shared = grams.where("n > 1").select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many"))
-    met = table(rows.join(shared, rows["gram"] == shared["_gram"]).select("gram", "run", "lo", "hi", "doc", "print", "many"))
-    whole = met.where("not many").select("doc", "print", "lo", "hi")
-
+    # Written first, so that the join below has plain exchanges on both sides and hot buckets are split.
+    shared = table(grams.where("n > 1").select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many")))
+    met = table(rows.join(shared, rows["gram"] == shared["_gram"]).drop("_gram"))
     several = met.where("many")
     runs = table(
-        several.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "lo", "hi")).alias("one"))
+        several.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "base", "lo", "hi")).alias("one"))
     )
     copied = runs.where("n > 1").select(F.col("gram").alias("_gram"), F.col("run").alias("_run"))
     copies = several.join(copied, (several["gram"] == copied["_gram"]) & (several["run"] == copied["_run"]))
+    whole = met.where("not many").select("doc", "print", "lo", "hi").unionByName(copies.select("doc", "print", "lo", "hi"))
+    return whole, runs.select("one.*")
 
-    sizes = runs.groupBy(F.col("gram").alias("_gram")).agg((F.count(F.lit(1)) > WIDE_BUCKET).alias("wide"))
-    ones = runs.join(sizes, runs["gram"] == sizes["_gram"])
-    work = ones.groupBy(F.col("one.doc").alias("_doc"), F.col("one.print").alias("_print")).agg(
-        F.collect_list(F.struct("gram", "wide", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("work")
-    )
-    fetched = docs.join(work, docs["doc"].eqNullSafe(work["_doc"]) & (docs["print"] == work["_print"]))
-    kind = "gram bigint, wide boolean, doc bigint, print bigint, lo int, data binary"
-    data = table(fetched.select("doc", "print", "text", "work").mapInArrow(lambda b: _run_bytes(b, length), kind))
-
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = (
-        data.where("not wide").select("gram", "doc", "print", "lo", "data")
-        .repartition(width, "gram").sortWithinPartitions("gram")
-        .mapInArrow(lambda b: _narrow(b, length, q), "doc bigint, print bigint, lo int, hi int")
-    )
-    wide = data.where("wide").mapInArrow(lambda b: _wide(b, length, q), "gram bigint, id bigint, doc bigint, print bigint, lo int")
-    often = wide.groupBy(F.col("gram").alias("_gram"), F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = wide.join(often, (wide["gram"] == often["_gram"]) & (wide["id"] == often["_id"]))
-    found = (
-        whole.unionByName(copies.select("doc", "print", "lo", "hi"))
-        .unionByName(narrow)
-        .unionByName(counted.select("doc", "print", "lo", F.col("lo").alias("hi")))
-    )
+
+def _fetch(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
+    """The bytes that the windows of each run cover, as rows for the next level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "print", "base", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            rows = []
+            for doc, mark, base, data, spans in zip(*batch.columns):
+                raw, start = data.as_py(), base.as_py()
+                for s in spans.as_py():
+                    rows.append((doc.as_py(), mark.as_py(), s["lo"], raw[s["lo"] - start : s["hi"] - start + length]))
+                    if len(rows) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    spans = left.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc", "print", "base")]).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    same = texts["doc"].eqNullSafe(spans["_doc"]) & (texts["print"] == spans["_print"]) & (texts["base"] == spans["_base"])
+    joined = texts.join(spans, same).select("doc", "print", "base", "data", "spans")
+    return table(joined.mapInArrow(run, "doc bigint, print bigint, base int, data binary"))
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(doc, print, windows): for (doc, print, text) rows, the runs of window starts that repeat.
+
+    ``print`` is a digest of the text: rows that share an id but not a text are
+    kept apart; rows equal in both have equal results.
+    """
+    texts = docs.select("doc", "print", F.lit(0).alias("base"), F.col("text").cast("binary").alias("data"))
+    found, left = _level(texts, length, depths[0])
+    for q in [*depths[1:], length]:
+        texts = _fetch(texts, left, length)
+        more, left = _level(texts, length, q)
+        found = found.unionByName(more)
     return found.groupBy("doc", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
 
 
@@ -234,7 +169,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, extra: list[Column]) ->
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, digest_only: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, depths: tuple[int, ...] = DEPTHS, digest_only: bool = False
 ) -> DataFrame:
     """``docs`` without repeated passages, or with ``digest_only`` what was removed.
 
@@ -245,7 +180,7 @@ def remove_repeats(
     still are valid UTF-8. Other columns stay as they are.
     """
     plain = _marked(docs, id_col, text_col, [])
-    windows = repeated_windows(plain, length, q)
+    windows = repeated_windows(plain, length, depths)
     windows = windows.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "windows")
     others = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     rows = plain if digest_only else _marked(docs, id_col, text_col, others)
