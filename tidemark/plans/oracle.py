@@ -9,7 +9,21 @@ from .planner import Request, layers
 #: Finer than the digits of prices over any default length, so that no result lies on a rounding edge.
 DIGITS = 7
 
-BARS = f"bars AS ({EVENT_BARS_SQL}), s0 AS (SELECT *, CAST(row_number() OVER ({SPEC}) - 1 AS BIGINT) AS i FROM bars)"
+
+
+def bars_sql(base: float = 0.0) -> str:
+    prices = ", ".join(f"{c} + {base} AS {c}" for c in ("open", "high", "low", "close"))
+    raised = f"SELECT * REPLACE ({prices}) FROM ({EVENT_BARS_SQL})" if base else EVENT_BARS_SQL
+    return f"bars AS ({raised}), s0 AS (SELECT *, CAST(row_number() OVER ({SPEC}) - 1 AS BIGINT) AS i FROM bars)"
+
+
+BARS = bars_sql()
+
+
+def rounded(text: str, name: str, digits: int) -> str:
+    """Without negative zeros."""
+    value = f"round(CAST({text} AS DOUBLE), {digits})"
+    return f'CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS "{name}"'
 
 
 def windowed_sql(wanted: Request, digits: int = DIGITS) -> str:
@@ -19,5 +33,5 @@ def windowed_sql(wanted: Request, digits: int = DIGITS) -> str:
         if layer:
             parts.append(f"l{k} AS (SELECT *, {', '.join(f'{text} AS {name}' for name, text in layer.items())} FROM {last})")
             last = f"l{k}"
-    chosen = ", ".join(f'round(CAST({text} AS DOUBLE), {digits}) AS "{name}"' for name, text in outputs.items())
+    chosen = ", ".join(rounded(text, name, digits) for name, text in outputs.items())
     return f"WITH {', '.join(parts)} SELECT symbol, time, {chosen} FROM {last}"

@@ -4,23 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import DEFINITIONS
 from ..operators.recursive import RELOCATED
 from ..operators.windowed import WINDOWED
 from ..sources.tables import event_bars
+from .fold_oracle import FOLDS, event_sql, fold_sql
 from .oracle import DIGITS, windowed_sql
 from .planner import Request, compute, events, request
 
 
+#: Results whose exact value often lies half way between two of the usual digits, or that are large.
+FINER = {"Envelope": 9, "VolumeWeightedMovingAverage": 9, "EaseOfMovement": 9, "KasePeakOscillator": 5}
+#: Products of price ratios: event values alone swing so widely that these leave the range of doubles.
+BASES = {"McGinleyDynamic": 10_000.0, "NegativeVolumeIndex": 10_000.0, "PositiveVolumeIndex": 10_000.0}
+#: Other than the defaults: ten chained means would round differently by chance.
+PARAMETERS = {"MovingAverageRibbon": {"ribbonCount": 3}}
+
+
+def _wanted(name: str) -> Request:
+    return request(name, **PARAMETERS.get(name, {}))
+
+
 def _rounded(df: DataFrame, columns: list[str], digits: int = DIGITS) -> DataFrame:
-    return df.select("symbol", "time", *[F.round(c, digits).alias(c) for c in columns])
+    """Rounded outputs, without negative zeros."""
+
+    def tidy(c: str) -> Column:
+        r = F.round(c, digits)
+        return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
+
+    return df.select("symbol", "time", *[tidy(c) for c in columns])
 
 
 def _line_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _rounded(compute(event_bars(spark, sf_dir), [wanted]), wanted.columns)
+    name = wanted.definition.id
+    base, digits = BASES.get(name, 0.0), FINER.get(name, DIGITS)
+    return lambda spark, sf_dir: _rounded(compute(event_bars(spark, sf_dir, base), [wanted]), wanted.columns, digits)
 
 
 def _event_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,11 +53,21 @@ def _event_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def indicator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(request(name)) for name in DEFINITIONS}
+    return {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(_wanted(name)) for name in DEFINITIONS}
 
 
 def indicator_oracles() -> dict[str, str]:
-    return {f"ind_{name}": windowed_sql(request(name)) for name in DEFINITIONS if name in WINDOWED}
+    """SQL for all but the parabolic stop, whose many-cased state machine tests hold against a plain reading of its rules."""
+    found = {}
+    for name in DEFINITIONS:
+        digits = FINER.get(name, DIGITS)
+        if name in WINDOWED:
+            found[f"ind_{name}"] = windowed_sql(_wanted(name), digits)
+        elif name in FOLDS:
+            found[f"ind_{name}"] = fold_sql(_wanted(name), digits, BASES.get(name, 0.0))
+        elif name in RELOCATED:
+            found[f"ind_{name}"] = event_sql(_wanted(name))
+    return found
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

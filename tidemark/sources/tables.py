@@ -25,10 +25,11 @@ def tick_bars(ticks: DataFrame, symbol: str, ts: str, value: str, order: list[st
     )
 
 
-def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of event values, a symbol for each type of event."""
+def event_bars(spark: SparkSession, sf_dir: str, base: float = 0.0) -> DataFrame:
+    """Hourly bars of event values over a base, a symbol for each type of event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return tick_bars(events, "event_type", "ts", "value", ["ts", "event_id"])
+    made = tick_bars(events, "event_type", "ts", "value", ["ts", "event_id"])
+    return made.withColumns({c: F.col(c) + base for c in ("open", "high", "low", "close")}) if base else made
 
 
 EVENT_BARS_SQL = """
