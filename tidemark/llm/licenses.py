@@ -75,11 +75,11 @@ def words_of(lowered: Column) -> Column:
 
 
 def ordered_templates(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[Template], list[str]]:
-    """Templates, and all their words, in order of the number of texts that have them.
+    """Templates, and all words of templates and phrases, in order of the number of texts that have them.
 
     Every text counts. What comes to the driver is one number for each template word.
     """
-    vocabulary = sorted({w for t in templates.values() for w in template_words(t)})
+    vocabulary = sorted({w for t in [*templates.values(), *PHRASES] for w in template_words(t)})
     has = F.array_intersect(F.lit(vocabulary), words_of(lower_ascii(text_col)))
     counts = {r[0]: r[1] for r in docs.select(F.explode(has).alias("w")).groupBy("w").count().collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
@@ -170,9 +170,9 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
     templates, order = ordered_templates(docs, text_col)
     lowered = F.col("_lowered")
     n = F.col("_n")
-    # A phrase or template word of each kind: texts without any of them need no second look.
+    # The indexed words and the rarest of each phrase: texts without any of them need no second look.
     joined = F.col("_joined")
-    probe = sorted({w for t in templates for w in t.indexed} | {p.split()[-1] for p in PHRASES})
+    probe = sorted({w for t in templates for w in t.indexed} | {min(p.split(), key=order.index) for p in PHRASES})
     marked = docs.withColumn("_lowered", lower_ascii(text_col)).withColumn("_words", words_of(lowered))
     marked = marked.withColumn("_n", F.size("_words").cast("bigint")).withColumn("_look", F.arrays_overlap("_words", F.lit(probe)))
     marked = marked.withColumn("_joined", F.when(F.col("_look"), F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))).otherwise(F.lit("")))
