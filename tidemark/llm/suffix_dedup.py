@@ -226,4 +226,4 @@ def remove_repeats(
 
     docs_columns = list(docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], "windows").mapInArrow(cut_text, schema)
+    return joined.select(*[f"_c{i}" for i in range(len(docs_columns))], "windows").mapInArrow(cut_text, schema)
