@@ -74,6 +74,47 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT k, s, len(h) // 2 - 399 AS n, substring(h, 2 * s + 1, 1598) AS part
+              FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399, 400)) AS s FROM d WHERE len(h) >= 800)),
+        w AS (SELECT k, s + p AS p, md5(substring(part, 2 * p + 1, 800)) AS m FROM (SELECT k, s, part, unnest(range(0, least(400, n - s))) AS p FROM c)),
+        r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+        hit AS (SELECT k, p, p - lag(p) OVER (PARTITION BY k ORDER BY p) AS gap FROM w SEMI JOIN r USING (m)),
+        run AS (SELECT k, p, sum(CASE WHEN gap IS NULL OR gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS g FROM hit),
+        span AS (SELECT k, g, min(p) AS a, max(p) + 400 AS b FROM run GROUP BY k, g),
+        cut AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM span),
+        kept AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                        string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+                 FROM cut JOIN d USING (k) GROUP BY k)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN kept USING (k)
+    """,
+    "op9_sharding": f"""
+        WITH crc AS (
+          SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), d AS (
+          SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes,
+                 md5('{sharding.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest
+          FROM documents
+        ), s AS (
+          SELECT doc_id, source, size, digest,
+                 xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32
+          FROM d, crc
+        ), r AS (
+          SELECT *, (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, size, text_crc32) - 0.5::DOUBLE)
+                    / count(*) OVER (PARTITION BY source) AS fraction
+          FROM s
+        ), p AS (
+          SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, digest, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS n FROM r
+        )
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {SHARDS} // n AS INTEGER) AS shard,
+               CAST(place - (place * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM p
+    """,
     "op2_license_scan": licenses.oracle(),
     "op8_top_k": """
         WITH v AS (
