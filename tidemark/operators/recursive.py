@@ -433,24 +433,22 @@ class SuperTrend(Fold):
 class ParabolicSar(Fold):
     """Stop and reverse over the last three bars, the first of all counted twice.
 
-    On a committed bar the count grows, so a reversal can always flip the side.
+    The stop may turn when it is moved on, and again when it is crossed.
     """
 
     def start(self, acceleration, accelerationStep, accelerationMax):
         self.first, self.more, self.most = acceleration, accelerationStep, accelerationMax
         self.tail: deque = deque(maxlen=3)
-        self.count, self.reversed_at = 0, 0
-        self.long, self.extreme, self.factor, self.last, self.sar = False, 0.0, acceleration, 0.0, 0.0
+        self.long, self.extreme, self.factor, self.last = False, 0.0, acceleration, None
 
     def step(self, b):
         if b.high is None or b.low is None:
             return (None,)
-        for _ in range(2 if not self.count else 1):
+        for _ in range(1 if self.tail else 2):
             self.tail.append((b.high, b.low))
-            self.count += 1
-        if self.count < 3:
+        if len(self.tail) < 3:
             return (None,)
-        self.last = self._begin() if self.count == 3 else self._next()
+        self.last = self._begin() if self.last is None else self._next()
         return (self.last or None,)
 
     def _begin(self) -> float:
@@ -459,33 +457,26 @@ class ParabolicSar(Fold):
         self.extreme = top if self.long else bottom
         return self.extreme + (-1 if self.long else 1) * (top - bottom) * self.first
 
-    def _reverse(self) -> float:
-        """To the other side; the stop is the old extreme. Once flipped on this bar, only a crossed stop flips it back."""
-        high, low = self.tail[-1]
-        crossed = self.sar > low if self.long else self.sar < high
-        if not crossed and self.flip_known:
-            return self.sar
-        self.sar = self.extreme
-        self.long = not self.long
-        self.reversed_at, self.factor = self.count, self.first
-        self.extreme = high if self.long else low
-        return self.sar
+    def _turn(self) -> float:
+        """To the other side; the stop is the extreme so far."""
+        stop, self.long, self.factor = self.extreme, not self.long, self.first
+        self.extreme = self.tail[-1][0 if self.long else 1]
+        return stop
 
     def _next(self) -> float:
-        self.flip_known = False
-        (high, low), (high1, low1), (high2, low2) = self.tail[-1], self.tail[-2], self.tail[-3]
+        (high2, low2), (high1, low1), (high, low) = self.tail
         stop = self.last + self.factor * (self.extreme - self.last)
         if self.long:
-            bound = min(stop, low, low1)
-            stop = bound if low > bound else self._reverse()
+            stop = min(stop, low, low1)
+            kept = low > stop
         else:
-            bound = max(stop, high, high1)
-            stop = bound if high < bound else self._reverse()
-        for h, l in ((high1, low1), (high2, low2)):
-            stop = min(stop, l) if self.long else max(stop, h)
-        if (low < stop or low1 < stop) if self.long else (high > stop or high1 > stop):
-            return self._reverse()
-        self.sar = stop
+            stop = max(stop, high, high1)
+            kept = high < stop
+        if not kept:
+            stop = self._turn()
+        stop = min(stop, low1, low2) if self.long else max(stop, high1, high2)
+        if min(low, low1) < stop if self.long else max(high, high1) > stop:
+            return self._turn()
         if high > self.extreme if self.long else low < self.extreme:
             self.extreme = high if self.long else low
             self.factor = min(self.most, self.factor + self.more)

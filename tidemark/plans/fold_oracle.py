@@ -73,7 +73,7 @@ def oracle(name: str):
 def fold_sql(wanted: Request, digits: int = DIGITS, base: float = 0.0) -> str:
     q = Query(bars_sql(base))
     outputs = FOLDS[wanted.definition.id](q, wanted.resolved)
-    chosen = ", ".join(rounded(t, n, digits) for n, t in outputs.items())
+    chosen = ", ".join(rounded(t, wanted.prefix + n, digits) for n, t in outputs.items())
     return f"WITH RECURSIVE {', '.join(q.parts)} SELECT symbol, time, {chosen} FROM {q.last}"
 
 
@@ -721,6 +721,38 @@ def _(q, p):
     return {"line": "v"}
 
 
+@oracle("ParabolicSar")
+def _(q, p):
+    first, more, most = (number(p[k]) for k in ("acceleration", "accelerationStep", "accelerationMax"))
+    q.cols(h1=Q.lag("high"), l1=Q.lag("low"), h2=Q.lag("high", 2), l2=Q.lag("low", 2))
+    old = q.last
+    # Bar 1 opens; later bars move the stop on (a), turn and clip it (c), and see whether it is crossed.
+    opened = (
+        f"SELECT symbol, i, lg, ext, CAST({first} AS DOUBLE) AS af, ext + CASE WHEN lg THEN -1 ELSE 1 END * (greatest(high, h1) - least(low, l1)) * {first} AS v "
+        f"FROM (SELECT *, high > h1 AS lg, CASE WHEN high > h1 THEN greatest(high, h1) ELSE least(low, l1) END AS ext FROM {old} WHERE i = 1)"
+    )
+    moved = (
+        "SELECT b.symbol, b.i, b.high, b.low, b.h1, b.l1, b.h2, b.l2, p.lg, p.ext, p.af, "
+        "CASE WHEN p.lg THEN least(p.v + p.af * (p.ext - p.v), b.low, b.l1) ELSE greatest(p.v + p.af * (p.ext - p.v), b.high, b.h1) END AS a "
+        f"FROM sar p JOIN {old} b ON b.symbol = p.symbol AND b.i = p.i + 1"
+    )
+    kept = f"SELECT *, CASE WHEN lg THEN low > a ELSE high < a END AS ok FROM ({moved})"
+    turned = (
+        "SELECT *, CASE WHEN ok THEN lg ELSE NOT lg END AS lg1, CASE WHEN ok THEN ext WHEN lg THEN low ELSE high END AS e1, "
+        f"CASE WHEN ok THEN af ELSE {first} END AS f1, CASE WHEN ok THEN a ELSE ext END AS s1 FROM ({kept})"
+    )
+    clipped = f"SELECT *, CASE WHEN lg1 THEN least(s1, l1, l2) ELSE greatest(s1, h1, h2) END AS c FROM ({turned})"
+    crossed = f"SELECT *, CASE WHEN lg1 THEN least(low, l1) < c ELSE greatest(high, h1) > c END AS x FROM ({clipped})"
+    further = f"SELECT *, CASE WHEN lg1 THEN high > e1 ELSE low < e1 END AS more FROM ({crossed})"
+    side = "CASE WHEN {0} THEN high ELSE low END"
+    later = (
+        f"SELECT symbol, i, CASE WHEN x THEN NOT lg1 ELSE lg1 END, CASE WHEN x THEN {side.format('NOT lg1')} WHEN more THEN {side.format('lg1')} ELSE e1 END, "
+        f"CASE WHEN x THEN {first} WHEN more THEN least({most}, f1 + {more}) ELSE f1 END, CASE WHEN x THEN e1 ELSE c END FROM ({further})"
+    )
+    q._add(f"SELECT a.*, r.v FROM {old} a LEFT JOIN sar r USING (symbol, i)", f"sar AS ({opened} UNION ALL {later})")
+    return {"value": "nullif(v, 0)"}
+
+
 def turns_sql(field: str, sides: tuple[int, ...], share: float, both: bool) -> str:
     """Reversals of one price as events."""
     q = Query()

@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import Definition, definition
@@ -94,8 +95,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(batch.column(i).to_pylist() for i in range(len(BAR))))
 
 
-def fold_bars(bars: DataFrame, requests: list[Request]) -> DataFrame:
-    """Outputs of recursive indicators beside (symbol, time, bar); ``bars`` may have more columns, which are kept."""
+def fold_bars(bars: DataFrame, requests: list[Request], in_order: bool = False) -> DataFrame:
+    """Outputs of recursive indicators beside (symbol, time, bar); ``bars`` may have more columns, which are kept.
+
+    ``in_order``: partitions hold whole symbols in order of time already, as rows
+    do that come from a window over them.
+    """
     made = [(RECURSIVE[r.definition.id], r.resolved) for r in requests]
     names = [c for r in requests for c in r.columns]
     kept = [c for c in bars.columns if c not in names]
@@ -115,14 +120,16 @@ def fold_bars(bars: DataFrame, requests: list[Request]) -> DataFrame:
 
     old = ", ".join(f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in kept)
     shape = ", ".join([old, *(f"`{c}` double" for c in names)])
-    return ordered(bars.select(*BAR, *[c for c in kept if c not in BAR])).mapInArrow(run, shape)
+    rows = bars.select(*BAR, *[c for c in kept if c not in BAR])
+    return (rows if in_order else ordered(rows)).mapInArrow(run, shape)
 
 
 def compute(bars: DataFrame, requests: list[Request]) -> DataFrame:
     """(symbol, time, bar, outputs of all requests): one row for each bar.
 
-    Recursive indicators come first, in one pass; window formulas follow on the
-    same partitioning. Indicators that place values on earlier bars have ``events``.
+    Window formulas come first; recursive indicators follow in one pass over the
+    rows as the windows leave them, without another exchange or sort. Indicators
+    that place values on earlier bars have ``events``.
     """
     moved = [r.definition.id for r in requests if r.definition.id in RELOCATED]
     if moved:
@@ -133,10 +140,11 @@ def compute(bars: DataFrame, requests: list[Request]) -> DataFrame:
     folds = [r for r in requests if r.definition.id in RECURSIVE]
     windows = [r for r in requests if r.definition.id in WINDOWED]
     df = bars.select(*BAR)
-    if folds:
-        df = fold_bars(df, folds)
     if windows:
         df = _windowed(df, windows)
+    if folds:
+        # MapInArrow takes all columns of its input, so the windows, and with them their sort, are never pruned.
+        df = fold_bars(df, folds, in_order=bool(windows))
     return df.select(*BAR, *columns)
 
 
@@ -189,7 +197,5 @@ def points(computed: DataFrame, wanted: Request) -> DataFrame:
     return long.select("symbol", "indicator", "p.output_id", "source_index", "time", "p.value").where("value is not null")
 
 
-def _by_time():
-    from pyspark.sql import Window as W
-
+def _by_time() -> WindowSpec:
     return W.partitionBy("symbol").orderBy("time")

@@ -57,7 +57,7 @@ def indicator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def indicator_oracles() -> dict[str, str]:
-    """SQL for all but the parabolic stop, whose many-cased state machine tests hold against a plain reading of its rules."""
+    """SQL for each, and for the flagship query."""
     found = {}
     for name in DEFINITIONS:
         digits = FINER.get(name, DIGITS)
@@ -67,13 +67,20 @@ def indicator_oracles() -> dict[str, str]:
             found[f"ind_{name}"] = fold_sql(_wanted(name), digits, BASES.get(name, 0.0))
         elif name in RELOCATED:
             found[f"ind_{name}"] = event_sql(_wanted(name))
+    parts = [(windowed_sql if r.definition.id in WINDOWED else fold_sql)(r) for r in FLAGSHIP]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = f"SELECT * FROM ({joined}) JOIN ({part}) USING (symbol, time)"
+    found["flagship"] = joined
     return found
 
 
+FLAGSHIP = [
+    request("SimpleMovingAverage", "sma_", length=20), request("BollingerBands", "bb_", length=20),
+    request("RelativeStrengthIndex", "rsi_", length=14), request("MovingAverageConvergenceDivergenceHistogram", "macd_"),
+]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, bands, strength and convergence of all event bars in one plan."""
-    wanted = [
-        request("SimpleMovingAverage", "sma_", length=20), request("BollingerBands", "bb_", length=20),
-        request("RelativeStrengthIndex", "rsi_", length=14), request("MovingAverageConvergenceDivergenceHistogram", "macd_"),
-    ]
-    return _rounded(compute(event_bars(spark, sf_dir), wanted), [c for r in wanted for c in r.columns])
+    return _rounded(compute(event_bars(spark, sf_dir), FLAGSHIP), [c for r in FLAGSHIP for c in r.columns])
