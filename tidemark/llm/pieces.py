@@ -44,11 +44,12 @@ SIGNS = r"\x00-\x09\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2
 STRETCH = re.compile(rf"{SPACE}{{0,16}}(?:[{SIGNS}]{{1,{LONGEST}}}|[^{SIGNS}\n{SPACE}]{{1,{LONGEST}}})|{SPACE}{{1,16}}|\n")
 CHARACTERS_AT_ONCE = 1 << 22
 STEP = 0x9E3779B97F4A7C15
+SIEVE_BITS = 18
 
 
 def extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings with one more character on their left."""
-    return mix(hashes * np.uint64(STEP) + codes + np.uint64(1))
+    """Hashes of strings with one more character on their left; the high bits are good ones."""
+    return (hashes + codes + np.uint64(1)) * np.uint64(STEP)
 
 
 class Vocabulary:
@@ -67,7 +68,7 @@ class Vocabulary:
         # Some pieces have a score below all ranks; the number of pieces bounds it.
         weight = {i: math.exp(theta * max(p.get_score(i), -float(self.size))) for i in plain}
         self.longest = max(len(texts[i]) for i in plain)
-        #: For each length: sorted hashes, piece numbers and weights.
+        #: For each length: sorted hashes, piece numbers, weights, and a sieve by the hashes' high bits.
         self.tables = []
         for n in range(1, self.longest + 1):
             mine = np.array([i for i in plain if len(texts[i]) == n], np.int64)
@@ -75,7 +76,9 @@ class Vocabulary:
             for k in range(n):
                 keys = extend(keys, np.array([ord(texts[i][n - 1 - k]) for i in mine], np.uint64))
             order = np.argsort(keys)
-            self.tables.append((keys[order], mine[order], np.array([weight[i] for i in mine[order]])))
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[keys >> np.uint64(64 - SIEVE_BITS)] = True
+            self.tables.append((keys[order], mine[order], np.array([weight[i] for i in mine[order]]), sieve))
         self.spelt: dict[str, int] = {}
         self.spelling: list[np.ndarray] = []
         self.written = [t.replace(SPACE, " ").encode() for t in texts]
@@ -144,19 +147,21 @@ class Lattices:
         seen = np.zeros((len(rows), size), np.uint64)
         for n in range(1, most + 1):
             seen[:, n - 1 :] = extend(seen[:, n - 1 :], codes[:, : size - n + 1])
-            keys, numbers, weights = v.tables[n - 1]
-            if not len(keys):
-                continue
+            keys, numbers, weights, sieve = v.tables[n - 1]
             wanted = seen[:, n - 1 :]
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[place] == wanted
-            share[:, n:, n - 1] = np.where(hit, weights[place], 0)
-            piece[:, n:, n - 1] = numbers[place]
-            if n == 1 and not hit.all():
-                share[:, 1:, 0][~hit] = v.floor
-                spelt = piece[:, 1:, 0]
-                for code in np.unique(codes[~hit]).tolist():
-                    spelt[~hit & (codes == code)] = v.spell(chr(code))
+            row, end = np.nonzero(sieve[wanted >> np.uint64(64 - SIEVE_BITS)])
+            if len(row):
+                sought = wanted[row, end]
+                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+                hit = keys[place] == sought
+                row, end, place = row[hit], end[hit] + n, place[hit]
+                share[row, end, n - 1] = weights[place]
+                piece[row, end, n - 1] = numbers[place]
+            if n == 1 and not share[:, 1:, 0].all():
+                missing = share[:, 1:, 0] == 0
+                share[:, 1:, 0][missing] = v.floor
+                for code in np.unique(codes[missing]).tolist():
+                    piece[:, 1:, 0][missing & (codes == code)] = v.spell(chr(code))
         ways = np.zeros((len(rows), size + 1))
         ways[:, 0] = 1
         for end in range(1, size + 1):
@@ -173,8 +178,9 @@ class Lattices:
     def draw(self, stretch: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences of stretches in a row, and how many each has. ``seeds``: 64 bits for each occurrence."""
         first, piece, target, key, final = self.first, self.piece, self.target, self.key, self.final
-        order = np.argsort(stretch, kind="stable")  # neighbours look at the same part of the tables
-        state, seeds, alive = final[stretch[order]], seeds[order], order
+        state = final[stretch]
+        order = np.argsort(state, kind="stable")  # neighbours look at the same part of the tables
+        state, seeds, alive = state[order], seeds[order], order
         counts, drawn, step = np.zeros(len(stretch), np.int64), [], 0
         while len(alive):
             step += 1
