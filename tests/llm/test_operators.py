@@ -382,6 +382,28 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_similar_texts_are_dropped_and_others_kept(spark, none):
+    r = random.Random(12)
+    rows, copies = [], set()
+    for k in range(30):
+        base = prose(700 + k, 300).split()
+        rows.append((k * 100, " ".join(base)))
+        for c in range(1, r.choice((1, 2, 12))):
+            words = list(base)
+            for at in r.sample(range(300), 5):
+                words[at] = f"w{k}x{c}x{at}"
+            rows.append((k * 100 + c, " ".join(words)))
+            copies.add(k * 100 + c)
+    rows += [(9000 + k, "Released under the MIT License, as all of these are. " + prose(k, 200)) for k in range(40)] + [(9500, None), (9501, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("id", F.lit(1)).withColumn("fp", F.lit("x"))
+    kept = simhash.keep_one(docs, similarity=0.8)
+    assert kept.columns == docs.columns
+    assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - copies - {9501}
+    assert simhash.keep_one(none, similarity=0.8).count() == 0
+    sets = [set(simhash.shingle_set(t).tolist()) for t in ("a b c d e f", "A b  c d e\nf", "a b", "")]
+    assert len(sets[0]) == 2 and sets[0] == sets[1] and len(sets[2]) == 1 and not sets[3]
+
+
 def test_links_in_small_and_large_sets_are_the_same():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

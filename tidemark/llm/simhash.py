@@ -19,12 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .bytehash import Rolling
+from .common import cut, table
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS = 16
 RADIUS = 2
+#: For similarity in shingles: words of a shingle, least share of common ones, and keys of a text.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+KEYS = 16
 
 
 def simhash64(text: str | None, words: int = 3) -> int:
@@ -185,11 +190,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.join(labelled, every["fp"] == labelled["_fp"]).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text with fewer words is one shingle, one without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    take = max(1, len(tokens) - words + 1)
+    joined = np.frombuffer(b" ".join(tokens), np.uint8)
+    return np.unique(Rolling(joined).of((ends - lengths)[:take], ends[-take:]))
+
+
+def _keys(docs: DataFrame, words: int) -> DataFrame:
+    """(id, key): the least shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words)[:KEYS].view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "keys"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, keys array<bigint>")
+
+
+def _shingles(docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the halves of a text's shingle hashes that tell them apart, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique((shingle_set(t, words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+
+
+def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links of (id, text) rows whose shingle sets overlap by ``similarity`` or more.
+
+    A fingerprint within two bits sees only changes of a word in a long text: at an
+    overlap of 0.8 about ten of 64 bits differ, out of a popcount grid's reach. So
+    texts that share one of their 16 least shingle hashes are compared, each with
+    one leader for each hash: the text whose hashes are shared most, which is the
+    one that others are copies of. Every comparison is exact on whole texts, and
+    there are at most 16 for each text, however large a group is. Copies that are
+    similar to each other but to no leader they meet can be missed.
+    """
+    posted = table(_keys(docs, words).select("id", F.explode("keys").alias("key")))
+    shared = table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n"))
+    met = table(posted.join(shared, posted["key"] == shared["_key"]).select("id", "key", "n"))
+    weight = table(met.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("weight")))
+    weighed = table(met.join(weight, met["id"] == weight["_id"]).select("id", "key", "weight"))
+    leaders = table(weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("weight", (-F.col("id")).alias("no"))).alias("top")))
+    pairs = weighed.join(leaders, weighed["key"] == leaders["_key"]).select("id", (-F.col("top.no")).alias("leader"))
+    pairs = table(pairs.where("id <> leader").distinct())
+    wanted = table(pairs.select(F.col("id").alias("_id")).unionByName(pairs.select(F.col("leader").alias("_id"))).distinct())
+    sets = table(_shingles(docs.join(wanted, docs["id"] == wanted["_id"], "left_semi"), words))
+    mine = pairs.join(sets, pairs["id"] == sets["id"]).select(pairs["id"], "leader", "shingles")
+    other = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("led"))
+    both = mine.join(other, mine["leader"] == other["_id"]).select("id", "leader", "shingles", "led")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(common >= similarity * (len(a) + len(b) - common))
+            keep = pa.array(alike, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None
+) -> DataFrame:
     """``docs`` with one row for each group of near copies: that with the smallest id.
 
-    Rows without an id are kept. Rows that repeat the kept id are kept with it.
+    Groups are linked by fingerprints within two bits and, with ``similarity``, by
+    shingles as well. Rows without an id are kept. Rows that repeat the kept id are
+    kept with it. Columns of ``docs`` keep their names and values.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words)
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    every = cut(fingerprints(known, "id", "text", words))
+    distinct = table(every.groupBy("fp").agg(F.min("id").alias("rep")))
+    links = near_links(distinct)
+    if similarity is not None:
+        # One text for each fingerprint: the others are linked to it already.
+        first = known.join(distinct.select(F.col("rep").alias("_rep")), known["id"] == F.col("_rep"), "left_semi")
+        links = links.unionByName(similar_links(first.dropDuplicates(["id"]), similarity=similarity))
+    roots = connected_components(links)
+    labelled = table(
+        distinct.join(roots, distinct["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+    )
+    groups = every.join(labelled, every["fp"] == labelled["_fp"])
     gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
