@@ -71,7 +71,10 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _anchor_rows(texts: DataFrame, length: int, q: int) -> DataFrame:
-    """Anchors of (doc, print, base, data) rows; places count from the start of the document."""
+    """Anchors of (doc, print, base, data) rows; places count from the start of the document.
+
+    ``k`` anchors have one row if they are alike; ``more`` holds the places of all but the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,14 +82,26 @@ def _anchor_rows(texts: DataFrame, length: int, q: int) -> DataFrame:
             if not found:
                 continue
             counts = [len(f[0]) for f in found]
-            owner = pa.array(np.repeat(np.arange(len(found)), counts))
+            owner = np.repeat(np.arange(len(found)), counts)
             gram, bucket, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
             base = np.repeat(batch.column(2).to_numpy(), counts)
-            cols = [pa.array(gram), pa.array(bucket), batch.column(0).take(owner), batch.column(1).take(owner)]
-            cols += [pa.array(x.astype(np.int32)) for x in (base, base + lo, base + hi)]
-            yield pa.RecordBatch.from_arrays(cols, ["gram", "run", "doc", "print", "base", "lo", "hi"])
-
-    kind = "gram bigint, run bigint, doc bigint, print bigint, base int, lo int, hi int"
+            places = np.stack([base + lo, base + hi], axis=1).astype("<i4")
+            # Anchors of one document that are alike (a line said over and over) go as one row.
+            order = np.lexsort((gram, bucket, owner))
+            same = np.zeros(len(order), bool)
+            same[1:] = (np.diff(owner[order]) == 0) & (np.diff(bucket[order]) == 0) & (np.diff(gram[order]) == 0)
+            start = np.flatnonzero(~same)
+            sizes = np.diff(np.concatenate([start, [len(order)]]))
+            one = order[start]
+            more: list[bytes | None] = [None] * len(one)
+            for k in np.flatnonzero(sizes > 1).tolist():
+                more[k] = places[order[start[k] + 1 : start[k] + sizes[k]]].tobytes()
+            at = pa.array(owner[one])
+            cols = [pa.array(gram[one]), pa.array(bucket[one]), batch.column(0).take(at), batch.column(1).take(at)]
+            cols += [pa.array(x) for x in (base[one].astype(np.int32), places[one, 0], places[one, 1], sizes.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(more, pa.binary())], ["gram", "run", "doc", "print", "base", "lo", "hi", "k", "more"])
+
+    kind = "gram bigint, run bigint, doc bigint, print bigint, base int, lo int, hi int, k int, more binary"
     return texts.select("doc", "print", "base", "data").mapInArrow(run, kind)
 
 
@@ -98,17 +113,18 @@ def _level(texts: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]
     combine, so a bucket of any size is never gathered.
     """
     rows = _anchor_rows(texts, length, q)
-    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
+    grams = rows.groupBy("gram").agg(F.sum("k").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
     # Written first, so that the join below has plain exchanges on both sides and hot buckets are split.
     shared = table(grams.where("n > 1").select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many")))
     met = table(rows.join(shared, rows["gram"] == shared["_gram"]).drop("_gram"))
     several = met.where("many")
     runs = table(
-        several.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "base", "lo", "hi")).alias("one"))
+        several.groupBy("gram", "run").agg(F.sum("k").alias("n"), F.min(F.struct("doc", "print", "base", "lo", "hi")).alias("one"))
     )
     copied = runs.where("n > 1").select(F.col("gram").alias("_gram"), F.col("run").alias("_run"))
     copies = several.join(copied, (several["gram"] == copied["_gram"]) & (several["run"] == copied["_run"]))
-    whole = met.where("not many").select("doc", "print", "lo", "hi").unionByName(copies.select("doc", "print", "lo", "hi"))
+    places = ["doc", "print", "lo", "hi", "more"]
+    whole = met.where("not many").select(*places).unionByName(copies.select(*places))
     return whole, runs.select("one.*")
 
 
@@ -148,16 +164,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, depths: tuple[int, .
         texts = _fetch(texts, left, length)
         more, left = _level(texts, length, q)
         found = found.unionByName(more)
-    return found.groupBy("doc", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    return found.groupBy("doc", "print").agg(F.collect_list(F.struct("lo", "hi", "more")).alias("windows"))
 
 
 def removed_spans(n_bytes: int, windows: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the windows cover."""
     if not windows:
         return []
-    edges = np.zeros(n_bytes + 1, np.int64)
-    np.add.at(edges, [w["lo"] for w in windows], 1)
-    np.add.at(edges, [w["hi"] + length for w in windows], -1)
+    places = [np.array([(w["lo"], w["hi"]) for w in windows], np.int64)]
+    places += [np.frombuffer(w["more"], "<i4").reshape(-1, 2).astype(np.int64) for w in windows if w.get("more")]
+    lo, hi = np.concatenate(places).T
+    edges = np.bincount(lo, minlength=n_bytes + 1) - np.bincount(hi + length, minlength=n_bytes + 1)
     gone = np.concatenate([[0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0]])
     turns = np.flatnonzero(np.diff(gone))
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
