@@ -101,14 +101,14 @@ def fit_weights(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS,
     ratios = log_ratios(rows, good)
     sign = np.where(good, 1.0, -1.0)
     bound = cost * np.where(good, len(good) / (2 * max(good.sum(), 1)), len(good) / (2 * max((~good).sum(), 1)))
-    values = [ratios[r] / np.sqrt(len(r)) for r in rows]
-    square = np.array([v @ v for v in values]) + 1e-12
+    values = [(ratios[r] / np.sqrt(len(r))).astype(np.float32) for r in rows]
+    square = np.array([float(v @ v) for v in values]) + 1e-12
     dual, weights = np.zeros(len(rows)), np.zeros(DIMENSIONS)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            slack = sign[i] * (weights[rows[i]] @ values[i]) - 1
+            slack = sign[i] * float(weights[rows[i]] @ values[i]) - 1
             new = min(max(dual[i] - slack / square[i], 0.0), bound[i])
             if new != dual[i]:
                 weights[rows[i]] += (new - dual[i]) * sign[i] * values[i]
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     # An id that several rows share may give more rows than were picked: one of each id is kept.
     rows = sample.groupBy("doc_id").agg(F.min("found").alias("found"), F.max("quality").alias("quality")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    found = [np.frombuffer(r["found"], np.int32).astype(np.int64) for r in rows]
+    found = [np.frombuffer(r["found"], np.int32) for r in rows]
     good = np.array([r["quality"] == 1 for r in rows], bool)
     return fit(found, good, shares.get(1, 0) / sum(shares.values()))
 

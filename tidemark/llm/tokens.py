@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 #: which its normalizer changes in nothing but case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*")
 PLAIN_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-įı-ſ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-įı-ſ]+")
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def _byte_names() -> dict[int, str]:
