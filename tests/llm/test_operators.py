@@ -404,6 +404,62 @@ def test_similar_texts_are_dropped_and_others_kept(spark, none):
     assert len(sets[0]) == 2 and sets[0] == sets[1] and len(sets[2]) == 1 and not sets[3]
 
 
+def edited(words, n, tag, seed):
+    """``words`` with ``n`` of them replaced by words of its own."""
+    out = list(words)
+    for at in random.Random(seed).sample(range(len(out)), n):
+        out[at] = f"{tag}x{at}"
+    return out
+
+
+def test_all_similar_texts_are_linked_as_by_brute_force(spark):
+    rows, families = [], 12
+    for k in range(families):
+        # Copies of a text that is gone, edited on their own: some pairs overlap by 0.8, others do not.
+        base = prose(4000 + k, 250).split()
+        rows += [(k * 1000 + c, " ".join(edited(base, random.Random(k * 99 + c).randint(3, 8), f"k{k}c{c}", k * 99 + c))) for c in range(14)]
+        # A chain that drifts, and a heavy text that shares a part with all of its links.
+        chain = [prose(5000 + k, 220).split()]
+        for c in range(8):
+            chain.append(edited(chain[-1], 4, f"k{k}d{c}", c))
+        rows += [(k * 1000 + 100 + c, " ".join(w)) for c, w in enumerate(chain)]
+        rows += [(k * 1000 + 200 + c, " ".join(chain[c][:165] + prose(6000 + k, 60).split())) for c in range(8)]
+    rows.append((99_000, "a b"))
+    r = random.Random(1)
+    r.shuffle(rows)
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows for w in [t.split()]}
+    prints = {i: brute_simhash(t) for i, t in rows}
+
+    def linked(a, b):
+        common = len(sets[a] & sets[b])
+        return common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) or (prints[a] ^ prints[b]).bit_count() <= 2
+
+    want = brute_components(sorted(sets), linked)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id for x in simhash.keep_one(docs, similarity=0.8).collect()} == set(want.values())
+    assert families < len(set(want.values())) < len(rows)
+
+
+def test_common_shingles_go_last_and_prefixes_still_meet():
+    r = np.random.default_rng(8)
+    pool = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64))
+    for share in (0, 50, 300):
+        keys = np.sort(r.choice(pool, share, replace=False))
+        common = keys, r.integers(4, 90, share)
+        sets = [np.sort(r.choice(pool[:130], int(n), replace=False)) for n in r.integers(100, 130, 60)]
+        firsts = [simhash.prefix(s, common, 0.8) for s in sets]
+        key = np.concatenate(firsts).view(np.int64)
+        node = np.repeat(np.arange(60), [len(f) for f in firsts])
+        size = np.array([len(s) for s in sets])[node]
+        left = size - np.concatenate([np.arange(len(f)) for f in firsts])
+        order = np.argsort(key, kind="stable")
+        root = node // 3
+        found = simhash.crossing_pairs(key[order], node[order], root[order], size[order], left[order], 0.8)
+        got = {(a, b) for a, b, n, need in found.tolist() if n >= need}
+        alike = {(a, b) for a, b in itertools.combinations(range(60), 2) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+        assert {p for p in alike if p[0] // 3 != p[1] // 3} <= got and all(a // 3 != b // 3 for a, b in got)
+
+
 def test_links_in_small_and_large_sets_are_the_same():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -26,10 +26,12 @@ from .components import connected_components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS = 16
 RADIUS = 2
-#: For similarity in shingles: words of a shingle, least share of common ones, and keys of a text.
+#: For similarity in shingles: words of a shingle, least share of common ones, and keys of a text in the round of leaders.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 KEYS = 16
+#: One text in so many tells which shingles are common; at most so many, met so often, are put last in the order.
+ORDER_SHARE, ORDER_TIMES, ORDER_MOST = 32, 4, 1 << 17
 
 
 def simhash64(text: str | None, words: int = 3) -> int:
@@ -224,16 +226,36 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
-def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links of (id, text) rows whose shingle sets overlap by ``similarity`` or more.
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose (id, text) rows share ``similarity`` of their shingles or more."""
+    wanted = table(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
+    sets = table(_shingles(docs.join(wanted, docs["id"] == wanted["_id"], "left_semi"), words))
+    mine = pairs.join(sets, pairs["a"] == sets["id"]).select("a", "b", "shingles")
+    other = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("_shingles"))
+    both = mine.join(other, mine["b"] == other["_id"]).select("a", "b", "shingles", "_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(common >= similarity * (len(a) + len(b) - common))
+            keep = pa.array(alike, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def leader_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links of (id, text) rows with the leaders they meet; most links at little cost, not all.
 
     A fingerprint within two bits sees only changes of a word in a long text: at an
     overlap of 0.8 about ten of 64 bits differ, out of a popcount grid's reach. So
     texts that share one of their 16 least shingle hashes are compared, each with
     one leader for each hash: the text whose hashes are shared most, which is the
-    one that others are copies of. Every comparison is exact on whole texts, and
-    there are at most 16 for each text, however large a group is. Copies that are
-    similar to each other but to no leader they meet can be missed.
+    one that others are copies of. There are at most 16 comparisons for each text,
+    however large a group is. What is left is for ``crossing_links``.
     """
     posted = table(_keys(docs, words).select("id", F.explode("keys").alias("key")))
     shared = table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n"))
@@ -241,25 +263,117 @@ def similar_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float
     weight = table(met.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("weight")))
     weighed = table(met.join(weight, met["id"] == weight["_id"]).select("id", "key", "weight"))
     leaders = table(weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("weight", (-F.col("id")).alias("no"))).alias("top")))
-    pairs = weighed.join(leaders, weighed["key"] == leaders["_key"]).select("id", (-F.col("top.no")).alias("leader"))
-    pairs = table(pairs.where("id <> leader").distinct())
-    wanted = table(pairs.select(F.col("id").alias("_id")).unionByName(pairs.select(F.col("leader").alias("_id"))).distinct())
-    sets = table(_shingles(docs.join(wanted, docs["id"] == wanted["_id"], "left_semi"), words))
-    mine = pairs.join(sets, pairs["id"] == sets["id"]).select(pairs["id"], "leader", "shingles")
-    other = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("led"))
-    both = mine.join(other, mine["leader"] == other["_id"]).select("id", "leader", "shingles", "led")
+    pairs = weighed.join(leaders, weighed["key"] == leaders["_key"]).select(F.col("id").alias("a"), (-F.col("top.no")).alias("b"))
+    return _verified(table(pairs.where("a <> b").distinct()), docs, words, similarity)
+
+
+def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles and how often each was met. They set the order of prefixes; no link depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(common >= similarity * (len(a) + len(b) - common))
-            keep = pa.array(alike, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["key"])
+
+    few = docs.select("id", "text").where(F.pmod(F.xxhash64("id"), F.lit(ORDER_SHARE)) == 0).mapInArrow(run, "key bigint")
+    found = few.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_TIMES).orderBy(F.desc("n"), "key").limit(ORDER_MOST).toArrow()
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy().astype(np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes of a set, common ones last, of which a set with that overlap has at least one among its own first."""
+    keys, times = common
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        shingles = shingles[np.argsort(np.where(keys[at] == shingles, times[at], 0), kind="stable")]
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1] if len(shingles) else shingles
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+
+def crossing_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
+    """(n, 4) nodes of different roots that share keys, how many, and how many they must; rows come sorted by key.
+
+    Sets of x and y hashes overlap by t if they share t / (1 + t) * (x + y). Both
+    must have that many before and after any hash they share. Of the prefix that
+    ends first, all but what is missing from the other set are in both prefixes.
+    """
+    first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+    start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    stop = np.append(start[1:], len(key))
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    out = []
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        share = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64)
+        ok = np.minimum(size[x] - left[x], size[y] - left[y]) + np.minimum(left[x], left[y]) >= share
+        x, y, share = x[ok], y[ok], share[ok]
+        need = share + np.minimum(first[x] - size[x], first[y] - size[y])
+        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need], axis=1))
+
+    x = start[mixed & (stop - start == 2)]
+    add(x, x + 1)
+    more = mixed & (stop - start > 2)
+    for s, e in zip(start[more].tolist(), stop[more].tolist()):
+        # The largest group last: its rows are only ever met by those of others.
+        _, group, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
+        order = np.lexsort((group, n[group]))
+        at, group = s + order, group[order]
+        rank = n[group] * (len(n) + 1) + group
+        ends = np.searchsorted(rank, rank, side="right")
+        for i in range(len(at) - int(n[group[-1]])):
+            y = at[int(ends[i]) :]
+            add(np.full(len(y), at[i]), y)
+    pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+    return np.column_stack([pairs[:, :2], times, pairs[:, 2]])
+
+
+def crossing_links(docs: DataFrame, roots: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): all verified links of (id, text) rows that ``roots`` (node, root) has in different groups.
+
+    Exact: hashes are ordered with common ones last, and each text is posted at all
+    of its first ones (a fifth of its shingles and one, at 0.8), so any two texts
+    with the overlap meet. Nothing is capped: texts of different groups are compared
+    whenever they share as many of these as the overlap asks for.
+    """
+    common = _common_shingles(docs, words)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, text in zip(*[c.to_pylist() for c in batch.columns]):
+                every = shingle_set(text, words)
+                first = prefix(every, common, similarity)
+                n = len(first)
+                sizes = (len(every) << 32) + len(every) - np.arange(n, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(sizes)], ["key", "node", "root", "sizes"]
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+            found = crossing_pairs(*rows[:3], rows[3] >> 32, rows[3] & 0xFFFFFFFF, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], ["a", "b", "n", "need"])
+
+        for batch in batches:
+            part = [c.to_numpy() for c in batch.columns]
+            part = [np.concatenate([x, y]) for x, y in zip(held, part)] if held else part
+            if not len(part[0]):
+                continue
+            last = int(np.searchsorted(part[0], part[0][-1]))  # the last key may go on
+            if last:
+                yield pairs([x[:last] for x in part])
+            held = [x[last:] for x in part]
+        if held and len(held[0]):
+            yield pairs(held)
+
+    rooted = docs.join(roots, docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    posted = rooted.mapInArrow(post, "key bigint, node bigint, root bigint, sizes bigint")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = posted.repartition(width, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, n bigint, need bigint")
+    enough = met.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+    return _verified(table(enough.select("a", "b")), docs, words, similarity)
 
 
 def keep_one(
@@ -268,7 +382,7 @@ def keep_one(
     """``docs`` with one row for each group of near copies: that with the smallest id.
 
     Groups are linked by fingerprints within two bits and, with ``similarity``, by
-    shingles as well. Rows without an id are kept. Rows that repeat the kept id are
+    every two texts whose shingles overlap by that much. Rows without an id are kept. Rows that repeat the kept id are
     kept with it. Columns of ``docs`` keep their names and values.
     """
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -276,10 +390,16 @@ def keep_one(
     distinct = table(every.groupBy("fp").agg(F.min("id").alias("rep")))
     links = near_links(distinct)
     if similarity is not None:
-        # One text for each fingerprint: the others are linked to it already.
-        first = known.join(distinct.select(F.col("rep").alias("_rep")), known["id"] == F.col("_rep"), "left_semi")
-        links = links.unionByName(similar_links(first.dropDuplicates(["id"]), similarity=similarity))
+        # One row for each text; texts with one fingerprint can differ, so each is linked to the fingerprint's own.
+        texts = table(known.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("id").alias("_rep")).select("_rep").distinct())
+        first = known.join(texts, known["id"] == texts["_rep"], "left_semi")
+        same = every.join(texts, every["id"] == texts["_rep"], "left_semi").join(distinct.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
+        links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+        links = links.unionByName(leader_links(first, similarity=similarity))
     roots = connected_components(links)
+    if similarity is not None:
+        rest = crossing_links(first, roots, similarity=similarity)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
     labelled = table(
         distinct.join(roots, distinct["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
     )
