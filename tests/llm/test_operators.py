@@ -198,6 +198,33 @@ def test_secrets_are_found_and_prose_is_left_alone(spark, chooser):
     assert sum(got[i] > 0 for i in got if i >= 200) == 0
 
 
+@pytest.mark.parametrize("length", [600, 5000])
+def test_long_secrets_go_to_their_end(spark, chooser, length):
+    r = random.Random(length)
+    made = lambda alphabet: "".join(r.choice(alphabet) for _ in range(length))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed, card = letters + letters.lower() + "0123456789", "x4111111111111111x"
+    long = [made(mixed), made(mixed + "+/"), "sk-" + made(mixed), "token=" + made(mixed), "password=" + made(mixed)]
+    long += [s[:560] + card + s[560:] for s in long]
+    texts = [f"some words {s} and more" for s in long]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = {x.doc_id: [s for s in x.spans if s.kind in pii.GENERATORS] for x in pii.find(docs, chooser).collect()}
+    redacted = {x.doc_id: x.text for x in pii.redact(docs, chooser).collect()}
+    chosen = [i for i in found if found[i]]
+    assert len(chosen) >= 8
+    for i in chosen:
+        assert max(s.end for s in found[i]) == len(texts[i]) - len(" and more"), texts[i][:80]
+        assert all(a.end <= b.start for a, b in itertools.pairwise(sorted(found[i], key=lambda s: s.start)))
+        assert re.search(r"<(credential|key|token)> and more$", redacted[i]) and len(redacted[i]) < 120, redacted[i][:200]
+
+
+def test_chosen_heads_of_keys_and_digit_groups_go_to_their_end(spark):
+    every = pii.Chooser(boosting.Boosted(0.0, 1.0, ()), {k: 2.0 if k in ("token", "account", "contact") else 0.0 for k in pii.GENERATORS})
+    values = ["555-010-9999 " * 4 + "1", "7" * 90, "AB12" * 60, "7" * 30 + " " + "AB12" * 60, "secret=" + "AB12" * 60, "secret=" + "ab!." * 900]
+    docs = spark.createDataFrame([(i, f"call {v} now") for i, v in enumerate(values)], "doc_id int, text string")
+    assert {x.doc_id: re.sub("<[a-z]+>", "<>", x.text) for x in pii.redact(docs, every).collect()} == {i: "call <> now" if i != 3 else "call <> <> now" for i in range(6)}
+
+
 def test_redaction(spark, odd, none, chooser):
     docs = spark.createDataFrame([(1, "🎉 to a.b@c.de from 10.0.0.1!", 5), (2, None, 5), (3, "plain", 5)], "doc_id int, text string, spans int")
     assert [r.text for r in pii.redact(docs, chooser).orderBy("doc_id").collect()] == ["🎉 to <email> from <ip>!", None, "plain"]

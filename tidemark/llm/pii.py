@@ -6,7 +6,8 @@ spans generously, and overlap each other: access keys, long hexadecimal or mixed
 tokens, values after words like "password", account numbers, digit groups. Boosted
 trees score each proposal by its form and by what stands around it; a threshold
 for each generator, set on rows the trees have not seen, decides; of overlapping
-choices the better stays. The trees learn from generated examples (fixed seed,
+choices the better stays. Generators look at the head of a long value; what is
+chosen then goes on to the end of the value. The trees learn from generated examples (fixed seed,
 bounded number) that pass through the same expressions as the corpus.
 
 Patterns never scan a run of characters twice: quantifiers are possessive, and a
@@ -42,6 +43,13 @@ GENERATORS = {
     "number": (r"(?<![0-9+.])\(?[0-9](?:[().\x20-]{0,2}[0-9]){6,24}+", "[0-9]"),
     "token": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+", "[0-9]"),
 }
+#: How long a span is where its generator stops within a value, and what the rest of the value is.
+RESTS = {
+    "credential": (128, r"^[^\s\"']++"),
+    "key": (64, r"^[A-Z0-9]++"),
+    "number": (25, r"^(?:[().\x20-]{0,2}[0-9])++"),
+    "token": (512, r"^[A-Za-z0-9+/_-]++"),
+}
 KINDS = [*BASE, *GENERATORS]
 AROUND = 24
 EXAMPLES = 2400
@@ -225,13 +233,23 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> Chooser:
     return Chooser(model, thresholds)
 
 
+def _rest(s: Column) -> Column:
+    """How many characters of its value follow a span of ``_text``."""
+    after = F.substring(F.col("_text"), s["end"] + 1, F.length("_text"))
+    out = F.lit(0)
+    for kind, (head, pattern) in RESTS.items():
+        out = F.when((s["kind"] == kind) & (s["end"] - s["start"] >= head), F.length(F.regexp_extract(after, pattern, 0))).otherwise(out)
+    return out
+
+
 def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_<kind>`` for the base kinds, ``base`` and ``spans``.
 
     ``base`` and ``spans`` are arrays of (kind, start, end, score) in order of kind
     and start; places are code points, ends exclusive; base spans have score 1 and
     all are in ``spans``. A chosen span that overlaps a base one, or a better chosen
-    one, is left out. Null and empty texts have none. Columns of these names in
+    one, is left out; what stays is widened to the end of its value, over base spans
+    that stand in the rest, and takes the place of choices there. Null and empty texts have none. Columns of these names in
     ``docs`` are replaced; rows are independent of each other.
     """
     wide = proposals(docs, text_col)
@@ -263,11 +281,17 @@ def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame
     free = F.filter("_chosen", lambda c: ~F.exists("_base", lambda b: overlap(b, c)))
     wide = wide.withColumn("_free", free)
     kept = F.filter("_free", lambda c: ~F.exists("_free", lambda d: overlap(c, d) & better(d, c)))
+    wide = wide.withColumn("_kept", F.transform(kept, lambda c: c.withField("end", c["end"] + _rest(c))))
+    others = lambda c, f: F.filter("_kept", lambda d: f(c, d))
+    covered = lambda c, d: (d["start"] < c["start"]) & (d["end"] >= c["end"])
+    follows = lambda c, d: (d["start"] > c["start"]) & (d["start"] < c["end"]) & (d["end"] > c["end"])
+    outer = F.filter("_kept", lambda c: F.size(others(c, covered)) == 0)
+    whole = F.transform(outer, lambda c: c.withField("end", F.least(c["end"], F.array_min(F.transform(others(c, follows), lambda d: d["start"])))))
     shape = lambda a: F.transform(F.array_sort(a), lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"]))
-    out = wide.withColumn("base", shape(F.col("_base"))).withColumn("spans", shape(F.concat("_base", kept)))
+    out = wide.withColumn("base", shape(F.col("_base"))).withColumn("spans", shape(F.concat("_base", whole)))
     for kind in BASE:
         out = out.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("bigint"))
-    return out.drop("_text", "_base", "_chosen", "_free", *[f"_{k}" for k in KINDS])
+    return out.drop("_text", "_base", "_chosen", "_free", "_kept", *[f"_{k}" for k in KINDS])
 
 
 def listed(spans: Column | str) -> Column:
@@ -278,7 +302,7 @@ def listed(spans: Column | str) -> Column:
 def redact(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets.
 
-    Where base spans overlap each other, the text from the first start to the last
+    Where spans overlap each other, the text from the first start to the last
     end goes under the kind that starts first. Texts without spans stay as they
     are, null ones too.
     """
