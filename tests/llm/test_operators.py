@@ -148,6 +148,22 @@ def test_licenses_against_brute_force(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_notices_are_found_across_lines(spark):
+    rows = []
+    for label, t in licenses.TEMPLATES.items():
+        words = t.split()
+        for k, step in enumerate((3, 9)):
+            notice = "\n".join(" ".join(words[i : i + step]) for i in range(0, len(words), step))
+            rows += [(f"{label} {k} {n}", label, f"{prose(n, n)}\n{notice}\n{prose(n + 1, 70)}") for n in (0, 29, 61)]
+    docs = spark.createDataFrame(rows, "name string, label string, text string")
+    for r in licenses.scan(docs, across_lines=True).collect():
+        assert r.label in [b.label for b in r.blocks] and r.label in r.labels.split(",") and r.score == 1.0, r.name
+    by_line = {r.name: r.labels for r in licenses.scan(docs).collect()}
+    across = {r.name: r.labels for r in licenses.scan(docs, across_lines=True).collect()}
+    assert all(set(by_line[n].split(",")) <= set(across[n].split(",")) | {""} for n in by_line)
+    assert "mit-text" not in by_line["mit-text 1 29"].split(",")
+
+
 # 3 -------------------------------------------------------------------------------
 
 

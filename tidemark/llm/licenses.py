@@ -1,7 +1,7 @@
 """License scan: phrases, and an exact containment join of text blocks with templates.
 
 DataFrame functions only. A template is a set of words. A block (a stretch of up
-to 64 words of one line) matches if it holds at least ``THRESHOLD`` of them. Words
+to 64 words of one line, or with ``across_lines`` of the text as well) matches if it holds at least ``THRESHOLD`` of them. Words
 of all templates are ordered by how many texts of the corpus have them, rarest
 first. A block with c of a template's n words has one of its first n - c + 1 words
 in that order, so only these are indexed. A block looks its words up in the index;
@@ -95,17 +95,24 @@ def _structs(rows: list[dict]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
 
 
-def blocks_of(lowered: Column) -> Column:
-    """Overlapping stretches of words of each line; no stretch of 33 words of a line is missed."""
+def blocks_of(lowered: Column, across_lines: bool = False) -> Column:
+    """Overlapping stretches of words of each line; no stretch of 33 words of a line is missed.
+
+    With ``across_lines`` stretches of the whole text are added to those of its
+    lines, so no stretch of 33 words is missed, however it is wrapped.
+    """
 
     def stretches(words: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1 - STRIDE, F.lit(0)), F.lit(STRIDE))
         return F.transform(starts, lambda at: F.slice(words, at + 1, BLOCK))
 
-    return F.flatten(F.transform(F.split(lowered, "\n"), lambda line: stretches(words_of(line))))
+    of_lines = F.flatten(F.transform(F.split(lowered, "\n"), lambda line: stretches(words_of(line))))
+    if not across_lines:
+        return of_lines
+    return F.when(F.contains(lowered, F.lit("\n")), F.concat(of_lines, stretches(words_of(lowered)))).otherwise(of_lines)
 
 
-def template_matches(lowered: Column, templates: list[Template], order: list[str]) -> Column:
+def template_matches(lowered: Column, templates: list[Template], order: list[str], across_lines: bool = False) -> Column:
     """array<struct<label, share>>: every matching (block, template), with the share of its words found."""
     vocabulary = F.lit(order)
     index = _structs([
@@ -130,7 +137,7 @@ def template_matches(lowered: Column, templates: list[Template], order: list[str
         )
         return F.filter(shares, lambda s: s["share"] * s["n"] + 1e-9 >= F.ceil(s["n"] * F.lit(THRESHOLD) - 1e-9))
 
-    kept = F.transform(blocks_of(lowered), lambda b: F.array_intersect(vocabulary, b))
+    kept = F.transform(blocks_of(lowered, across_lines), lambda b: F.array_intersect(vocabulary, b))
     probing = F.filter(kept, lambda b: F.arrays_overlap(b, indexed))
     return F.flatten(F.transform(probing, verified))
 
@@ -157,12 +164,13 @@ def _phrase_columns(joined: Column, n: Column) -> tuple[Column, Column, Column,
     return total, F.least(*firsts), F.greatest(*lasts), F.array_compact(F.array(*labels))
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
 
     Null and empty texts have no words, no labels and score 0. ``score`` is 1 where
     a phrase stands and else the best share of a matching template. ``blocks`` lists
-    the matches. Columns of ``docs`` with these names are replaced. Rows are
+    the matches. Notices that are wrapped over lines are only found whole with
+    ``across_lines``; without it the result is that of ``oracle``. Columns of ``docs`` with these names are replaced. Rows are
     independent of each other but for the order of template words.
     """
     if threshold != THRESHOLD:
@@ -177,7 +185,7 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
     marked = marked.withColumn("_n", F.size("_words").cast("bigint")).withColumn("_look", F.arrays_overlap("_words", F.lit(probe)))
     marked = marked.withColumn("_joined", F.when(F.col("_look"), F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))).otherwise(F.lit("")))
     count, first, last, labels = _phrase_columns(joined, n)
-    found = F.when(F.col("_look"), template_matches(lowered, templates, order)).otherwise(F.array())
+    found = F.when(F.col("_look"), template_matches(lowered, templates, order, across_lines)).otherwise(F.array())
     marked = marked.withColumn("blocks", found).withColumn("_base", labels)
     every = F.array_union("_base", F.transform("blocks", lambda b: b["label"]))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0))
