@@ -75,14 +75,14 @@ def test_repeats_against_brute_force(spark, length, depths):
     shared = [prose(50 + k, 60) for k in range(4)]
     rows = odd_rows() + [(100 + k, prose(k, r.randint(1, 90)) + r.choice(shared)[: r.randint(10, 500)] + prose(k + 500, 20), None, None, None) for k in range(60)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = suffix_dedup.remove_repeats(docs, length=length, depths=depths, digest_only=True).collect()
+    got = [tuple(r)[:5] for r in suffix_dedup.repeat_digests(docs, length=length, depths=depths).collect()]
     raw = [(row[1] or "").encode() for row in rows]
     want = []
     for row, b, gone in zip(rows, raw, brute_removed(raw, length)):
         edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((row[0], len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    assert collections.Counter(got) == collections.Counter(want)
 
 
 def test_equal_windows_have_equal_anchors_in_texts_of_any_size():
@@ -90,22 +90,90 @@ def test_equal_windows_have_equal_anchors_in_texts_of_any_size():
     found = set()
     for before in (0, 1, 77, 5000):
         data = np.concatenate([np.frombuffer(prose(before, 4000).encode()[:before], np.uint8), window, np.frombuffer(b" tail" * 30, np.uint8)])
-        gram, _, lo, hi = suffix_dedup.anchors(data)
+        _, gram, _, lo, hi = suffix_dedup.anchors(data, np.array([0, len(data)]), 400, (128,))
         found.add(int(gram[(lo <= before) & (before <= hi)][0]))
     assert len(found) == 1
 
 
+def brute_passages(rows, n):
+    """Words of each text that some n words cover which another row (of other id or text) has too."""
+    owners = collections.defaultdict(set)
+    for row in rows:
+        w = (row[1] or "").encode().split()
+        for s in range(len(w) - n + 1):
+            owners[tuple(w[s : s + n])].add((row[0], row[1]))
+    out = []
+    for row in rows:
+        w = (row[1] or "").encode().split()
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - n + 1):
+            gone[s : s + n] |= len(owners[tuple(w[s : s + n])]) > 1
+        out.append(gone)
+    return out
+
+
+def passage_rows():
+    r = random.Random(3)
+    shared = [prose(700 + k, 53).split() for k in range(5)]
+    rows = odd_rows()
+    for k in range(80):
+        part = r.choice(shared)
+        part = part[r.randint(0, 4) : len(part) - r.randint(0, 4)]
+        rows.append((100 + k, prose(k, r.randint(0, 60)) + r.choice((" ", "\n", " \t")) + r.choice((" ", "\n ")).join(part) + " " + prose(k + 500, 20), None, None, None))
+    said = prose(800, 55)  # twice in one text, so no repeat, but parts of it stand elsewhere
+    rows += [(200, f"{said} and {said}", None, None, None), (201, "so " + " ".join(said.split()[2:54]), None, None, None)]
+    return rows + [(300, prose(900, 60) + " x " + prose(900, 60), None, None, None), rows[-1]]
+
+
+@pytest.mark.parametrize("n", [50, 51, 60])
+def test_passages_of_words_against_brute_force(spark, n):
+    rows = passage_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kind = suffix_dedup.Repeats(n, (16, 42), words=True, across=True)
+    want, texts = [], []
+    for row, gone in zip(rows, brute_passages(rows, n)):
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        want.append((row[0], int((edges == 1).sum()), int(gone.sum())))
+        texts.append((row[0], tuple(w for w, g in zip((row[1] or "").encode().split(), gone) if not g)))
+    got = suffix_dedup.repeat_digests(docs, passages=kind).select("doc_id", "n_passages", "n_passage_words").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    assert sum(w[2] for w in want) > 300
+    cut = suffix_dedup.remove_repeats(docs, repeats=kind).collect()
+    assert collections.Counter((r.doc_id, tuple((r.text or "").encode().split())) for r in cut) == collections.Counter(texts)
+
+
+def test_long_texts_are_looked_at_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PORTION", 2000)
+    values = np.random.default_rng(1).integers(0, 4, 30_000).astype(np.uint8)
+    offsets = np.array([0, 12_000, 12_000, 12_500, 30_000])
+    got = suffix_dedup.anchors(values, offsets, 400, (128,))
+    covered = collections.Counter((o, p) for o, lo, hi in zip(got[0].tolist(), got[3].tolist(), got[4].tolist()) for p in range(lo, hi + 1))
+    assert covered == collections.Counter((o, p) for o, n in enumerate(np.diff(offsets).tolist()) for p in range(n - 399))
+    assert (suffix_dedup.word_values(values, np.array([0, 5000]), np.array([4000, 5003]))[1:] == suffix_dedup.word_values(values[5000:], np.array([0]), np.array([3]))).all()
+
+
+def test_identifiers_of_deeper_buckets_tell_strings_apart():
+    data = np.frombuffer(("abcab" * 40 + prose(1, 40)).encode(), np.uint8)
+    for depths in ((8, 20), (8, 16, 40), (5, 7, 7)):
+        ids, q = suffix_dedup.identifiers(data, depths), depths[-1]
+        strings = [data[i : i + q].tobytes() for i in range(len(data) - q + 1)]
+        assert len(ids) == len(strings) and len(set(zip(ids.tolist(), strings))) == len(set(strings)) == len(set(ids.tolist()))
+
+
 def test_repeats_keep_columns_and_valid_text(spark, odd, none):
     clash = odd.withColumn("windows", F.lit(1)).withColumn("doc", F.lit("d")).withColumn("print", F.lit(2))
     got = suffix_dedup.remove_repeats(clash)
     assert got.columns == clash.columns and got.count() == clash.count()
     assert got.where("text is null").count() == odd.where("text is null").count()
     assert suffix_dedup.remove_repeats(none).count() == 0
-    # Repeats cut within a character leave only whole characters.
+    # Characters that a cut of bytes would part stay.
+    assert suffix_dedup.whole_characters("aéb".encode(), [(0, 2)]) == [(0, 1)]
+    assert suffix_dedup.whole_characters("aéb".encode(), [(2, 4)]) == [(3, 4)]
+    assert suffix_dedup.whole_characters("日本".encode(), [(1, 2)]) == []
     wide = "é" * 300
     rows = [(1, "a" + wide, None, None, None), (2, wide, None, None, None)]
     for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect():
-        r.text.encode()
+        assert r.text in ("a", "")
 
 
 # 2 -------------------------------------------------------------------------------

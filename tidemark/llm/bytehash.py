@@ -36,13 +36,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of substrings of one byte string."""
+    """Hashes of substrings of one byte string, or of stretches of 64-bit values."""
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         _grow(n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[data] * _powers[:n], out=self.prefix[1:])
+        np.cumsum((_VALUES[data] if data.dtype == np.uint8 else data) * _powers[:n], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for each pair; equal strings have equal hashes."""

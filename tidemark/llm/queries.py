@@ -15,7 +15,7 @@ SHARDS = 24
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir), digest_only=True)
+    return suffix_dedup.repeat_digests(documents(spark, sf_dir))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,19 @@ ORACLES: dict[str, str] = {
         cut AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM span),
         kept AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
                         string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
-                 FROM cut JOIN d USING (k) GROUP BY k)
+                 FROM cut JOIN d USING (k) GROUP BY k),
+        words AS (SELECT row_number() OVER () AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS owner,
+                         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS ws FROM documents),
+        said AS (SELECT k, owner, p, md5(array_to_string(ws[p + 1 : p + @N@], ' ')) AS m FROM (SELECT k, owner, ws, unnest(range(0, len(ws) - @N@ + 1)) AS p FROM words)),
+        again AS (SELECT m FROM said GROUP BY m HAVING min(owner) < max(owner)),
+        there AS (SELECT k, p, p - lag(p) OVER (PARTITION BY k ORDER BY p) AS gap FROM said SEMI JOIN again USING (m)),
+        part AS (SELECT k, p, sum(CASE WHEN gap IS NULL OR gap > @N@ THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS g FROM there),
+        passage AS (SELECT k, count(*) AS n, sum(n) AS words FROM (SELECT k, g, max(p) + @N@ - min(p) AS n FROM part GROUP BY k, g) GROUP BY k)
         SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-               sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
-        FROM d LEFT JOIN kept USING (k)
-    """,
+               sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256,
+               CAST(coalesce(passage.n, 0) AS BIGINT) AS n_passages, CAST(coalesce(passage.words, 0) AS BIGINT) AS n_passage_words
+        FROM d LEFT JOIN kept USING (k) LEFT JOIN passage USING (k)
+    """.replace("@N@", str(suffix_dedup.WORDS)),
     "op9_sharding": f"""
         WITH crc AS (
           SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
