@@ -38,8 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes and more that stand elsewhere too."""
-    return _with_size(suffix_dedup.remove_repeats(docs))
+    """Texts without passages of 50 words and more that stand in another document too."""
+    return _with_size(suffix_dedup.remove_repeats(docs, repeats=suffix_dedup.PASSAGES))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
