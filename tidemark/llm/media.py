@@ -2,8 +2,12 @@
 
 ``wrap`` stores bytes as uncompressed 8-bit grey frames of 24 x 24 samples in an
 ISO container. ``inspect`` walks the nested boxes of any such file and decodes
-its sample tables: codec, duration, and the byte ranges of keyframes, without
-decoding a payload. ``read_samples`` follows the same tables to the stored bytes.
+its sample tables, those of movie fragments included: codec, duration, and the byte
+ranges of keyframes, without decoding a payload. ``read_samples`` follows the same
+tables to the stored bytes. No byte of a file is trusted: boxes that end beyond
+what holds them end the walk, tables have no more rows than their box has room for
+(nor more samples of one size than the file has), and boxes that are too short for
+what they should hold are passed over.
 """
 
 from __future__ import annotations
@@ -81,6 +85,7 @@ def wrap(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     handler: str = ""
     codec: str = ""
     width: int = 0
@@ -88,14 +93,19 @@ class Track:
     timescale: int = 0
     duration: int = 0
     tables: dict = field(default_factory=dict)
+    #: Samples of movie fragments: (offset, size, ticks, whether it is a keyframe).
+    fragments: list[tuple[int, int, int, bool]] = field(default_factory=list)
 
     def samples(self) -> list[tuple[int, int]]:
-        """(offset, size) of each sample, from the size, chunk and run tables."""
+        """(offset, size) of each sample, from the size, chunk and run tables, then of fragments."""
+        return self._listed() + [x[:2] for x in self.fragments]
+
+    def _listed(self) -> list[tuple[int, int]]:
         sizes, offsets, runs = self.tables.get("size", []), self.tables.get("offset", []), self.tables.get("run", [])
         out, k = [], 0
         for i, (first, per, _) in enumerate(runs):
             last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
-            for chunk in range(first - 1, min(last, len(offsets))):
+            for chunk in range(max(first, 1) - 1, min(last, len(offsets))):
                 at = offsets[chunk]
                 for _ in range(per):
                     if k == len(sizes):
@@ -107,10 +117,19 @@ class Track:
 
     def keyframes(self) -> list[tuple[int, int]]:
         """(start, end) byte ranges of sync samples; without a sync table all are."""
-        found = self.samples()
+        found = self._listed()
         sync = self.tables.get("sync")
         picked = found if sync is None else [found[i - 1] for i in sync if 0 < i <= len(found)]
-        return [(at, at + size) for at, size in picked]
+        return [(at, at + size) for at, size in [*picked, *(x[:2] for x in self.fragments if x[3])]]
+
+    @property
+    def count(self) -> int:
+        return len(self.tables.get("size", [])) + len(self.fragments)
+
+    @property
+    def seconds(self) -> float:
+        ticks = sum(n * d for n, d in self.tables.get("time", [])) + sum(x[2] for x in self.fragments)
+        return (ticks or self.duration) / max(self.timescale, 1)
 
 
 def boxes(data: memoryview, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
@@ -127,53 +146,125 @@ def boxes(data: memoryview, start: int, stop: int) -> Iterator[tuple[bytes, int,
         start = end
 
 
-def _table(data: memoryview, at: int, end: int, skip: int, form: str) -> list[tuple]:
+def _table(body: memoryview, skip: int, form: str) -> list[tuple]:
     """Rows of a counted table, never more than fit in its box."""
     width = struct.calcsize(">" + form)
-    n = min(struct.unpack_from(">I", data, at + skip)[0], (end - at - skip - 4) // width)
-    return list(struct.iter_unpack(">" + form, data[at + skip + 4 : at + skip + 4 + n * width]))
+    n = min(struct.unpack_from(">I", body, skip)[0], (len(body) - skip - 4) // width)
+    return list(struct.iter_unpack(">" + form, body[skip + 4 : skip + 4 + n * width]))
+
+
+def _read_box(track: Track, kind: bytes, body: memoryview, file_size: int) -> None:
+    """What one box says of its track; struct.error or IndexError if it is too short."""
+    if kind == b"tkhd":
+        track.number = struct.unpack_from(">I", body, 20 if body[0] == 1 else 12)[0]
+    elif kind == b"mdhd":
+        track.timescale, track.duration = struct.unpack_from(">IQ" if body[0] == 1 else ">II", body, 20 if body[0] == 1 else 12)
+    elif kind == b"hdlr":
+        track.handler = struct.unpack_from(">4s", body, 8)[0].decode("latin-1")
+    elif kind == b"stsd":
+        track.codec = struct.unpack_from(">I4s", body, 8)[1].decode("latin-1")
+        if track.handler in ("", "vide"):
+            track.width, track.height = struct.unpack_from(">HH", body, 40)
+    elif kind == b"stts":
+        track.tables["time"] = _table(body, 4, "II")
+    elif kind == b"stss":
+        track.tables["sync"] = [x[0] for x in _table(body, 4, "I")]
+    elif kind == b"stsc":
+        track.tables["run"] = _table(body, 4, "III")
+    elif kind == b"stsz":
+        fixed, n = struct.unpack_from(">II", body, 4)
+        track.tables["size"] = [fixed] * min(n, file_size // fixed) if fixed else [x[0] for x in _table(body, 8, "I")]
+    elif kind in (b"stco", b"co64"):
+        track.tables["offset"] = [x[0] for x in _table(body, 4, "Q" if kind == b"co64" else "I")]
+
+
+@dataclass
+class _Fragment:
+    """Where a fragment's samples are and what they are like unless they say so."""
+
+    track: Track
+    base: int
+    ticks: int
+    size: int
+    flags: int
+
+
+def _fragment(body: memoryview, moof: int, tracks: list[Track], usual: dict[int, tuple]) -> _Fragment | None:
+    """A track fragment's header."""
+    flags, number = struct.unpack_from(">II", body)
+    track = next((t for t in tracks if t.number == number), None)
+    if track is None:
+        return None
+    at, (ticks, size, marks) = 8, usual.get(number, (0, 0, 0))
+    base, names = moof, {0x1: "Q", 0x2: "I", 0x8: "I", 0x10: "I", 0x20: "I"}
+    for bit, form in names.items():
+        if flags & bit:
+            value = struct.unpack_from(">" + form, body, at)[0]
+            at += struct.calcsize(form)
+            base = value if bit == 0x1 else base
+            ticks = value if bit == 0x8 else ticks
+            size = value if bit == 0x10 else size
+            marks = value if bit == 0x20 else marks
+    return _Fragment(track, base, ticks, size, marks)
+
+
+def _fragment_run(body: memoryview, fragment: _Fragment, start: int, file_size: int) -> int:
+    """Add a run's samples to the fragment's track; ``start`` is where they are unless the run says so. Gives their end."""
+    flags, n = struct.unpack_from(">II", body)
+    at, first = 8, None
+    if flags & 0x1:
+        start = fragment.base + struct.unpack_from(">i", body, at)[0]
+        at += 4
+    if flags & 0x4:
+        first = struct.unpack_from(">I", body, at)[0]
+        at += 4
+    own = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    width = 4 * len(own)
+    n = min(n, (len(body) - at) // width if width else file_size // max(fragment.size, 1))
+    for k in range(n):
+        said = dict(zip(own, struct.unpack_from(f">{len(own)}I", body, at + k * width)))
+        size = said.get(0x200, fragment.size)
+        marks = said.get(0x400, first if k == 0 and first is not None else fragment.flags)
+        fragment.track.fragments.append((start, size, said.get(0x100, fragment.ticks), not marks & 0x10000))
+        start += size
+    return start
 
 
 def inspect(media: bytes) -> list[Track]:
     """The tracks of a container. Bytes that are no container have none."""
     data, tracks = memoryview(media), []
-
-    def walk(start: int, stop: int) -> None:
-        for kind, at, end in boxes(data, start, stop):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in CONTAINERS:
-                walk(at, end)
-                continue
-            if not tracks:
-                continue
-            track = tracks[-1]
-            try:
-                if kind == b"mdhd":
-                    wide = data[at] == 1
-                    track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-                elif kind == b"hdlr":
-                    track.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
-                elif kind == b"stsd":
-                    _, name = struct.unpack_from(">I4s", data, at + 8)
-                    track.codec = name.decode("latin-1")
-                    if track.handler in ("", "vide"):
-                        track.width, track.height = struct.unpack_from(">HH", data, at + 40)
-                elif kind == b"stts":
-                    track.tables["time"] = _table(data, at, end, 4, "II")
-                elif kind == b"stss":
-                    track.tables["sync"] = [x[0] for x in _table(data, at, end, 4, "I")]
-                elif kind == b"stsc":
-                    track.tables["run"] = _table(data, at, end, 4, "III")
-                elif kind == b"stsz":
-                    fixed, n = struct.unpack_from(">II", data, at + 4)
-                    track.tables["size"] = [fixed] * n if fixed else [x[0] for x in _table(data, at, end, 8, "I")]
-                elif kind in (b"stco", b"co64"):
-                    track.tables["offset"] = [x[0] for x in _table(data, at, end, 4, "Q" if kind == b"co64" else "I")]
-            except struct.error:
-                continue
-
-    walk(0, len(data))
+    usual: dict[int, tuple] = {}
+    moof, fragment, following = 0, None, 0
+    walks = [boxes(data, 0, len(data))]  # as deep as boxes are nested
+    while walks:
+        found = next(walks[-1], None)
+        if found is None:
+            walks.pop()
+            continue
+        kind, at, end = found
+        if kind == b"trak":
+            tracks.append(Track())
+        elif kind == b"moof":
+            moof = following = at - 8
+        elif kind == b"traf":
+            fragment = None
+        if kind in CONTAINERS:
+            walks.append(boxes(data, at, end))
+            continue
+        body = data[at:end]
+        try:
+            if kind == b"trex":
+                number, _, *values = struct.unpack_from(">5I", body, 4)
+                usual[number] = tuple(values)
+            elif kind == b"tfhd":
+                fragment = _fragment(body, moof, tracks, usual)
+                following = fragment.base if fragment else following
+            elif kind == b"trun" and fragment is not None:
+                following = _fragment_run(body, fragment, following, len(data))
+            elif tracks:
+                _read_box(tracks[-1], kind, body, len(data))
+        except (struct.error, IndexError):
+            continue
     return tracks
 
 
@@ -190,46 +281,54 @@ def read_samples(media: bytes, track: Track) -> bytes:
 
 def describe(track: Track) -> str:
     """One line: codec, frame size, seconds, samples, and keyframe ranges (count, first, last, checksum of all)."""
-    ticks = sum(n * d for n, d in track.tables.get("time", [])) or track.duration
     keys = track.keyframes()
     packed = b"".join(struct.pack(">QQ", *k) for k in keys)
     first, last = (keys[0], keys[-1]) if keys else ((0, 0), (0, 0))
     return (
-        f"codec={track.codec.strip()};size={track.width}x{track.height};seconds={ticks / max(track.timescale, 1):.3f};"
-        f"samples={len(track.tables.get('size', []))};keyframes={len(keys)};first={first[0]}-{first[1]};"
+        f"codec={track.codec.strip()};size={track.width}x{track.height};seconds={track.seconds:.3f};"
+        f"samples={track.count};keyframes={len(keys)};first={first[0]}-{first[1]};"
         f"last={last[0]}-{last[1]};ranges={zlib.crc32(packed):08x}"
     )
 
 
+TRACK_SCHEMA = (
+    "struct<handler: string, codec: string, width: int, height: int, duration_seconds: double, samples: bigint, "
+    "keyframes: array<struct<start: bigint, end: bigint>>>"
+)
 MEDIA_SCHEMA = (
     "codec string, width int, height int, duration_seconds double, samples bigint, "
-    "keyframes array<struct<start: bigint, end: bigint>>"
+    f"keyframes array<struct<start: bigint, end: bigint>>, tracks array<{TRACK_SCHEMA}>"
 )
 
 
 def media_columns(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """``files`` with columns for the first track of each container in ``media_col``.
+    """``files`` with columns for each container in ``media_col``.
 
-    Null or unreadable media give nulls. Payload bytes are never decoded. Columns
+    ``tracks`` has all tracks in order of the file. The other columns are those of the
+    first video track, or of the first track where there is none. Null, empty or
+    unreadable media give nulls; rows that repeat are read each. Payload bytes are never decoded. Columns
     of ``files`` with the same names as the new ones are replaced.
     """
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), ranges]
+    one = pa.struct([("handler", pa.string()), *zip(["codec", "width", "height", "duration_seconds", "samples", "keyframes"], kinds)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for blob in batch.column(batch.schema.get_field_index(media_col)):
                 tracks = inspect(blob.as_py()) if blob.is_valid else []
-                if not tracks:
-                    rows.append((None,) * 6)
-                    continue
-                t = tracks[0]
-                ticks = sum(n * d for n, d in t.tables.get("time", [])) or t.duration
-                ranges = [{"start": a, "end": b} for a, b in t.keyframes()]
-                rows.append((t.codec, t.width, t.height, ticks / max(t.timescale, 1), len(t.tables.get("size", [])), ranges))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                said = [
+                    {"handler": t.handler, "codec": t.codec, "width": t.width, "height": t.height, "duration_seconds": t.seconds, "samples": t.count,
+                     "keyframes": [{"start": a, "end": b} for a, b in t.keyframes()]}
+                    for t in tracks
+                ]
+                chosen = next((x for x in said if x["handler"] == "vide"), said[0] if said else None)
+                rows.append((*[chosen[c] for c in added[:-1]], said) if chosen else (None,) * len(added))
+            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([*kinds, pa.list_(one)])]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *new], names)
 
-    added = ["codec", "width", "height", "duration_seconds", "samples", "keyframes"]
+    added = ["codec", "width", "height", "duration_seconds", "samples", "keyframes", "tracks"]
     keep = [i for i, c in enumerate(files.columns) if c not in added]
     names = [files.columns[i] for i in keep] + added
     old = ", ".join(f"`{files.columns[i]}` {files.schema[i].dataType.simpleString()}" for i in keep)
@@ -237,7 +336,11 @@ def media_columns(files: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def stored_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a container, read back, with digests of both and a feature line."""
+    """Each text as a container, read back, with digests of both and a feature line.
+
+    A null text is stored as an empty one; rows that repeat each have a row, and rows
+    without an id a null one. Other columns of ``docs`` are not looked at.
+    """
     out = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
