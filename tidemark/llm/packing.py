@@ -212,13 +212,20 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """``rows`` with ``sequence_id`` and ``offset``; lengths are 1 to ``capacity``.
 
-    Rows are told apart by all their columns; equal rows may swap places. An empty
-    table gives no rows. The plan that travels to the workers has a row for each
+    Rows are told apart by all their columns; equal rows may swap places. A null
+    length, or one out of bounds, is an error. An empty table gives no rows. Columns
+    ``sequence_id`` and ``offset`` of ``rows`` are replaced; others keep their names
+    and values. The plan that travels to the workers has a row for each
     run of equal placements; its size depends on the number of different lengths,
     not on the number of documents.
     """
-    rows = cut(rows)
-    histogram = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
+    old_names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    inner = {c: f"c{i}" for i, c in enumerate(old_names)}  # no name of a column can meet one of those below
+    rows = cut(rows.select(*[F.col(f"`{c}`").alias(inner[c]) for c in old_names]))
+    length_col = inner[length_col]
+    histogram = {r[0]: r[1] for r in rows.groupBy(F.expr(f"least({length_col}, {capacity + 1})")).count().collect()}  # at most ``capacity`` + 2 rows
+    if any(x is None or not 1 <= x <= capacity for x in histogram):
+        raise ValueError(f"lengths are 1 to {capacity}")
     plan = plan_packing(histogram, capacity)
     table = np.array(plan.placements, np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
@@ -229,8 +236,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
         "_bucket", F.pmod(F.xxhash64(*rows.columns), F.element_at(F.lit(widths), F.col(length_col).cast("int") + 1))
     )
     ranked = numbered(bucketed, [length_col], "_bucket", order, "_rank").drop("_bucket")
-    names = [*rows.columns, "sequence_id", "offset"]
     length_at, rank_at = ranked.columns.index(length_col), ranked.columns.index("_rank")
+    kept_at = [ranked.columns.index(inner[c]) for c in old_names]
+    names = [*old_names, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +246,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
             rank = batch.column(rank_at).to_numpy(zero_copy_only=False).astype(np.int64) - 1
             at = np.searchsorted(place_key, (length << 44) + rank, side="right") - 1
             hit = table[at]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
+            kept = [batch.column(i) for i in kept_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(hit[:, 3] + rank - hit[:, 1]), pa.array(hit[:, 4])], names)
 
-    old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    old = ", ".join(f"`{c}` {rows.schema[inner[c]].dataType.simpleString()}" for c in old_names)
     return ranked.mapInArrow(run, f"{old}, sequence_id bigint, offset bigint")
 
 

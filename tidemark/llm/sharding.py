@@ -26,8 +26,14 @@ def interleave(rows: DataFrame, shards: int, key: str = "id", source: str = "sou
 
     Counts of shards are at most one apart; a null source is a source of its own
     and a null key sorts as the word null. Rows that are equal in every column are
-    told apart by nothing and may swap places. An empty table gives no rows.
+    told apart by nothing and may swap places. An empty table gives no rows. Columns
+    ``shard`` and ``slot`` of ``rows`` are replaced; others keep their names and
+    values, whatever they are called.
     """
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    inner = {c: f"c{i}" for i, c in enumerate(names)}  # no name of a column can meet one of those below
+    rows = rows.select(*[F.col(f"`{c}`").alias(inner[c]) for c in names])
+    key, source = inner[key], inner[source]
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     ties = [F.col(c) for c in rows.columns if c != source]
     total = rows.count()
@@ -46,6 +52,6 @@ def interleave(rows: DataFrame, shards: int, key: str = "id", source: str = "sou
     order = [F.col("_fraction"), F.col(source).asc_nulls_first(), F.col("_digest"), *ties]
     sorted_rows = numbered(placed, [], "_step", order, "_place")
     shard = F.expr(f"cast((_place - 1) * {shards} div {max(total, 1)} as int)")
-    start = F.expr(f"({'_shard'} * {max(total, 1)}L + {shards - 1}) div {shards}")
-    out = sorted_rows.withColumn("_shard", shard).withColumn("slot", F.col("_place") - 1 - start)
-    return out.withColumnRenamed("_shard", "shard").select(*rows.columns, "shard", "slot")
+    start = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
+    out = sorted_rows.withColumn("shard", shard).withColumn("slot", F.col("_place") - 1 - start)
+    return out.select(*[F.col(inner[c]).alias(c) for c in names], "shard", "slot")
