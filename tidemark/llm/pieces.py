@@ -10,9 +10,12 @@ No piece has a space mark after another character, a line break, or both letters
 and other characters (a file that has is refused), so every path passes the
 borders there and the stretches between them are independent: lattices are built
 once for each distinct stretch of a portion of rows, and the draws of all
-occurrences are made together. The random numbers of a row are hashes of its
-key and the place of the draw: the same key, text, seed and theta give the same
-pieces, however rows are dealt to tasks.
+occurrences are made together. A long stretch (scripts without spaces, encoded data)
+is one lattice too: its forward pass goes chunk by chunk and carries the sums of the
+last places over each border; the backward pass makes the chunks again from there,
+so that memory does not grow with the number of its edges. The random numbers of a
+row are hashes of its key and the place of the draw: the same key, text, seed and
+theta give the same pieces, however rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +40,12 @@ SPACE = "▁"
 OWN_MARK = "\udfff"
 #: Scores of the public file are merge ranks; this makes the whole range of ranks a few natural log units.
 THETA = 2e-4
-#: Stretches without a border go in parts of this many characters at most; each part is a lattice of its own.
-LONGEST = 64
+#: Stretches of more characters go through their lattice chunk by chunk; the way does not change the draws.
+LONGEST, CHUNK = 64, 1024
 #: Signs: ASCII but letters and line breaks, Latin-1 signs and general punctuation. Everything else counts as letters.
 SIGNS = r"\x00-\x09\x0b-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f"
-#: Signs or letters, after at most 16 space marks; space marks alone; a line break.
-STRETCH = re.compile(rf"{SPACE}{{0,16}}(?:[{SIGNS}]{{1,{LONGEST}}}|[^{SIGNS}\n{SPACE}]{{1,{LONGEST}}})|{SPACE}{{1,16}}|\n")
+#: Signs or letters, after any number of space marks; space marks alone; a line break.
+STRETCH = re.compile(rf"{SPACE}*+(?:[{SIGNS}]++|[^{SIGNS}\n{SPACE}]++)|{SPACE}++|\n")
 CHARACTERS_AT_ONCE = 1 << 22
 STEP = 0x9E3779B97F4A7C15
 SIEVE_BITS = 18
@@ -114,6 +118,88 @@ class Vocabulary:
         return b"".join(map(self.written.__getitem__, ids.tolist()))[1:]
 
 
+def matches(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, size + 1, longest): weights and numbers of the pieces that end at each place, by length; characters without one are spelt."""
+    rows, size = codes.shape
+    most = min(size, v.longest)
+    share = np.zeros((rows, size + 1, most))
+    piece = np.zeros((rows, size + 1, most), np.int32)
+    seen = np.zeros((rows, size), np.uint64)
+    for n in range(1, most + 1):
+        seen[:, n - 1 :] = extend(seen[:, n - 1 :], codes[:, : size - n + 1])
+        keys, numbers, weights, sieve = v.tables[n - 1]
+        wanted = seen[:, n - 1 :]
+        row, end = np.nonzero(sieve[wanted >> np.uint64(64 - SIEVE_BITS)])
+        if len(row):
+            sought = wanted[row, end]
+            place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            hit = keys[place] == sought
+            row, end, place = row[hit], end[hit] + n, place[hit]
+            share[row, end, n - 1] = weights[place]
+            piece[row, end, n - 1] = numbers[place]
+        if n == 1 and not share[:, 1:, 0].all():
+            missing = share[:, 1:, 0] == 0
+            share[:, 1:, 0][missing] = v.floor
+            for code in np.unique(codes[missing]).tolist():
+                piece[:, 1:, 0][missing & (codes == code)] = v.spell(chr(code))
+    return share, piece
+
+
+class LongLattice:
+    """The lattice of one long stretch. ``sums`` has, for each chunk, those of the last places before it, to any common scale."""
+
+    def __init__(self, vocabulary: Vocabulary, stretch: str, chunk: int = CHUNK) -> None:
+        self.vocabulary, self.chunk = vocabulary, chunk
+        self.codes = np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        carried = np.zeros(vocabulary.longest)
+        carried[-1] = 1
+        self.sums = [carried]
+        for k in range(-(-len(self.codes) // chunk)):
+            self.sums.append(self._chunk(k)[2])
+
+    def _chunk(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the places of a chunk: summed shares of the edges by length, and their pieces; and the sums to carry on."""
+        longest, start = self.vocabulary.longest, k * self.chunk
+        stop = min(start + self.chunk, len(self.codes))
+        back = min(start, longest - 1)
+        share, piece = matches(self.vocabulary, self.codes[None, start - back : stop])
+        share, piece = share[0, back + 1 :], piece[0, back + 1 :]
+        most = share.shape[1]
+        sums = np.concatenate([self.sums[k], np.zeros(stop - start)])
+        for i in range(stop - start):
+            at = longest + i
+            share[i] *= sums[at - most : at][::-1]
+            total = share[i].sum()
+            share[i] /= total
+            sums[at] = total
+            if not 1e-100 < total < 1e100:
+                sums[at - longest + 1 : at + 1] /= total
+        return np.cumsum(share, axis=1), piece, sums[-longest:]
+
+    def draw(self, seeds: np.ndarray) -> list[np.ndarray]:
+        """Pieces of an occurrence for each seed."""
+        place = np.full(len(seeds), len(self.codes))
+        drawn: list[list[int]] = [[] for _ in seeds]
+        for k in range(len(self.sums) - 2, -1, -1):
+            upto, piece, _ = self._chunk(k)
+            last = upto.shape[1] - 1 - np.argmax(np.diff(upto, axis=1, prepend=0)[:, ::-1] > 0, axis=1)  # longest edge there is
+            start = k * self.chunk
+            for who, out in enumerate(drawn):
+                at, seed = int(place[who]), seeds[who]
+                # As many numbers as this chunk can take at most, from the next step on.
+                steps = (np.arange(len(out) + 1, len(out) + 1 + max(0, at - start), dtype=np.uint64)) * np.uint64(STEP)
+                numbers = ((mix(seed + steps) >> np.uint64(11)).astype(np.float64) / (1 << 53)).tolist()
+                for u in numbers:
+                    if at <= start:
+                        break
+                    row = at - start - 1
+                    edge = min(int(np.searchsorted(upto[row], u, side="right")), int(last[row]))
+                    out.append(int(piece[row, edge]))
+                    at -= edge + 1
+                place[who] = at
+        return [np.array(x[::-1], np.int64) for x in drawn]
+
+
 class Lattices:
     """Lattices of distinct stretches, as flat arrays.
 
@@ -141,27 +227,8 @@ class Lattices:
     def _built(v: Vocabulary, rows: list[str], size: int, base: int) -> tuple[np.ndarray, ...]:
         """Edges per state, and piece, target and key of each edge, of stretches of one size."""
         codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(-1, size)
-        most = min(size, v.longest)
-        share = np.zeros((len(rows), size + 1, most))
-        piece = np.zeros((len(rows), size + 1, most), np.int32)
-        seen = np.zeros((len(rows), size), np.uint64)
-        for n in range(1, most + 1):
-            seen[:, n - 1 :] = extend(seen[:, n - 1 :], codes[:, : size - n + 1])
-            keys, numbers, weights, sieve = v.tables[n - 1]
-            wanted = seen[:, n - 1 :]
-            row, end = np.nonzero(sieve[wanted >> np.uint64(64 - SIEVE_BITS)])
-            if len(row):
-                sought = wanted[row, end]
-                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-                hit = keys[place] == sought
-                row, end, place = row[hit], end[hit] + n, place[hit]
-                share[row, end, n - 1] = weights[place]
-                piece[row, end, n - 1] = numbers[place]
-            if n == 1 and not share[:, 1:, 0].all():
-                missing = share[:, 1:, 0] == 0
-                share[:, 1:, 0][missing] = v.floor
-                for code in np.unique(codes[missing]).tolist():
-                    piece[:, 1:, 0][missing & (codes == code)] = v.spell(chr(code))
+        share, piece = matches(v, codes)
+        most = share.shape[2]
         ways = np.zeros((len(rows), size + 1))
         ways[:, 0] = 1
         for end in range(1, size + 1):
@@ -213,20 +280,42 @@ class Sampler:
             found = STRETCH.findall(SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE))
             stretches += found
             counts.append(len(found))
-        known = {s: i for i, s in enumerate(dict.fromkeys(stretches))}
-        lattices = Lattices(self.vocabulary, list(known))
+        known = {s: i for i, s in enumerate(sorted(dict.fromkeys(stretches), key=len))}
         numbers = np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
         per = np.array(counts, np.int64)
         row = np.array([xxhash.xxh64_intdigest(str(k).encode(), seed & (1 << 64) - 1) for k in keys], np.uint64)
         within = np.arange(len(numbers)) - np.repeat(np.cumsum(per) - per, per)
         seeds = mix(np.repeat(row, per) + within.astype(np.uint64) * np.uint64(STEP))
-        pieces, sizes = lattices.draw(numbers, seeds)
+        pieces, sizes = self._drawn(list(known), numbers, seeds)
         ids, place = self.vocabulary.ids(pieces)
         stretch_end = np.concatenate([[0], np.cumsum(sizes)])
         text_end = stretch_end[np.concatenate([[0], np.cumsum(per)])]
         cuts = np.concatenate([place, [len(ids)]])[text_end]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    def _drawn(self, stretches: list[str], numbers: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all occurrences in a row, and how many each has; ``stretches`` come in order of their length."""
+        short = bisect_right(stretches, LONGEST, key=len)
+        pieces, sizes = Lattices(self.vocabulary, stretches[:short]).draw(numbers[numbers < short], seeds[numbers < short])
+        if short == len(stretches):
+            return pieces, sizes
+        counts = np.zeros(len(numbers), np.int64)
+        counts[numbers < short] = sizes
+        parts: dict[int, np.ndarray] = {}
+        where = np.flatnonzero(numbers >= short)
+        where = where[np.argsort(numbers[where], kind="stable")]
+        for mine in np.split(where, np.flatnonzero(np.diff(numbers[where])) + 1):
+            lattice = LongLattice(self.vocabulary, stretches[int(numbers[mine[0]])])
+            parts |= dict(zip(mine.tolist(), lattice.draw(seeds[mine])))
+        for i, part in parts.items():
+            counts[i] = len(part)
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]), np.int64)
+        out[np.repeat(numbers < short, counts)] = pieces
+        for i, part in parts.items():
+            out[ends[i] - len(part) : ends[i]] = part
+        return out, counts
+
 
 _samplers: dict[tuple[str, float], Sampler] = {}
 
@@ -289,7 +378,11 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "te
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, theta: float = THETA) -> DataFrame:
-    """Each text encoded and decoded again: numbers and checksums of ids and bytes, and whether the text came back."""
+    """Each text encoded and decoded again: numbers and checksums of ids and bytes, and whether the text came back.
+
+    Null and empty texts have no ids and come back as empty ones. Rows that repeat an id
+    and a text draw the same; a null id is the word None. Other columns are not looked at.
+    """
     out = "doc_id bigint, n_bytes bigint, n_ids bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
