@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import boosting, components, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
+from tidemark.llm import boosting, common, components, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
 from tidemark.llm.queries import oracle_sql, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -189,15 +189,13 @@ def brute_license(text):
         places += at
         labels |= {label} if at else set()
     best, extra = 0.0, set()
-    for line in low.split("\n"):
-        w = re.findall(licenses.WORD, line)
-        for s in range(0, max(len(w) - 33, 0) + 1, 32):
-            block = set(w[s : s + 64])
-            for label, t in licenses.TEMPLATES.items():
-                t = set(licenses.template_words(t))
-                if len(t & block) >= math.ceil(0.8 * len(t) - 1e-9):
-                    extra.add(label)
-                    best = max(best, len(t & block) / len(t))
+    for s in range(0, max(len(words) - 33, 0) + 1, 32):
+        block = set(words[s : s + 64])
+        for label, t in licenses.TEMPLATES.items():
+            t = set(licenses.template_words(t))
+            if len(t & block) >= math.ceil(0.8 * len(t) - 1e-9):
+                extra.add(label)
+                best = max(best, len(t & block) / len(t))
     first, last = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), first, last, ",".join(sorted(labels)), ",".join(sorted(labels | extra)), 1.0 if labels else best
 
@@ -216,20 +214,31 @@ def test_licenses_against_brute_force(spark, none):
     assert licenses.scan(none).count() == 0
 
 
-def test_wrapped_notices_are_found_across_lines(spark):
+def test_wrapped_notices_are_found(spark):
     rows = []
     for label, t in licenses.TEMPLATES.items():
         words = t.split()
-        for k, step in enumerate((3, 9)):
+        for k, step in enumerate((3, 9, 99)):
             notice = "\n".join(" ".join(words[i : i + step]) for i in range(0, len(words), step))
             rows += [(f"{label} {k} {n}", label, f"{prose(n, n)}\n{notice}\n{prose(n + 1, 70)}") for n in (0, 29, 61)]
     docs = spark.createDataFrame(rows, "name string, label string, text string")
-    for r in licenses.scan(docs, across_lines=True).collect():
+    for r in licenses.scan(docs).collect():
         assert r.label in [b.label for b in r.blocks] and r.label in r.labels.split(",") and r.score == 1.0, r.name
-    by_line = {r.name: r.labels for r in licenses.scan(docs).collect()}
-    across = {r.name: r.labels for r in licenses.scan(docs, across_lines=True).collect()}
-    assert all(set(by_line[n].split(",")) <= set(across[n].split(",")) | {""} for n in by_line)
-    assert "mit-text" not in by_line["mit-text 1 29"].split(",")
+
+
+def test_own_templates_thresholds_and_columns(spark, none):
+    long = prose(31, 60) + " " + prose(32, 60)
+    docs = spark.createDataFrame([(1, prose(5, 50) + " " + long + " " + prose(6, 50)), (2, "Keep this Notice, please!"), (3, None), (4, "keep nothing")], "_words int, text string")
+    table = spark.createDataFrame([("long", long), ("keep", "keep this NOTICE please"), (None, "x"), ("none", "..")], "label string, text string")
+    for threshold, keep in ((0.8, 0), (0.5, 0), (0.25, 1)):
+        got = {r._words: r for r in licenses.scan(docs, threshold=threshold, templates=table).collect()}
+        assert "long" in [b.label for b in got[1].blocks] and got[2].labels == "keep" and got[2].score == 1.0
+        assert got[3].labels == "" and got[3].score == 0.0 and len(got[4].blocks) == keep
+    assert licenses.scan(docs, templates={}).where("score > 0").count() == 0 and licenses.scan(none, templates=table).count() == 0
+    many = spark.range(licenses.MOST_TEMPLATES + 1).selectExpr("string(id) AS label", "'a b' AS text")
+    for bad in (lambda: licenses.scan(docs, templates=many), lambda: licenses.scan(docs, threshold=0), lambda: licenses.scan(docs, templates=table.unionByName(table))):
+        with pytest.raises(ValueError):
+            bad()
 
 
 # 3 -------------------------------------------------------------------------------
@@ -362,6 +371,57 @@ def test_containers_of_many_chunks_and_broken_ones(spark):
     got = {r.id: r for r in media.media_columns(df).collect()}
     assert got[1].codec == "raw " and len(got[1].keyframes) == len(keys) and got[1].duration_seconds == len(payload) / 576 / 25
     assert got[2].codec is None and got[3].keyframes is None
+    assert [t.handler for t in got[1].tracks] == ["vide"] and got[1].tracks[0].keyframes == got[1].keyframes and got[3].tracks is None
+
+
+def test_broken_containers_never_crash_or_swell():
+    whole = media.wrap(bytes(range(256)) * 9)
+    deep = b""
+    for _ in range(5000):
+        deep = media.box(b"moov", deep)
+    assert media.inspect(deep) == []
+    trak = media.box(b"trak", media.box(b"mdia", media.box(b"mdhd")))
+    assert media.inspect(media.box(b"moov", trak))[0].timescale == 0  # an empty header
+    huge = media.box(b"moov", media.box(b"trak", media.full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF))))
+    assert media.inspect(huge)[0].count <= len(huge)
+    r = random.Random(5)
+    for _ in range(1500):
+        data = bytearray(whole)
+        for _ in range(r.randint(1, 6)):
+            data[r.randrange(32 + 2304 if r.random() < 0.9 else 0, len(data))] = r.choice((0, 1, 255, r.randrange(256)))
+        for track in media.inspect(bytes(data[: r.randint(1, len(data))])):
+            media.describe(track)
+            media.read_samples(bytes(data), track)
+
+
+def test_fragments_and_several_tracks(spark):
+    def track(number, kind, codec):
+        header = media.full(b"tkhd", struct.pack(">III", 0, 0, number), bytes(72))
+        sizes = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(40))))
+        return media.box(b"trak", header, media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIII", 0, 0, 10, 0, 0)), media.full(b"hdlr", struct.pack(">I4s12x", 0, kind)), sizes))
+
+    usual = media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 2, 1, 5, 100, 0x10000)))
+    head = media.box(b"moov", track(1, b"soun", b"mp4a"), track(2, b"vide", b"avc1"), usual)
+    for plain in (True, False):
+        # Three samples of 100 bytes and 5 ticks, the first a keyframe; or of sizes, ticks and flags of their own.
+        if plain:
+            run = media.full(b"trun", struct.pack(">IiI", 3, 0, 0), flags=0x5)
+        else:
+            run = media.full(b"trun", struct.pack(">Ii9I", 3, 0, 7, 10, 0, 8, 20, 0x10000, 9, 30, 0), flags=0x701)
+        size = 8 + len(media.full(b"tfhd", struct.pack(">I", 2), flags=0x20000)) + len(run) + 8
+        at = size + 8
+        run = run[:16] + struct.pack(">i", at) + run[20:]
+        moof = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2), flags=0x20000), run))
+        assert len(moof) == size
+        data = head + moof + media.box(b"mdat", bytes(300))
+        start = len(head) + at
+        sound, video = media.inspect(data)
+        assert (sound.handler, sound.codec, sound.count) == ("soun", "mp4a", 0)
+        want = [(start, 100), (start + 100, 100), (start + 200, 100)] if plain else [(start, 10), (start + 10, 20), (start + 30, 30)]
+        assert video.samples() == want and video.seconds == (1.5 if plain else 2.4)
+        assert video.keyframes() == ([(start, start + 100)] if plain else [(start, start + 10), (start + 30, start + 60)])
+    (row,) = media.media_columns(spark.createDataFrame([(1, bytearray(data))], "tracks int, media binary")).collect()
+    assert row.codec == "avc1" and row.samples == 3 and [t.codec for t in row.tracks] == ["mp4a", "avc1"]
 
 
 # 5 -------------------------------------------------------------------------------
@@ -427,6 +487,31 @@ def test_samples_follow_the_lattice_and_decode_to_the_text():
         assert abs(got[path] / n - share) <= 5 * math.sqrt(share * (1 - share) / n) + 1e-4
 
 
+def test_long_stretches_are_one_lattice():
+    v = pieces.Sampler(PIECES).vocabulary
+    r = random.Random(4)
+    seeds = np.random.default_rng(1).integers(0, 1 << 63, 40, dtype=np.uint64)
+    # Up to the range of doubles the lattice of short stretches holds long ones too: same seeds, same pieces.
+    for stretch in ("a" * 150, "".join(r.choice("internationalization") for _ in range(200)), "".join(r.choice("日本語の文字列") for _ in range(100)), pieces.SPACE * 90 + "x"):
+        whole = pieces.Lattices(v, [stretch])
+        ids, counts = whole.draw(np.zeros(len(seeds), np.int64), seeds)
+        want = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        for chunk in (7, 64, 1000):
+            assert [x.tolist() for x in pieces.LongLattice(v, stretch, chunk).draw(seeds)] == want
+    # And a stretch of 10,000 characters in chunks is the one that is a single chunk.
+    stretch = "".join(r.choice(("station", "er", "日", "文", "x", "q", "🎉", "0")) for _ in range(6000))[:10_000].replace("0", "o")
+    assert len(stretch) == 10_000
+    parts, whole = pieces.LongLattice(v, stretch, 512).draw(seeds[:6]), pieces.LongLattice(v, stretch, 1 << 20).draw(seeds[:6])
+    assert [x.tolist() for x in parts] == [x.tolist() for x in whole] and len({tuple(x.tolist()) for x in parts}) == 6
+    coder = pieces.Sampler(PIECES)
+    texts = [stretch, "short " + stretch[:500] + " " * 300 + stretch[:500] + "\n" + stretch[:64] + "!" * 65, stretch]
+    encoded = coder.encode(texts, [1, 2, 1])
+    assert [coder.vocabulary.decode(x).decode() for x in encoded] == texts and encoded[0].tolist() == encoded[2].tolist()
+    # No piece is barred from a place: pieces lie over every multiple of 64.
+    ends = np.cumsum([len(coder.vocabulary.written[i]) for i in coder.encode(["a" * 6400], [3])[0].tolist()]) - 1
+    assert not set(range(64, 6400, 64)) <= set(ends.tolist())
+
+
 def test_samples_depend_on_key_and_seed_only(spark, odd, none):
     docs = odd.where("doc_id is not null").withColumn("ids", F.lit(0))
     a = {(r.doc_id, r.text): r.ids for r in pieces.encode(docs, PIECES).collect()}
@@ -565,10 +650,14 @@ def test_common_shingles_go_last_and_prefixes_still_meet():
         left = size - np.concatenate([np.arange(len(f)) for f in firsts])
         order = np.argsort(key, kind="stable")
         root = node // 3
-        found = simhash.crossing_pairs(key[order], node[order], root[order], size[order], left[order], 0.8)
-        got = {(a, b) for a, b, n, need in found.tolist() if n >= need}
-        alike = {(a, b) for a, b in itertools.combinations(range(60), 2) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
-        assert {p for p in alike if p[0] // 3 != p[1] // 3} <= got and all(a // 3 != b // 3 for a, b in got)
+        for most in (1 << 17, 50):
+            shared = collections.Counter()
+            for found in simhash.crossing_pairs(key[order], node[order], root[order], size[order], left[order], 0.8, most):
+                for a, b, n, need in found.tolist():
+                    shared[a, b, need] += n
+            got = {(a, b) for (a, b, need), n in shared.items() if n >= need}
+            alike = {(a, b) for a, b in itertools.combinations(range(60), 2) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+            assert {p for p in alike if p[0] // 3 != p[1] // 3} <= got and all(a // 3 != b // 3 for a, b in got)
 
 
 def test_links_in_small_and_large_sets_are_the_same():
@@ -690,6 +779,52 @@ def test_packing_is_whole_gapless_and_tight(spark, odd, none):
     assert packing.pack_documents(none, WORD_BPE).count() == 0
 
 
+def test_names_that_clash_with_those_of_operators(spark):
+    names = ["shard", "slot", "_bucket", "_digest", "_rank", "_n", "_within", "before", "source", "id", "sequence_id", "offset", "length", "c0"]
+    rows = [tuple(1 + (k * 7 + j) % 5 for j in range(len(names))) for k in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` bigint" for n in names))
+    dealt = sharding.interleave(df, 3)
+    assert dealt.columns == [n for n in names if n not in ("shard", "slot")] + ["shard", "slot"]
+    assert sorted(collections.Counter(r.shard for r in dealt.collect()).values()) == [66, 67, 67]
+    assert sorted(map(tuple, dealt.drop("shard", "slot").collect())) == sorted(r[2:] for r in rows)
+    packed = packing.pack(df, capacity=9)
+    assert packed.columns == [n for n in names if n not in ("sequence_id", "offset")] + ["sequence_id", "offset"]
+    places = packed.collect()
+    assert len({(r.sequence_id, r.offset) for r in places}) == 200 and all(r.offset + r.length <= 9 for r in places)
+    for bad in (0, 10, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(bad,)], "length int"), capacity=9)
+
+
+def test_a_cluster_needs_a_named_checkpoint_folder():
+    class Context:
+        def __init__(self, master):
+            self.master, self._jsc, self.folder = master, self, None
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            class Option:
+                isEmpty = staticmethod(lambda: self.folder is None)
+                get = staticmethod(lambda: self.folder)
+
+            return Option
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext, self.conf = Context(master), {"spark.checkpoint.dir": named} if named else {}
+
+    assert common.checkpoint_folder(Session("spark://host:7077", "hdfs://x/shared")) == "hdfs://x/shared"
+    assert "tidemark" in common.checkpoint_folder(Session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            common.checkpoint_folder(Session(master))
+
+
 @pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 10_000}, {2049: 7, 2047: 7}, {3000: 500, 1096: 400, 700: 900, 5: 3}, {1400: 10**9, 1296: 10**9}])
 def test_plans_place_every_row_once(histogram):
     plan = packing.plan_packing(histogram)

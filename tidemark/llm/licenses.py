@@ -1,7 +1,8 @@
 """License scan: phrases, and an exact containment join of text blocks with templates.
 
 DataFrame functions only. A template is a set of words. A block (a stretch of up
-to 64 words of one line, or with ``across_lines`` of the text as well) matches if it holds at least ``THRESHOLD`` of them. Words
+to 64 words of a text, or of twice the longest template; line breaks are no borders,
+as notices are wrapped) matches if it holds at least ``THRESHOLD`` of them. Words
 of all templates are ordered by how many texts of the corpus have them, rarest
 first. A block with c of a template's n words has one of its first n - c + 1 words
 in that order, so only these are indexed. A block looks its words up in the index;
@@ -14,6 +15,7 @@ Candidates are verified by the intersection itself.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,10 @@ from .common import lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
-BLOCK, STRIDE = 64, 32
+#: Words of a block at least; blocks start every half block.
+BLOCK = 64
+#: Templates are part of the query's expressions, so their number is bounded.
+MOST_TEMPLATES = 500
 
 #: Fixed phrases and their labels.
 PHRASES = {
@@ -53,6 +58,9 @@ TEMPLATES = {
 }
 
 
+FOUND = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks")
+
+
 @dataclass(frozen=True)
 class Template:
     """``words`` distinct, rarest first; ``need`` of them make a match."""
@@ -67,7 +75,19 @@ class Template:
 
 
 def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(text.replace(".", " ").split()))
+    """Distinct words, A-Z in lower case as in texts."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return list(dict.fromkeys(re.findall(WORD, lowered)))
+
+
+def template_table(templates: dict[str, str] | DataFrame) -> dict[str, str]:
+    """Templates by label; of a (label, text) table at most ``MOST_TEMPLATES`` rows, more are an error."""
+    if isinstance(templates, dict):
+        return templates
+    rows = templates.select("label", "text").where("label is not null and text is not null").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES or len({r.label for r in rows}) < len(rows):
+        raise ValueError(f"templates are at most {MOST_TEMPLATES} rows, of different labels")
+    return {r.label: r.text for r in rows if template_words(r.text)}
 
 
 def words_of(lowered: Column) -> Column:
@@ -95,24 +115,18 @@ def _structs(rows: list[dict]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
 
 
-def blocks_of(lowered: Column, across_lines: bool = False) -> Column:
-    """Overlapping stretches of words of each line; no stretch of 33 words of a line is missed.
-
-    With ``across_lines`` stretches of the whole text are added to those of its
-    lines, so no stretch of 33 words is missed, however it is wrapped.
-    """
+def block_words(templates: dict[str, str]) -> int:
+    """Words of a block, so that the words of any template can lie in one wherever they start."""
+    return max(BLOCK, 2 * max((len(template_words(t)) for t in templates.values()), default=0))
 
-    def stretches(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1 - STRIDE, F.lit(0)), F.lit(STRIDE))
-        return F.transform(starts, lambda at: F.slice(words, at + 1, BLOCK))
 
-    of_lines = F.flatten(F.transform(F.split(lowered, "\n"), lambda line: stretches(words_of(line))))
-    if not across_lines:
-        return of_lines
-    return F.when(F.contains(lowered, F.lit("\n")), F.concat(of_lines, stretches(words_of(lowered)))).otherwise(of_lines)
+def blocks_of(words: Column, block: int = BLOCK) -> Column:
+    """Overlapping stretches of words; no stretch of half a block and one word is missed."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1 - block // 2, F.lit(0)), F.lit(block // 2))
+    return F.transform(starts, lambda at: F.slice(words, at + 1, block))
 
 
-def template_matches(lowered: Column, templates: list[Template], order: list[str], across_lines: bool = False) -> Column:
+def template_matches(words: Column, templates: list[Template], order: list[str], block: int = BLOCK) -> Column:
     """array<struct<label, share>>: every matching (block, template), with the share of its words found."""
     vocabulary = F.lit(order)
     index = _structs([
@@ -120,6 +134,7 @@ def template_matches(lowered: Column, templates: list[Template], order: list[str
         for t in templates for i, w in enumerate(t.indexed)
     ])
     known = F.create_map(*[x for t in templates for x in (F.lit(t.label), F.lit(list(t.words)))])
+    needs = F.create_map(*[x for t in templates for x in (F.lit(t.label), F.lit(t.need))])
     indexed = F.lit(sorted({w for t in templates for w in t.indexed}))
 
     def verified(block: Column) -> Column:
@@ -135,9 +150,9 @@ def template_matches(lowered: Column, templates: list[Template], order: list[str
                 x.alias("label"), (F.size(F.array_intersect(known[x], block)) / F.size(known[x])).alias("share"), F.size(known[x]).alias("n")
             ),
         )
-        return F.filter(shares, lambda s: s["share"] * s["n"] + 1e-9 >= F.ceil(s["n"] * F.lit(THRESHOLD) - 1e-9))
+        return F.filter(shares, lambda s: s["share"] * s["n"] + 1e-9 >= needs[s["label"]])
 
-    kept = F.transform(blocks_of(lowered, across_lines), lambda b: F.array_intersect(vocabulary, b))
+    kept = F.transform(blocks_of(words, block), lambda b: F.array_intersect(vocabulary, b))
     probing = F.filter(kept, lambda b: F.arrays_overlap(b, indexed))
     return F.flatten(F.transform(probing, verified))
 
@@ -164,28 +179,34 @@ def _phrase_columns(joined: Column, n: Column) -> tuple[Column, Column, Column,
     return total, F.least(*firsts), F.greatest(*lasts), F.array_compact(F.array(*labels))
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
+    """``docs`` with the columns of ``FOUND``.
 
-    Null and empty texts have no words, no labels and score 0. ``score`` is 1 where
-    a phrase stands and else the best share of a matching template. ``blocks`` lists
-    the matches. Notices that are wrapped over lines are only found whole with
-    ``across_lines``; without it the result is that of ``oracle``. Columns of ``docs`` with these names are replaced. Rows are
-    independent of each other but for the order of template words.
+    ``templates`` are wordings by label, or a (label, text) table of at most
+    ``MOST_TEMPLATES`` rows. Null and empty texts have no words, no labels and score 0.
+    ``score`` is 1 where a phrase stands and else the best share of a matching
+    template. ``blocks`` lists the matches. Columns of ``docs`` with these names are
+    replaced, others stay whatever their names. Rows are independent of each other but for the order of template words,
+    on which no result depends.
     """
-    if threshold != THRESHOLD:
-        raise ValueError("templates are indexed for one threshold")
-    templates, order = ordered_templates(docs, text_col)
+    if not 0 < threshold <= 1:
+        raise ValueError(f"a threshold is over 0 and at most 1: {threshold}")
+    wordings = template_table(templates)
+    block = block_words(wordings)
+    found_templates, order = ordered_templates(docs, text_col, wordings, threshold)
     lowered = F.col("_lowered")
     n = F.col("_n")
     # The indexed words and the rarest of each phrase: texts without any of them need no second look.
     joined = F.col("_joined")
-    probe = sorted({w for t in templates for w in t.indexed} | {min(p.split(), key=order.index) for p in PHRASES})
-    marked = docs.withColumn("_lowered", lower_ascii(text_col)).withColumn("_words", words_of(lowered))
+    probe = sorted({w for t in found_templates for w in t.indexed} | {min(p.split(), key=order.index) for p in PHRASES})
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in FOUND]
+    marked = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), lower_ascii(text_col).alias("_lowered")).withColumn("_words", words_of(lowered))
     marked = marked.withColumn("_n", F.size("_words").cast("bigint")).withColumn("_look", F.arrays_overlap("_words", F.lit(probe)))
     marked = marked.withColumn("_joined", F.when(F.col("_look"), F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))).otherwise(F.lit("")))
     count, first, last, labels = _phrase_columns(joined, n)
-    found = F.when(F.col("_look"), template_matches(lowered, templates, order, across_lines)).otherwise(F.array())
+    found = F.expr("cast(array() as array<struct<label: string, share: double, n: int>>)")
+    if found_templates:
+        found = F.when(F.col("_look"), template_matches(F.col("_words"), found_templates, order, block)).otherwise(found)
     marked = marked.withColumn("blocks", found).withColumn("_base", labels)
     every = F.array_union("_base", F.transform("blocks", lambda b: b["label"]))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0))
@@ -198,7 +219,7 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
         .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(every)), ","))
         .withColumn("score", F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(best))
     )
-    return out.drop("_lowered", "_words", "_n", "_look", "_joined", "_base")
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in FOUND], *FOUND)
 
 
 def oracle(table: str = "documents") -> str:
@@ -206,7 +227,7 @@ def oracle(table: str = "documents") -> str:
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
     templates = ", ".join(f"({template_words(t)!r}, '{label}', {math.ceil(THRESHOLD * len(template_words(t)) - 1e-9)})" for label, t in TEMPLATES.items())
-    word = WORD.replace("'", "''")
+    word, block = WORD.replace("'", "''"), block_words(TEMPLATES)
     return f"""
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, {lowered} AS t FROM {table}),
         w AS (SELECT k, doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
@@ -218,11 +239,9 @@ def oracle(table: str = "documents") -> str:
         base AS (
           SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM hits GROUP BY k
         ),
-        lines AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
-        ls AS (SELECT k, regexp_extract_all(line, '{word}') AS ws FROM lines),
         blocks AS (
-          SELECT k, ws[pos + 1 : pos + {BLOCK}] AS b
-          FROM (SELECT k, ws, unnest(range(0, greatest(len(ws) - {1 + STRIDE}, 0) + 1, {STRIDE})) AS pos FROM ls WHERE len(ws) > 0)
+          SELECT k, ws[pos + 1 : pos + {block}] AS b
+          FROM (SELECT k, ws, unnest(range(0, greatest(len(ws) - {1 + block // 2}, 0) + 1, {block // 2})) AS pos FROM w WHERE len(ws) > 0)
         ),
         t(words, label, need) AS (VALUES {templates}),
         m AS (
