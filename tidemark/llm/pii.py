@@ -5,13 +5,15 @@ addresses, card and phone numbers) and always count. Further generators propose
 spans generously, and overlap each other: access keys, long hexadecimal or mixed
 tokens, values after words like "password", account numbers, digit groups. Boosted
 trees score each proposal by its form and by what stands around it; a threshold
-for each generator, set on rows the trees have not seen, decides; of overlapping
-choices the better stays. Generators look at the head of a long value; what is
-chosen then goes on to the end of the value. The trees learn from generated examples (fixed seed,
+for each generator, set on rows the trees have not seen, decides; overlapping
+choices are taken greedily, best first. A proposal goes to the end of its value, however
+long; form and overlaps are judged by its head. The trees learn from generated examples (fixed seed,
 bounded number) that pass through the same expressions as the corpus.
 
 Patterns never scan a run of characters twice: quantifiers are possessive, and a
-match cannot start inside a run whose start has failed.
+match cannot start inside a run whose start has failed. Places and overlaps of a
+text's spans take time in proportion to their number (and to the square of that of a
+cluster of spans that overlap): running sums and maxima are made in chunks.
 """
 
 from __future__ import annotations
@@ -36,44 +38,70 @@ OCTET = "(?:0++|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 #: Generators by kind; what must be in a text for the pattern to be tried.
 GENERATORS = {
-    "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+", "[0-9]"),
-    "contact": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(]?at[\])]?\x20?[A-Za-z0-9-]++\x20?[\[(]?dot[\])]?\x20?[A-Za-z]{2,8}+", "dot"),
-    "credential": (r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{6,128}+", "[=:]"),
-    "key": (r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}+", "[0-9]"),
-    "number": (r"(?<![0-9+.])\(?[0-9](?:[().\x20-]{0,2}[0-9]){6,24}+", "[0-9]"),
-    "token": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+", "[0-9]"),
-}
-#: How long a span is where its generator stops within a value, and what the rest of the value is.
-RESTS = {
-    "credential": (128, r"^[^\s\"']++"),
-    "key": (64, r"^[A-Z0-9]++"),
-    "number": (25, r"^(?:[().\x20-]{0,2}[0-9])++"),
-    "token": (512, r"^[A-Za-z0-9+/_-]++"),
+    "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,}+(?:\x20?[A-Z0-9]{1,3})?+", "[0-9]"),
+    "contact": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(]?at[\])]?\x20?[A-Za-z0-9-]++\x20?[\[(]?dot[\])]?\x20?[A-Za-z]{2,}+", "dot"),
+    "credential": (r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{6,}+", "[=:]"),
+    "key": (r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+", "[0-9]"),
+    "number": (r"(?<![0-9+.])\(?[0-9](?:[().\x20-]{0,2}[0-9]){6,}+", "[0-9]"),
+    "token": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", "[0-9]"),
 }
+#: Characters of a value by which it is judged. They choose, they do not cut.
+HEADS = {"account": 64, "contact": 128, "credential": 128, "key": 64, "number": 25, "token": 512}
 KINDS = [*BASE, *GENERATORS]
 AROUND = 24
+CHUNK = 128
 EXAMPLES = 2400
 PRECISION = 0.97
 SPAN = "struct<start: int, end: int, match: string, before: string, after: string>"
 
 
+def running(values: Column, together: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of whole numbers from 0 on, all sums (or maxima) up to each place.
+
+    Of more than ``CHUNK`` numbers in chunks, each from the total of those before, as
+    an array that grows by one number at a time is copied each time.
+    """
+
+    def folded(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+
+        def step(acc: Column, v: Column) -> Column:
+            now = together(acc["at"], v)
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    zero = F.lit(0)
+
+    def chunked(v: Column) -> Column:
+        chunks = F.sequence(zero, F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+        part = lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK))
+        totals = F.transform(chunks, lambda c: F.aggregate(part(c), zero, together))
+        before = F.concat(F.array(zero), folded(totals, zero))
+        return let(before, lambda b: F.flatten(F.transform(chunks, lambda c: folded(part(c), F.element_at(b, c + 1)))))
+
+    return let(values, lambda v: F.when(F.size(v) <= CHUNK, folded(v, zero)).otherwise(chunked(v)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; an expression that a lambda names is computed again each time."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def located(text: Column, found: Column, pieces: Column) -> Column:
     """Matches with places: ``found`` are a pattern's matches, ``pieces`` what is between them."""
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        match, before = F.element_at(found, i), F.element_at(pieces, i)
-        start = acc["at"] + F.length(before)
-        end = start + F.length(match)
-        span = F.struct(
-            start.alias("start"), end.alias("end"), match.alias("match"),
-            F.right(before, F.lit(AROUND)).alias("before"), F.left(F.element_at(pieces, i + 1), F.lit(AROUND)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    n = F.size(found)
+    before, after = F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n)
+    ends = running(F.zip_with(found, before, lambda m, p: F.length(m) + F.length(p)), lambda a, b: a + b)
+    around = F.zip_with(before, after, lambda b, a: F.struct(F.right(b, F.lit(AROUND)).alias("before"), F.left(a, F.lit(AROUND)).alias("after")))
+    placed = F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+    spans = F.zip_with(placed, around, lambda x, y: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), y["before"].alias("before"), y["after"].alias("after")))
+    return F.when(n > 0, spans).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -137,8 +165,8 @@ FEATURES = ("length", "digits", "capitals", "small", "marks", "distinct", "chang
 
 
 def features(kind: str, s: Column) -> list[Column]:
-    """Form and context of a span, in order of FEATURES."""
-    m, yes = s["match"], lambda c: c.cast("double")
+    """Form of a span's head and context, in order of FEATURES."""
+    m, yes = F.left(s["match"], F.lit(HEADS[kind])), lambda c: c.cast("double")
     return [
         F.length(m).cast("double"),
         _count(m, "[^0-9]"),
@@ -233,30 +261,29 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> Chooser:
     return Chooser(model, thresholds)
 
 
-def _rest(s: Column) -> Column:
-    """How many characters of its value follow a span of ``_text``."""
-    after = F.substring(F.col("_text"), s["end"] + 1, F.length("_text"))
-    out = F.lit(0)
-    for kind, (head, pattern) in RESTS.items():
-        out = F.when((s["kind"] == kind) & (s["end"] - s["start"] >= head), F.length(F.regexp_extract(after, pattern, 0))).otherwise(out)
-    return out
-
-
 def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_<kind>`` for the base kinds, ``base`` and ``spans``.
 
     ``base`` and ``spans`` are arrays of (kind, start, end, score) in order of kind
     and start; places are code points, ends exclusive; base spans have score 1 and
-    all are in ``spans``. A chosen span that overlaps a base one, or a better chosen
-    one, is left out; what stays is widened to the end of its value, over base spans
-    that stand in the rest, and takes the place of choices there. Null and empty texts have none. Columns of these names in
-    ``docs`` are replaced; rows are independent of each other.
+    all are in ``spans``. Of chosen ones the best comes first (then the first, then the
+    first kind); one whose head overlaps a base span, or the head of a span that has
+    been taken, is left out. What is taken goes to the end of its value, over base
+    spans that stand in the rest; one that lies within another taken before it is
+    left out, and one that runs into the next ends there. Null and empty texts have none.
+    Columns of these names in ``docs`` are replaced, others stay whatever their names;
+    rows are independent of each other.
     """
+    names = ["base", "spans", *[f"n_{k}" for k in BASE]]
+    kept_names = [c for c in docs.columns if c not in names]
+    docs = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept_names]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
+    text_col = "_t"
     wide = proposals(docs, text_col)
 
     def plain(kind: str, s: Column, score: Column) -> Column:
+        head = F.least(s["end"], s["start"] + HEADS[kind]) if kind in HEADS else s["end"]
         order = F.lit(KINDS.index(kind)).alias("o")
-        return F.struct(order, s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        return F.struct(s["start"].alias("start"), order, s["end"].alias("end"), head.alias("head"), F.lit(kind).alias("kind"), score.alias("score"))
 
     def sure(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: plain(kind, s, F.lit(1.0)))
@@ -268,30 +295,49 @@ def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame
         score = lambda c: chooser.model.column([c["f"][f"f{i}"] for i in range(len(FEATURES))])
         return F.filter(F.transform(measured, lambda c: plain(kind, c["s"], score(c))), lambda c: c["score"] >= chooser.thresholds[kind])
 
-    base = F.concat(*[sure(k) for k in BASE])
-    wide = wide.withColumn("_base", base).withColumn("_chosen", F.concat(*[chosen(k) for k in GENERATORS]))
-
-    def overlap(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-    def better(a: Column, b: Column) -> Column:
-        by_start = (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["o"] < b["o"]))
-        return (a["score"] > b["score"]) | ((a["score"] == b["score"]) & by_start)
-
-    free = F.filter("_chosen", lambda c: ~F.exists("_base", lambda b: overlap(b, c)))
-    wide = wide.withColumn("_free", free)
-    kept = F.filter("_free", lambda c: ~F.exists("_free", lambda d: overlap(c, d) & better(d, c)))
-    wide = wide.withColumn("_kept", F.transform(kept, lambda c: c.withField("end", c["end"] + _rest(c))))
-    others = lambda c, f: F.filter("_kept", lambda d: f(c, d))
-    covered = lambda c, d: (d["start"] < c["start"]) & (d["end"] >= c["end"])
-    follows = lambda c, d: (d["start"] > c["start"]) & (d["start"] < c["end"]) & (d["end"] > c["end"])
-    outer = F.filter("_kept", lambda c: F.size(others(c, covered)) == 0)
-    whole = F.transform(outer, lambda c: c.withField("end", F.least(c["end"], F.array_min(F.transform(others(c, follows), lambda d: d["start"])))))
-    shape = lambda a: F.transform(F.array_sort(a), lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"]))
+    wide = wide.withColumn("_base", F.concat(*[sure(k) for k in BASE])).withColumn("_chosen", F.concat(*[chosen(k) for k in GENERATORS]))
+    wide = wide.withColumn("_all", F.array_sort(F.concat("_base", "_chosen")))  # by start
+    some = F.size("_chosen") > 0
+    none = F.expr("cast(array() as array<struct<start: int, o: int, end: int, head: int, kind: string, score: double>>)")
+    taken = F.when(some, F.flatten(F.transform(clusters(F.col("_all")), greedy))).otherwise(none)
+    wide = wide.withColumn("_taken", F.array_sort(F.filter(taken, lambda c: c["o"] >= len(BASE))))
+    # Values go to their ends: what lies within one that started before goes, what runs into the next is cut.
+    open_ = lambda t: let(
+        running(F.transform(t, lambda c: c["end"]), larger), lambda reach: F.filter(t, lambda c, i: (i == 0) | (c["end"] > F.get(reach, i - 1)))
+    )
+    ended = lambda o: F.transform(o, lambda c, i: c.withField("end", F.least(c["end"], F.get(o, i + 1)["start"])))
+    whole = F.when(F.size("_taken") > 0, let(F.col("_taken"), lambda t: let(open_(t), ended))).otherwise(none)
+    in_order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["o"], s["start"], s["end"], s["kind"].alias("kind"), s["score"].alias("score"))))
+    shape = lambda a: F.transform(in_order(a), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
     out = wide.withColumn("base", shape(F.col("_base"))).withColumn("spans", shape(F.concat("_base", whole)))
     for kind in BASE:
         out = out.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("bigint"))
-    return out.drop("_text", "_base", "_chosen", "_free", "_kept", *[f"_{k}" for k in KINDS])
+    return out.select(*[F.col(f"_row.`{c}`") for c in kept_names], *[F.col(c) for c in names])
+
+
+def clusters(spans: Column) -> Column:
+    """Spans in order of start, in arrays of those that overlap directly or through others, by their heads."""
+
+    def parted(s: Column, reach: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda c, i: F.when((i == 0) | (c["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        cut = lambda f: F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(F.size(s))), lambda a, b: F.slice(s, a + 1, b - a))
+        return let(firsts, cut)
+
+    return let(spans, lambda s: let(running(F.transform(s, lambda c: c["head"]), larger), lambda reach: parted(s, reach)))
+
+
+def greedy(spans: Column) -> Column:
+    """Base spans, and of the others, best first, each whose head is free."""
+    base = len(BASE)
+    rank = lambda c: F.struct((c["o"] >= base).alias("added"), (-c["score"]).alias("score"), c["start"].alias("at"), c["o"].alias("o"), c.alias("c"))
+    none = F.expr("cast(array() as array<struct<start: int, o: int, end: int, head: int, kind: string, score: double>>)")
+
+    def step(acc: Column, r: Column) -> Column:
+        c = r["c"]
+        met = F.exists(acc, lambda k: (k["start"] < c["head"]) & (c["start"] < k["head"]))
+        return F.when(r["added"] & met, acc).otherwise(F.concat(acc, F.array(c)))
+
+    return F.when(F.size(spans) == 1, spans).otherwise(F.aggregate(F.array_sort(F.transform(spans, rank)), none, step))
 
 
 def listed(spans: Column | str) -> Column:
@@ -304,10 +350,11 @@ def redact(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFra
 
     Where spans overlap each other, the text from the first start to the last
     end goes under the kind that starts first. Texts without spans stay as they
-    are, null ones too.
+    are, null ones too; so do other columns, whatever their names.
     """
-    found = find(docs, chooser, text_col)
-    text = F.col(text_col)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = find(held, chooser, "text")
+    text = F.col("text")
     placed = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -322,5 +369,5 @@ def redact(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFra
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
     cleaned = F.when(F.size("spans") > 0, F.aggregate("_placed", start, step, finish)).otherwise(text)
-    made = found.withColumn("_placed", placed).withColumn(text_col, cleaned)
-    return made.select(*docs.columns)
+    made = found.withColumn("_placed", placed).withColumn("_cleaned", cleaned)
+    return made.select(*[F.col("_cleaned").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
