@@ -39,6 +39,25 @@ class Dialect:
         """An aggregate over the last n bars if ``x`` is there in all of them."""
         return f"CASE WHEN count({x}) {self.over(n)} = {n} THEN {call} {self.over(n)} END"
 
+    def before(self, x: str) -> str:
+        """The last value there was on an earlier bar."""
+        return f"last_value({self.known(x)}) OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    def among(self, call: str, where: str, n: int) -> str:
+        """An aggregate over the last n bars that have the same value of column ``where`` as this one."""
+        return f"{call} OVER (PARTITION BY symbol, {where} ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+    def filled(self, call: str, x: str, where: str, n: int) -> str:
+        """The same, if ``where`` is 1 here and ``x`` is there in all n of them."""
+        return f"CASE WHEN {where} = 1 AND {self.among(f'count({x})', where, n)} = {n} THEN {self.among(call, where, n)} END"
+
+    def earlier(self, x: str, where: str, k: int) -> str:
+        """The value of ``x`` k bars ago, of bars with the same value of column ``where``."""
+        return f"lag({x}, {k}) OVER (PARTITION BY symbol, {where} ORDER BY time)" if k else x
+
+    def flag(self, test: str) -> str:
+        return f"CASE WHEN {test} THEN 1 ELSE 0 END"
+
     def mean(self, x: str, n: int) -> str:
         return self.full(f"avg({x})", x, n)
 
@@ -83,6 +102,9 @@ class Dialect:
 
 
 class SparkSql(Dialect):
+    def known(self, x: str) -> str:
+        return f"{x}, true"
+
     def gather(self, x: str) -> str:
         return f"collect_list({x})"
 
@@ -127,6 +149,9 @@ class SparkSql(Dialect):
 
 
 class DuckSql(Dialect):
+    def known(self, x: str) -> str:
+        return f"{x} IGNORE NULLS"
+
     def gather(self, x: str) -> str:
         return f"list({x})"
 

@@ -248,7 +248,10 @@ class McGinleyDynamic(Fold):
             scale = 0.6 * self.n * (b.close / self.value) ** 4
             if scale == 0 or not math.isfinite(scale):
                 return (None,)
-            self.value += (b.close - self.value) / scale
+            value = self.value + (b.close - self.value) / scale
+            if not math.isfinite(value):
+                return (None,)
+            self.value = value
         return (self.value,)
 
 

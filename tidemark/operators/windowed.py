@@ -88,8 +88,10 @@ def shift(q: Dialect, p: dict) -> Formula:
 
 @indicator("TrueRange")
 def true_range(q: Dialect, p: dict) -> Formula:
+    """The close before is that of the last bar with a range."""
     reach = "greatest(high - low, abs(before - high), abs(before - low))"
-    return line(f"CASE WHEN {q.both('before', 'high', 'low')} THEN {reach} END", ("before", q.lag("close")))
+    ranged = f"CASE WHEN {q.both('high', 'low')} THEN close END"
+    return line(f"CASE WHEN {q.both('before', 'high', 'low')} THEN {reach} END", ("ranged", ranged), ("before", q.before("ranged")))
 
 
 # From the first bar on
@@ -99,62 +101,79 @@ def accumulation_distribution(q: Dialect, p: dict) -> Formula:
     return line(q.cumulative("term"), ("term", term))
 
 
-def _flow(q: Dialect) -> str:
-    return f"CASE WHEN close > before THEN volume WHEN close < before THEN -volume ELSE {q.number(0)} END"
+def _obv(q: Dialect) -> list[tuple[str, str]]:
+    """Bars without close or volume have no value and change nothing."""
+    return [
+        ("ok", q.flag(q.both("close", "volume"))), ("met", "CASE WHEN ok = 1 THEN close END"), ("before", q.before("met")),
+        ("flow", f"CASE WHEN ok = 1 AND before <> 0 AND close > before THEN volume WHEN ok = 1 AND before <> 0 AND close < before THEN -volume ELSE {q.number(0)} END"),
+        ("obv", f"CASE WHEN ok = 1 THEN {q.cumulative('flow')} END"),
+    ]
 
 
 @indicator("BalanceVolume")
 def balance_volume(q: Dialect, p: dict) -> Formula:
-    return line(f"CASE WHEN i >= 1 THEN {q.cumulative('flow')} END", ("before", q.lag("close")), ("flow", _flow(q)))
+    """The first close sets out, with or without a volume; it, and bars after a close of zero, have no value."""
+    steps = [
+        ("first", q.flag(f"{q.before('close')} IS NULL")), ("met", f"CASE WHEN {q.both('volume')} OR first = 1 THEN close END"), ("before", q.before("met")),
+        ("ok", q.flag(f"{q.both('close', 'volume')} AND before <> 0")),
+        ("flow", f"CASE WHEN ok = 1 AND close > before THEN volume WHEN ok = 1 AND close < before THEN -volume ELSE {q.number(0)} END"),
+    ]
+    return line(f"CASE WHEN ok = 1 THEN {q.cumulative('flow')} END", *steps)
 
 
 @indicator("OnBalanceVolume")
 def on_balance_volume(q: Dialect, p: dict) -> Formula:
-    return line(q.cumulative("flow"), ("before", q.lag("close")), ("flow", _flow(q)))
+    return line("obv", *_obv(q))
 
 
 @indicator("OnBalanceVolumeMean")
 def on_balance_volume_mean(q: Dialect, p: dict) -> Formula:
-    return line(q.mean("obv", p["length"]), ("before", q.lag("close")), ("flow", _flow(q)), ("obv", q.cumulative("flow")))
+    return line(q.mean("obv", p["length"]), *_obv(q))
 
 
 @indicator("ChaikinMoneyFlow")
 def chaikin_money_flow(q: Dialect, p: dict) -> Formula:
-    """What leaves the window is taken from both sums, as the money flow it was."""
-    n = p["length"]
-    flow = f"coalesce({q.divide('(close - low) - (high - close)', 'high - low')} * volume, {q.number(0)})"
-    gone = f"coalesce({q.lag('flow', n)}, {q.number(0)})"
-    value = f"CASE WHEN below = 0 THEN {q.number(0)} ELSE {q.divide('above', 'below')} END"
+    """What leaves the window is taken from both sums, as the money flow it was; a gap in the window leaves no value."""
+    n, zero = p["length"], q.number(0)
+    share = f"CASE WHEN high = low THEN {zero} ELSE ((close - low) - (high - close)) / (high - low) END"
     return line(
-        f"CASE WHEN i >= {n - 1} THEN {value} END",
-        ("flow", flow),
-        ("gone", gone),
+        f"CASE WHEN count(flow) {q.over(n)} = {n} THEN CASE WHEN below = 0 THEN {zero} ELSE {q.divide('above', 'below')} END END",
+        ("flow", f"CASE WHEN {q.both('high', 'low', 'close', 'volume')} THEN ({share}) * volume END"),
+        ("traded", "CASE WHEN flow IS NOT NULL THEN volume END"),
+        ("gone", q.lag("flow", n)),
         ("above", q.frame("sum(flow)", n)),
-        ("below", f"{q.cumulative('volume')} - {q.cumulative('gone')}"),
+        ("below", f"coalesce({q.cumulative('traded')}, {zero}) - coalesce({q.cumulative('gone')}, {zero})"),
     )
 
 
 @indicator("PriceVolumeTrend")
 def price_volume_trend(q: Dialect, p: dict) -> Formula:
-    term = f"coalesce(volume * ({q.divide('close - before', 'before')}), {q.number(0)})"
-    return line(f"CASE WHEN i >= 1 THEN {q.cumulative('term')} END", ("before", q.lag("close")), ("term", term))
+    steps = [
+        ("met", f"CASE WHEN {q.both('close', 'volume')} THEN close END"), ("before", q.before("met")), ("ok", q.flag(f"{q.both('met')} AND before <> 0")),
+        ("term", f"CASE WHEN ok = 1 THEN volume * (close - before) / before END"),
+    ]
+    return line(f"CASE WHEN ok = 1 THEN {q.cumulative('term')} END", *steps)
 
 
 @indicator("VolumeWeightedAveragePrice")
 def vwap(q: Dialect, p: dict) -> Formula:
-    total = f"CASE WHEN {q.cumulative('volume')} > 0 THEN {q.cumulative('volume')} END"
-    return line(f"{q.cumulative('money')} / total", ("money", f"{TP} * volume"), ("total", total))
+    steps = [("money", f"{TP} * volume"), ("traded", "CASE WHEN money IS NOT NULL THEN volume END"), ("total", q.cumulative("traded"))]
+    return line(f"CASE WHEN total > 0 THEN {q.cumulative('money')} / total END", *steps)
 
 
 @indicator("TimeWeightedAveragePrice")
 def twap(q: Dialect, p: dict) -> Formula:
-    return line(f"avg(tp) {q.so_far}", ("tp", TP))
+    return line(f"CASE WHEN tp IS NOT NULL THEN avg(tp) {q.so_far} END", ("tp", TP))
 
 
 @indicator("WilliamsAccumulationDistribution")
 def williams_ad(q: Dialect, p: dict) -> Formula:
-    term = f"CASE WHEN close > before THEN close - least(low, before) WHEN close < before THEN close - greatest(high, before) ELSE {q.number(0)} END"
-    return line(f"CASE WHEN i >= 1 THEN {q.cumulative('term')} END", ("before", q.lag("close")), ("term", term))
+    steps = [
+        ("before", q.before("close")), ("ok", q.flag(f"{q.both('high', 'low', 'close')} AND before <> 0")),
+        ("reach", f"CASE WHEN close > before THEN close - least(low, before) WHEN close < before THEN close - greatest(high, before) ELSE {q.number(0)} END"),
+        ("term", "CASE WHEN ok = 1 THEN reach END"),
+    ]
+    return line(f"CASE WHEN ok = 1 THEN {q.cumulative('term')} END", *steps)
 
 
 @indicator("WilliamsVariableAccumulationDistribution")
@@ -279,20 +298,21 @@ def qstick(q: Dialect, p: dict) -> Formula:
 @indicator("BalanceOfMarketPower")
 def balance_of_market_power(q: Dialect, p: dict) -> Formula:
     share = f"(close - open) / CASE WHEN high = low THEN {q.number(0.01)} ELSE high - low END"
-    raw = f"CASE WHEN coalesce(volume, 0) = 0 THEN {q.number(0)} ELSE {share} END"
+    raw = f"CASE WHEN {q.both('open', 'high', 'low', 'close')} THEN CASE WHEN coalesce(volume, 0) = 0 THEN {q.number(0)} ELSE {share} END END"
     return line(q.mean("raw", p["length"]), ("raw", raw))
 
 
 @indicator("FiniteVolumeElement")
 def finite_volume(q: Dialect, p: dict) -> Formula:
-    raw = f"CASE WHEN high = low OR coalesce(volume, 0) = 0 THEN {q.number(0)} ELSE 2 * ({q.divide('close - low', 'high - low')}) - 1 END"
+    """Bars without a range, a close or a volume count as zero."""
+    raw = f"CASE WHEN coalesce(volume, 0) = 0 THEN {q.number(0)} ELSE coalesce(2 * ({q.divide('close - low', 'high - low')}) - 1, {q.number(0)}) END"
     return line(f"100 * ({q.mean('raw', p['length'])})", ("raw", raw))
 
 
 @indicator("IntradayIntensityIndex")
 def intraday_intensity(q: Dialect, p: dict) -> Formula:
-    raw = f"coalesce({q.divide('2 * ((close - low) - (high - close))', '(high - low) * volume')}, {q.number(0)})"
-    return line(q.mean("raw", p["length"]), ("raw", raw))
+    share = q.divide("2 * ((close - low) - (high - close))", f"(high - low) * coalesce(volume, {q.number(0)})")
+    return line(q.mean("raw", p["length"]), ("raw", f"CASE WHEN {q.both('high', 'low', 'close')} THEN coalesce({share}, {q.number(0)}) END"))
 
 
 @indicator("VolumeWeightedMovingAverage")
@@ -303,15 +323,16 @@ def vwma(q: Dialect, p: dict) -> Formula:
 
 @indicator("KnowSureThing")
 def know_sure_thing(q: Dialect, p: dict) -> Formula:
-    """Every mean starts to fill once the longest rate of change is there."""
+    """Every mean starts to fill once the longest rate of change is there, and rests on bars without it; so does the signal without a value."""
     start, steps = p["roc4Length"], []
     for k in range(1, 5):
         steps.append((f"b{k}", q.lag("close", p[f"roc{k}Length"])))
         change = f"100 * ({q.divide(f'close - b{k}', f'b{k}')})"
         steps.append((f"c{k}", f"CASE WHEN i >= {start} THEN {change} END"))
-    means = " + ".join(f"{k} * ({q.mean(f'c{k}', p[f'sma{k}Length'])})" for k in range(1, 5))
-    steps.append(("kst", means))
-    return Formula({"kst": "kst", "signal": q.mean("kst", p["signalLength"])}, steps)
+    steps.append(("ok", q.flag(q.both("c4"))))
+    means = " + ".join(f"{k} * ({q.filled(f'avg(c{k})', f'c{k}', 'ok', p[f'sma{k}Length'])})" for k in range(1, 5))
+    steps += [("kst", means), ("said", q.flag(q.both("kst")))]
+    return Formula({"kst": "kst", "signal": q.filled("avg(kst)", "kst", "said", p["signalLength"])}, steps)
 
 
 # Ranges
@@ -346,9 +367,11 @@ def detrended_synthetic(q: Dialect, p: dict) -> Formula:
 
 @indicator("FibonacciRetracement")
 def fibonacci(q: Dialect, p: dict) -> Formula:
+    """Windows that still fill have values; a gap in one leaves none."""
     n = p["length"]
-    steps = [("hi", q.frame("max(high)", n)), ("lo", q.frame("min(low)", n))]
-    return Formula({k: f"lo + (hi - lo) * {q.number(x)}" for k, x in GOLDEN.items()}, steps)
+    whole = f"count(high) {q.over(n)} = count(*) {q.over(n)} AND count(low) {q.over(n)} = count(*) {q.over(n)}"
+    steps = [("hi", q.frame("max(high)", n)), ("lo", q.frame("min(low)", n)), ("whole", q.flag(whole))]
+    return Formula({k: f"CASE WHEN whole = 1 THEN lo + (hi - lo) * {q.number(x)} END" for k, x in GOLDEN.items()}, steps)
 
 
 @indicator("StochasticK")
@@ -381,8 +404,12 @@ def pretty_good(q: Dialect, p: dict) -> Formula:
 
 @indicator("MomentumPinball")
 def momentum_pinball(q: Dialect, p: dict) -> Formula:
+    """Over the last closes there were; bars without one have no value."""
     n = p["length"]
-    steps = [("hi", q.high("close", n)), ("lo", q.low("close", n)), ("base", q.lag("close", n - 1))]
+    steps = [
+        ("ok", q.flag(q.both("close"))), ("hi", q.filled("max(close)", "close", "ok", n)), ("lo", q.filled("min(close)", "close", "ok", n)),
+        ("base", q.earlier("close", "ok", n - 1)),
+    ]
     return line(f"CASE WHEN {q.both('hi', 'lo', 'base')} THEN coalesce(100 * ({q.divide('close - base', 'hi - lo')}), {q.number(0)}) END", *steps)
 
 
@@ -397,10 +424,11 @@ def gopalakrishnan(q: Dialect, p: dict) -> Formula:
 
 @indicator("ChandeKrollStop")
 def chande_kroll(q: Dialect, p: dict) -> Formula:
-    """The stops' means divide by the whole length while they fill."""
+    """The stops' means are over the last stops there were, and divide by the whole length while they fill."""
     n, k = p["period"], p["stopPeriod"]
-    steps = [*_range(q, n), ("a", f"hi - (hi - lo) * {q.number(p['multiplier'])}"), ("b", f"lo + (hi - lo) * {q.number(p['multiplier'])}")]
-    return Formula({"longStop": f"{q.frame('sum(a)', k)} / {k}", "shortStop": f"{q.frame('sum(b)', k)} / {k}"}, steps)
+    steps = [*_range(q, n), ("a", f"hi - (hi - lo) * {q.number(p['multiplier'])}"), ("b", f"lo + (hi - lo) * {q.number(p['multiplier'])}"), ("ok", q.flag(q.both("hi", "lo")))]
+    mean = lambda x: f"CASE WHEN ok = 1 THEN {q.among(f'sum({x})', 'ok', k)} / {k} END"
+    return Formula({"longStop": mean("a"), "shortStop": mean("b")}, steps)
 
 
 @indicator("Ichimoku")
@@ -430,18 +458,21 @@ def ichimoku(q: Dialect, p: dict) -> Formula:
 
 @indicator("DetrendedPriceOscillator")
 def detrended_price(q: Dialect, p: dict) -> Formula:
+    """Against a mean some means back; bars without a mean look back from the last one there was."""
     n = p["length"]
     back = min(n - 1, n // 2 + 1)
-    return line(f"CASE WHEN i >= {2 * n - 2} THEN close - {q.lag('m', back)} END", ("m", q.mean("close", n)))
+    steps = [
+        ("m", q.mean("close", n)), ("ok", q.flag(q.both("m"))), ("met", f"CASE WHEN ok = 1 THEN {q.earlier('m', 'ok', back)} END"),
+        ("kept", f"coalesce(met, {q.before('met')})"), ("means", f"count(m) {q.so_far}"),
+    ]
+    return line(f"CASE WHEN means >= {n} THEN close - kept END", *steps)
 
 
 @indicator("KaufmanEfficiencyRatio")
 def efficiency(q: Dialect, p: dict) -> Formula:
     n = p["length"]
-    steps = [("move", f"abs(close - {q.lag('close')})"), ("base", q.lag("close", n - 1))]
-    path = q.frame("sum(move)", n - 1) if n > 1 else q.number(0)
-    steps.append(("path", f"CASE WHEN i >= {n - 1} THEN {path} END"))
-    return line(f"CASE WHEN i >= {n - 1} AND {q.both('base')} THEN coalesce({q.divide('abs(close - base)', 'path')}, {q.number(0)}) END", *steps)
+    steps = [("move", f"abs(close - {q.lag('close')})"), ("base", q.lag("close", n - 1)), ("path", q.frame("sum(move)", n - 1) if n > 1 else q.number(0))]
+    return line(f"CASE WHEN count(close) {q.over(n)} = {n} THEN coalesce({q.divide('abs(close - base)', 'path')}, {q.number(0)}) END", *steps)
 
 
 @indicator("VerticalHorizontalFilter")
@@ -452,15 +483,20 @@ def vertical_horizontal(q: Dialect, p: dict) -> Formula:
 
 @indicator("FractalDimension")
 def fractal_dimension(q: Dialect, p: dict) -> Formula:
+    """Over the last closes there were."""
     n = p["length"]
     if n == 1:
         return line("CAST(NULL AS DOUBLE)")
     steps = [
-        ("move", f"abs(close - {q.lag('close')})"), ("path", q.frame("sum(move)", n - 1)), ("hi", q.high("close", n)), ("lo", q.low("close", n)),
+        ("ok", q.flag(q.both("close"))), ("move", f"CASE WHEN ok = 1 THEN abs(close - {q.before('close')}) END"), ("path", q.among("sum(move)", "ok", n - 1)),
+        ("hi", q.filled("max(close)", "close", "ok", n)), ("lo", q.filled("min(close)", "close", "ok", n)),
     ]
     log = f"1 + (ln(path) - ln(hi - lo)) / {q.number(math.log(2 * (n - 1)))}"
     value = f"CASE WHEN hi - lo > 0 AND path > 0 THEN {q.clamp(log, 1, 2)} ELSE {q.number(1.5)} END"
-    return line(f"CASE WHEN i >= {n - 1} AND {q.both('hi', 'lo')} THEN {value} END", *steps)
+    return line(f"CASE WHEN {q.both('hi', 'lo')} THEN {value} END", *steps)
+
+
+# Moves up and down
 
 
 # Moves up and down
@@ -488,11 +524,12 @@ def relative_momentum(q: Dialect, p: dict) -> Formula:
 
 @indicator("DeMarker")
 def demarker(q: Dialect, p: dict) -> Formula:
+    """Over the last bars with a range; others are passed over."""
     n, zero = p["length"], q.number(0)
     steps = [
-        ("dh", f"high - {q.lag('high')}"), ("dl", f"{q.lag('low')} - low"),
+        ("ok", q.flag(q.both("high", "low"))), ("dh", f"high - {q.earlier('high', 'ok', 1)}"), ("dl", f"{q.earlier('low', 'ok', 1)} - low"),
         ("up", f"CASE WHEN dh IS NOT NULL THEN greatest(dh, {zero}) END"), ("down", f"CASE WHEN dl IS NOT NULL THEN greatest(dl, {zero}) END"),
-        ("u", q.mean("up", n)), ("v", q.mean("down", n)),
+        ("u", q.filled("avg(up)", "up", "ok", n)), ("v", q.filled("avg(down)", "down", "ok", n)),
     ]
     return line(f"CASE WHEN {q.both('u', 'v')} THEN coalesce({q.divide('u', 'u + v')}, {q.number(0.5)}) END", *steps)
 
@@ -506,21 +543,23 @@ def intraday_momentum(q: Dialect, p: dict) -> Formula:
 
 @indicator("MoneyFlowIndex")
 def money_flow(q: Dialect, p: dict) -> Formula:
+    """Against the last typical price there was; bars without one, or a volume, count as no flow and have no value."""
     n, zero = p["length"], q.number(0)
     steps = [
-        ("tp", TP), ("before", f"coalesce({q.lag('tp')}, {zero})"),
+        ("tp", f"CASE WHEN {q.both('volume')} THEN {TP} END"), ("before", f"coalesce({q.before('tp')}, {zero})"),
         ("gain", f"CASE WHEN tp > before THEN tp * volume ELSE {zero} END"), ("loss", f"CASE WHEN tp < before THEN tp * volume ELSE {zero} END"),
         ("u", q.total("gain", n)), ("v", q.total("loss", n)),
     ]
-    return line(f"CASE WHEN {q.both('u', 'v')} THEN CASE WHEN v = 0 THEN {q.number(100)} ELSE 100 * ({q.divide('u', 'u + v')}) END END", *steps)
+    return line(f"CASE WHEN {q.both('tp', 'u', 'v')} THEN CASE WHEN v = 0 THEN {q.number(100)} ELSE 100 * ({q.divide('u', 'u + v')}) END END", *steps)
 
 
 @indicator("UltimateOscillator")
 def ultimate(q: Dialect, p: dict) -> Formula:
+    whole = q.both("high", "low", "close")
     steps = [
-        ("before", q.lag("close")),
-        ("bp", f"CASE WHEN {q.both('before')} THEN close - least(low, before) END"),
-        ("tr", f"CASE WHEN {q.both('before')} THEN greatest(high, before) - least(low, before) END"),
+        ("met", f"CASE WHEN {whole} THEN close END"), ("before", q.before("met")),
+        ("bp", f"CASE WHEN {whole} AND {q.both('before')} THEN close - least(low, before) END"),
+        ("tr", f"CASE WHEN {whole} AND {q.both('before')} THEN greatest(high, before) - least(low, before) END"),
     ]
     for n in (7, 14, 28):
         steps.append((f"s{n}", f"({q.total('bp', n)}) / nullif({q.total('tr', n)}, {q.number(0)})"))
@@ -531,9 +570,10 @@ def ultimate(q: Dialect, p: dict) -> Formula:
 def vortex(q: Dialect, p: dict) -> Formula:
     n = p["length"]
     steps = [
-        ("c1", q.lag("close")), ("h1", q.lag("high")), ("l1", q.lag("low")),
-        ("tr", f"CASE WHEN {q.both('c1')} THEN greatest(high - low, abs(high - c1), abs(low - c1)) END"),
-        ("a", "abs(high - l1)"), ("b", "abs(low - h1)"), ("u", q.total("a", n)), ("v", q.total("b", n)), ("w", q.total("tr", n)),
+        ("c1", q.lag("close")), ("h1", q.lag("high")), ("l1", q.lag("low")), ("ok", q.flag(f"{q.both('high', 'low', 'h1', 'l1')} AND c1 <> 0")),
+        ("tr", "CASE WHEN ok = 1 THEN greatest(high - low, abs(high - c1), abs(low - c1)) END"),
+        ("a", "CASE WHEN ok = 1 THEN abs(high - l1) END"), ("b", "CASE WHEN ok = 1 THEN abs(low - h1) END"),
+        ("u", q.total("a", n)), ("v", q.total("b", n)), ("w", q.total("tr", n)),
     ]
     share = lambda x: f"CASE WHEN {q.both(x, 'w')} THEN coalesce({q.divide(x, 'w')}, {q.number(0)}) END"
     return Formula({"viPlus": share("u"), "viMinus": share("v")}, steps)
@@ -541,16 +581,21 @@ def vortex(q: Dialect, p: dict) -> Formula:
 
 @indicator("ChoppinessIndex")
 def choppiness(q: Dialect, p: dict) -> Formula:
+    """Over the last bars with prices; the first of all compares with zero."""
     n = p["length"]
     if n == 1:
         return line("CAST(NULL AS DOUBLE)")
     steps = [
-        ("before", f"coalesce({q.lag('close')}, {q.number(0)})"), ("tr", "greatest(high - low, abs(high - before), abs(low - before))"),
-        ("r", "high - low"), ("u", q.total("tr", n)), ("v", q.total("r", n)),
+        ("ok", q.flag(q.both("high", "low", "close"))), ("before", f"coalesce({q.earlier('close', 'ok', 1)}, {q.number(0)})"),
+        ("tr", "CASE WHEN ok = 1 THEN greatest(high - low, abs(high - before), abs(low - before)) END"), ("r", "CASE WHEN ok = 1 THEN high - low END"),
+        ("u", q.filled("sum(tr)", "tr", "ok", n)), ("v", q.filled("sum(r)", "r", "ok", n)),
     ]
     return line(f"CASE WHEN u > 0 AND v > 0 THEN 100 * log10(u / v) / {q.number(math.log10(n))} END", *steps)
 
 
+# Spread
+
+
 # Spread
 @indicator("StandardDeviation")
 def standard_deviation(q: Dialect, p: dict) -> Formula:
@@ -608,7 +653,11 @@ def cci(q: Dialect, p: dict) -> Formula:
 
 @indicator("WoodiesCCI")
 def woodies(q: Dialect, p: dict) -> Formula:
-    return Formula({"cci": "cci", "signal": q.mean("cci", p["smaLength"])}, _cci(q, p["length"]))
+    """The signal rests on bars without a value."""
+    return Formula({"cci": "cci", "signal": q.filled("avg(cci)", "cci", "ok", p["smaLength"])}, [*_cci(q, p["length"]), ("ok", q.flag(q.both("cci")))])
+
+
+# Least squares on the bar's index
 
 
 # Least squares on the bar's index
@@ -693,28 +742,31 @@ def rank_correlation(q: Dialect, p: dict) -> Formula:
 
 @indicator("RelativeVigorIndex")
 def relative_vigor(q: Dialect, p: dict) -> Formula:
-    """Weights 1, 2, 2, 1 on the oldest four of each window."""
+    """Weights 1, 2, 2, 1 on the oldest four of each window; over flat bars the mean move itself."""
 
     def oldest(x: str, n: int) -> str:
-        return " + ".join(f"{k} * {q.lag(x, n - 1 - j)}" for j, k in enumerate((1, 2, 2, 1)))
+        return f"({' + '.join(f'{k} * {q.lag(x, n - 1 - j)}' for j, k in enumerate((1, 2, 2, 1)))}) / 6"
 
-    n = p["averageLength"]
-    steps = [("a", "close - open"), ("b", "high - low"), ("above", oldest("a", n)), ("below", oldest("b", n)), ("rvi", q.divide("above", "below"))]
-    return Formula({"rvi": "rvi", "signal": f"({oldest('rvi', p['signalLength'])}) / 6"}, steps)
+    n, whole = p["averageLength"], q.both("open", "high", "low", "close")
+    steps = [
+        ("a", f"CASE WHEN {whole} THEN close - open END"), ("b", f"CASE WHEN {whole} THEN high - low END"), ("above", oldest("a", n)), ("below", oldest("b", n)),
+        ("rvi", "CASE WHEN below = 0 THEN above ELSE above / below END"),
+    ]
+    return Formula({"rvi": "rvi", "signal": oldest("rvi", p["signalLength"])}, steps)
 
 
 @indicator("MarketMeannessIndex")
 def market_meanness(q: Dialect, p: dict) -> Formula:
-    """Turns among the steps of a window: a step counts if the one before moved and it goes another way."""
+    """Turns among the steps of a window of closes there were: a step counts if the one before moved and it goes another way."""
     n = p["length"]
     steps = [
-        ("s", f"sign(close - {q.lag('close')})"), ("t", q.lag("s")),
+        ("ok", q.flag(q.both("close"))), ("s", f"CASE WHEN ok = 1 THEN sign(close - {q.before('close')}) END"), ("t", q.before("s")),
         ("moved", "CASE WHEN s <> 0 THEN 1 ELSE 0 END"), ("turned", "CASE WHEN t <> 0 AND s <> t THEN 1 ELSE 0 END"),
     ]
-    changes = q.frame("sum(moved)", n - 1)
-    turns = q.frame("sum(turned)", n - 2) if n > 2 else "0"
+    changes = q.among("sum(moved)", "ok", n - 1)
+    turns = q.among("sum(turned)", "ok", n - 2) if n > 2 else "0"
     steps += [("changes", f"CAST({changes} AS DOUBLE)"), ("turns", f"CAST({turns} AS DOUBLE)")]
-    return line(f"CASE WHEN count(close) {q.over(n)} = {n} THEN coalesce(100 * ({q.divide('turns', 'changes')}), {q.number(0)}) END", *steps)
+    return line(f"CASE WHEN ok = 1 AND {q.among('count(close)', 'ok', n)} = {n} THEN coalesce(100 * ({q.divide('turns', 'changes')}), {q.number(0)}) END", *steps)
 
 
 @indicator("HurstExponent")

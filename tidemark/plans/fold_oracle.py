@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 from ..functions.dialect import DuckSql
-from .oracle import BARS, DIGITS, bars_sql, rounded
+from .oracle import BARS, DIGITS, rounded
 from .planner import Request
 
 Q = DuckSql()
@@ -70,8 +70,8 @@ def oracle(name: str):
     return keep
 
 
-def fold_sql(wanted: Request, digits: int = DIGITS, base: float = 0.0) -> str:
-    q = Query(bars_sql(base))
+def fold_sql(wanted: Request, digits: int | None = DIGITS) -> str:
+    q = Query()
     outputs = FOLDS[wanted.definition.id](q, wanted.resolved)
     chosen = ", ".join(rounded(t, wanted.prefix + n, digits) for n, t in outputs.items())
     return f"WITH RECURSIVE {', '.join(q.parts)} SELECT symbol, time, {chosen} FROM {q.last}"
@@ -693,7 +693,8 @@ def _(q, p):
     n = p["length"]
     scale = f"(0.6 * {n} * pow(b.close / p.v, 4))"
     q.cols(seed=f"avg(close) {Q.over(n)}")
-    value = f"CASE WHEN b.i < {n} THEN b.seed WHEN p.v = 0 THEN b.close WHEN isfinite({scale}) AND {scale} <> 0 THEN p.v + (b.close - p.v) / {scale} END"
+    step = f"p.v + (b.close - p.v) / {scale}"
+    value = f"CASE WHEN b.i < {n} THEN b.seed WHEN p.v = 0 THEN b.close WHEN isfinite({scale}) AND {scale} <> 0 AND isfinite({step}) THEN {step} END"
     q.fold({"v": ("b.seed", f"coalesce({value}, p.v)"), "o": ("CAST(NULL AS DOUBLE)", value)})
     return {"line": f"CASE WHEN i >= {n - 1} THEN o END"}
 

@@ -10,23 +10,16 @@ from .planner import Request, layers
 DIGITS = 7
 
 
+BARS = f"bars AS ({EVENT_BARS_SQL}), s0 AS (SELECT *, CAST(row_number() OVER ({SPEC}) - 1 AS BIGINT) AS i FROM bars)"
 
-def bars_sql(base: float = 0.0) -> str:
-    prices = ", ".join(f"{c} + {base} AS {c}" for c in ("open", "high", "low", "close"))
-    raised = f"SELECT * REPLACE ({prices}) FROM ({EVENT_BARS_SQL})" if base else EVENT_BARS_SQL
-    return f"bars AS ({raised}), s0 AS (SELECT *, CAST(row_number() OVER ({SPEC}) - 1 AS BIGINT) AS i FROM bars)"
 
-
-BARS = bars_sql()
-
-
-def rounded(text: str, name: str, digits: int) -> str:
-    """Without negative zeros."""
-    value = f"round(CAST({text} AS DOUBLE), {digits})"
+def rounded(text: str, name: str, digits: int | None) -> str:
+    """Without negative zeros; as it is if ``digits`` is None."""
+    value = f"CAST({text} AS DOUBLE)" if digits is None else f"round(CAST({text} AS DOUBLE), {digits})"
     return f'CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS "{name}"'
 
 
-def windowed_sql(wanted: Request, digits: int = DIGITS) -> str:
+def windowed_sql(wanted: Request, digits: int | None = DIGITS) -> str:
     steps, outputs = layers([wanted], DuckSql())
     parts, last = [BARS], "s0"
     for k, layer in enumerate(steps, 1):

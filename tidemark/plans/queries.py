@@ -18,21 +18,19 @@ from .planner import Request, compute, events, request
 
 #: Results whose exact value often lies half way between two of the usual digits, or that are large.
 FINER = {"Envelope": 9, "VolumeWeightedMovingAverage": 9, "EaseOfMovement": 9, "KasePeakOscillator": 5}
-#: Products of price ratios: event values alone swing so widely that these leave the range of doubles.
-BASES = {"McGinleyDynamic": 10_000.0, "NegativeVolumeIndex": 10_000.0, "PositiveVolumeIndex": 10_000.0}
-#: Other than the defaults: ten chained means would round differently by chance.
-PARAMETERS = {"MovingAverageRibbon": {"ribbonCount": 3}}
+#: Products of price ratios swing from 1e-20 to 1e270 on event values, beyond any fixed number of digits; they are compared as they are.
+EXACT = ("McGinleyDynamic", "NegativeVolumeIndex", "PositiveVolumeIndex")
 
 
-def _wanted(name: str) -> Request:
-    return request(name, **PARAMETERS.get(name, {}))
+def _digits(name: str) -> int | None:
+    return None if name in EXACT else FINER.get(name, DIGITS)
 
 
-def _rounded(df: DataFrame, columns: list[str], digits: int = DIGITS) -> DataFrame:
+def _rounded(df: DataFrame, columns: list[str], digits: int | None = DIGITS) -> DataFrame:
     """Rounded outputs, without negative zeros."""
 
     def tidy(c: str) -> Column:
-        r = F.round(c, digits)
+        r = F.col(c) if digits is None else F.round(c, digits)
         return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
 
     return df.select("symbol", "time", *[tidy(c) for c in columns])
@@ -40,8 +38,7 @@ def _rounded(df: DataFrame, columns: list[str], digits: int = DIGITS) -> DataFra
 
 def _line_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
     name = wanted.definition.id
-    base, digits = BASES.get(name, 0.0), FINER.get(name, DIGITS)
-    return lambda spark, sf_dir: _rounded(compute(event_bars(spark, sf_dir, base), [wanted]), wanted.columns, digits)
+    return lambda spark, sf_dir: _rounded(compute(event_bars(spark, sf_dir), [wanted]), wanted.columns, _digits(name))
 
 
 def _event_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
@@ -53,20 +50,19 @@ def _event_query(wanted: Request) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def indicator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(_wanted(name)) for name in DEFINITIONS}
+    return {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(request(name)) for name in DEFINITIONS}
 
 
 def indicator_oracles() -> dict[str, str]:
     """SQL for each, and for the flagship query."""
     found = {}
     for name in DEFINITIONS:
-        digits = FINER.get(name, DIGITS)
         if name in WINDOWED:
-            found[f"ind_{name}"] = windowed_sql(_wanted(name), digits)
+            found[f"ind_{name}"] = windowed_sql(request(name), _digits(name))
         elif name in FOLDS:
-            found[f"ind_{name}"] = fold_sql(_wanted(name), digits, BASES.get(name, 0.0))
+            found[f"ind_{name}"] = fold_sql(request(name), _digits(name))
         elif name in RELOCATED:
-            found[f"ind_{name}"] = event_sql(_wanted(name))
+            found[f"ind_{name}"] = event_sql(request(name))
     parts = [(windowed_sql if r.definition.id in WINDOWED else fold_sql)(r) for r in FLAGSHIP]
     joined = parts[0]
     for part in parts[1:]:
