@@ -70,7 +70,7 @@ def oracle(name: str):
     return keep
 
 
-def fold_sql(wanted: Request, digits: int | None = DIGITS) -> str:
+def fold_sql(wanted: Request, digits: int | str | None = DIGITS) -> str:
     q = Query()
     outputs = FOLDS[wanted.definition.id](q, wanted.resolved)
     chosen = ", ".join(rounded(t, wanted.prefix + n, digits) for n, t in outputs.items())

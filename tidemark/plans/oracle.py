@@ -13,13 +13,17 @@ DIGITS = 7
 BARS = f"bars AS ({EVENT_BARS_SQL}), s0 AS (SELECT *, CAST(row_number() OVER ({SPEC}) - 1 AS BIGINT) AS i FROM bars)"
 
 
-def rounded(text: str, name: str, digits: int | None) -> str:
-    """Without negative zeros; as it is if ``digits`` is None."""
-    value = f"CAST({text} AS DOUBLE)" if digits is None else f"round(CAST({text} AS DOUBLE), {digits})"
+def rounded(text: str, name: str, digits: int | str | None) -> str:
+    """Without negative zeros; as it is if ``digits`` is None, to the precision of a float if it is "single"."""
+    value = f"CAST({text} AS DOUBLE)"
+    if digits == "single":
+        value = f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
+    elif digits is not None:
+        value = f"round({value}, {digits})"
     return f'CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS "{name}"'
 
 
-def windowed_sql(wanted: Request, digits: int | None = DIGITS) -> str:
+def windowed_sql(wanted: Request, digits: int | str | None = DIGITS) -> str:
     steps, outputs = layers([wanted], DuckSql())
     parts, last = [BARS], "s0"
     for k, layer in enumerate(steps, 1):

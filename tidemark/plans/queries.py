@@ -20,17 +20,19 @@ from .planner import Request, compute, events, request
 FINER = {"Envelope": 9, "VolumeWeightedMovingAverage": 9, "EaseOfMovement": 9, "KasePeakOscillator": 5}
 #: Products of price ratios swing from 1e-20 to 1e270 on event values, beyond any fixed number of digits; they are compared as they are.
 EXACT = ("McGinleyDynamic", "NegativeVolumeIndex", "PositiveVolumeIndex")
+#: Chained means of prices in cents lie half way between decimals at any number of digits; these are compared in single precision.
+SINGLE = ("MovingAverageRibbon",)
 
 
-def _digits(name: str) -> int | None:
-    return None if name in EXACT else FINER.get(name, DIGITS)
+def _digits(name: str) -> int | str | None:
+    return None if name in EXACT else "single" if name in SINGLE else FINER.get(name, DIGITS)
 
 
-def _rounded(df: DataFrame, columns: list[str], digits: int | None = DIGITS) -> DataFrame:
+def _rounded(df: DataFrame, columns: list[str], digits: int | str | None = DIGITS) -> DataFrame:
     """Rounded outputs, without negative zeros."""
 
     def tidy(c: str) -> Column:
-        r = F.col(c) if digits is None else F.round(c, digits)
+        r = F.col(c) if digits is None else F.col(c).cast("float").cast("double") if digits == "single" else F.round(c, digits)
         return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
 
     return df.select("symbol", "time", *[tidy(c) for c in columns])
