@@ -11,19 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog_table import TABLE
 
+_MACD = {"shortMaLength": ("macdShortMaLength",), "longMaLength": ("macdLongMaLength",)}
+_PPO = {"shortPeriod": ("ppoShortPeriod",), "longPeriod": ("ppoLongPeriod",)}
 #: Parameters that stand for others; the own name wins, then the first one here.
 PARAMETER_ALIASES = {
     "Acceleration": {"shortMaLength": ("aoShortMaLength",), "longMaLength": ("aoLongMaLength",)},
+    "ElderImpulseSystem": _MACD,
+    "GatorOscillator": {
+        "jawLength": ("histogram1Line1Length",), "jawShift": ("histogram1Line1Shift",),
+        "lipsLength": ("histogram1Line2Length", "histogram2Line1Length"), "lipsShift": ("histogram1Line2Shift", "histogram2Line1Shift"),
+        "teethLength": ("histogram2Line2Length",), "teethShift": ("histogram2Line2Shift",),
+    },
     "Ichimoku": {
         "tenkanLength": ("tenkanPeriod",), "kijunLength": ("kijunPeriod",), "senkouBLength": ("senkouBPeriod",), "chinkouLength": ("chikouLength",),
     },
+    "MovingAverageConvergenceDivergenceHistogram": _MACD,
+    "MovingAverageConvergenceDivergenceSignal": _MACD,
+    "PercentagePriceOscillatorHistogram": _PPO,
+    "PercentagePriceOscillatorSignal": _PPO,
     "SchaffTrendCycle": {"shortMaLength": ("macdMacdShortMaLength",), "longMaLength": ("macdMacdLongMaLength",), "signalMaLength": ("macdSignalMaLength",)},
-    "WoodiesCCI": {"smaLength": ("sMALength",)},
+    "WoodiesCCI": {"smaLength": ("sMALength", "smalength")},
 }
 
 CATEGORIES = ("Trend", "Momentum", "Volatility", "Volume", "Price", "SupportResistance", "MarketStrength", "Cycle", "Statistical")
 
 
+def words(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", name)
+
+
 @dataclass(frozen=True)
 class Parameter:
     name: str
@@ -61,7 +77,7 @@ class Definition:
     @property
     def name(self) -> str:
         """The id as words."""
-        return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", self.id)
+        return words(self.id)
 
     def resolve(self, given: dict[str, float] | None = None) -> dict[str, float]:
         """All parameters: given ones by name or alias, others at their default."""
@@ -110,6 +126,26 @@ def _parse() -> dict[str, Definition]:
 DEFINITIONS = _parse()
 
 
+def register(added: Definition) -> None:
+    """Add a definition; an id that is there already, in whatever case, is an error. See ``registry`` for what it computes."""
+    if not re.fullmatch(r"[A-Za-z]\w*", added.id):
+        raise ValueError(f"an id is a word: {added.id!r}")
+    if added.id.lower() in {i.lower() for i in DEFINITIONS}:
+        raise ValueError(f"there is an indicator {added.id!r} already")
+    for p in added.parameters:
+        p.check(p.default)
+    DEFINITIONS[added.id] = added
+    _by_name.cache_clear()
+
+
+def unregister(name: str) -> None:
+    """Take a definition away, by its id."""
+    if name not in DEFINITIONS:
+        raise KeyError(f"no indicator {name!r}")
+    del DEFINITIONS[name]
+    _by_name.cache_clear()
+
+
 @lru_cache
 def _by_name() -> dict[str, str]:
     names: dict[str, str] = {}
@@ -128,8 +164,8 @@ def definition(name: str) -> Definition:
 
 
 CATALOG_SCHEMA = (
-    "id string, name string, category string, aliases array<string>, pane string, measure string, "
-    "params array<struct<name: string, default: double, least: double, most: double>>, outputs array<string>, "
+    "id string, name string, full_name string, category string, group string, aliases array<string>, pane string, measure string, "
+    "params array<struct<name: string, aliases: array<string>, default: double, least: double, most: double, step: double>>, outputs array<string>, "
     "painter string, scale struct<least: double, most: double>, levels array<double>"
 )
 
@@ -137,8 +173,9 @@ CATALOG_SCHEMA = (
 def catalog_df(spark: SparkSession) -> DataFrame:
     rows = []
     for d in DEFINITIONS.values():
-        params = [(p.name, p.default, p.least, p.most) for p in d.parameters]
+        others = PARAMETER_ALIASES.get(d.id, {})
+        params = [(p.name, list(others.get(p.name, ())), float(p.default), float(p.least), float(p.most), 1.0 if p.whole else None) for p in d.parameters]
         rows.append((
-            d.id, d.name, d.category, list(d.aliases), d.pane, d.measure, params, list(d.outputs(d.resolve())), d.painter or None, d.scale or None, list(d.levels),
+            d.id, d.aliases[0] if d.aliases else d.id, d.name, d.category, words(d.category), list(d.aliases), d.pane, d.measure, params, list(d.outputs(d.resolve())), d.painter or None, d.scale or None, list(d.levels),
         ))
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
