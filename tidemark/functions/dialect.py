@@ -7,6 +7,7 @@ partition and order, so that a plan has one exchange and one sort.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 SPEC = "PARTITION BY symbol ORDER BY time"
@@ -43,6 +44,10 @@ class Dialect:
         """The last value there was on an earlier bar."""
         return f"last_value({self.known(x)}) OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
+    def first(self, x: str) -> str:
+        """The first value there was, this bar's included."""
+        return f"first_value({self.known(x)}) {self.so_far}"
+
     def among(self, call: str, where: str, n: int) -> str:
         """An aggregate over the last n bars that have the same value of column ``where`` as this one."""
         return f"{call} OVER (PARTITION BY symbol, {where} ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -122,6 +127,10 @@ class SparkSql(Dialect):
     def map(self, a: str, var: str, body: str) -> str:
         return f"transform({a}, {var} -> {body})"
 
+    def map_at(self, a: str, var: str, k: str, body: str) -> str:
+        """``body`` of each item and its place, from 1."""
+        return f"transform({a}, ({var}, at_) -> {re.sub(rf'\b{k}\b', '(at_ + 1)', body)})"
+
     def add_up(self, a: str) -> str:
         return f"aggregate({a}, {self.number(0)}, (acc_, x_) -> acc_ + x_)"
 
@@ -134,8 +143,6 @@ class SparkSql(Dialect):
     def count_where(self, a: str, var: str, test: str) -> str:
         return f"size(filter({a}, {var} -> {test}))"
 
-    def indices(self, n: str) -> str:
-        return f"sequence(1, {n})"
 
     def largest(self, a: str) -> str:
         return f"array_max({a})"
@@ -143,9 +150,6 @@ class SparkSql(Dialect):
     def smallest(self, a: str) -> str:
         return f"array_min({a})"
 
-    def part(self, a: str, k: str) -> str:
-        """The first k items."""
-        return f"slice({a}, 1, {k})"
 
 
 class DuckSql(Dialect):
@@ -167,6 +171,9 @@ class DuckSql(Dialect):
     def map(self, a: str, var: str, body: str) -> str:
         return f"list_transform({a}, lambda {var}: {body})"
 
+    def map_at(self, a: str, var: str, k: str, body: str) -> str:
+        return f"list_transform({a}, lambda {var}, {k}: {body})"
+
     def add_up(self, a: str) -> str:
         return f"list_sum({a})"
 
@@ -179,8 +186,6 @@ class DuckSql(Dialect):
     def count_where(self, a: str, var: str, test: str) -> str:
         return f"len(list_filter({a}, lambda {var}: {test}))"
 
-    def indices(self, n: str) -> str:
-        return f"range(1, {n} + 1)"
 
     def largest(self, a: str) -> str:
         return f"list_max({a})"
@@ -188,5 +193,3 @@ class DuckSql(Dialect):
     def smallest(self, a: str) -> str:
         return f"list_min({a})"
 
-    def part(self, a: str, k: str) -> str:
-        return f"{a}[1:{k}]"

@@ -771,15 +771,14 @@ def market_meanness(q: Dialect, p: dict) -> Formula:
 
 @indicator("HurstExponent")
 def hurst(q: Dialect, p: dict) -> Formula:
-    """Range of the summed deviations over their spread, in logs."""
+    """Range of the summed deviations over their spread, in logs; the sums are differences of one running sum."""
     n = p["length"]
     if n == 1:
         return line("CAST(NULL AS DOUBLE)")
-    sums = q.map(q.indices(str(n)), "k", f"{q.add_up(q.part('w', 'k'))} - k * m")
+    steps = [
+        ("x", f"close - {q.first('close')}"), ("run", q.cumulative("x")), ("before", f"coalesce({q.lag('run', n)}, {q.number(0)})"),
+        ("m", f"CASE WHEN count(close) {q.over(n)} = {n} THEN (run - before) / {n} END"), ("s", q.deviation("close", n)),
+        ("runs", q.window("run", n)), ("d", q.map_at("runs", "z", "k", "z - before - k * m")),
+    ]
     reach = f"{q.largest('d')} - {q.smallest('d')}"
-    return line(
-        f"CASE WHEN s > 0 AND {reach} > 0 THEN ln(({reach}) / s) / {q.number(math.log(n))} END",
-        ("w", q.window("close", n)), ("m", f"{q.add_up('w')} / {n}"), ("s", q.deviation("close", n)), ("d", sums),
-    )
-
-
+    return line(f"CASE WHEN s > 0 AND {reach} > 0 THEN ln(({reach}) / s) / {q.number(math.log(n))} END", *steps)
