@@ -92,7 +92,7 @@ def larger(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def located(text: Column, found: Column, pieces: Column) -> Column:
+def located(found: Column, pieces: Column) -> Column:
     """Matches with places: ``found`` are a pattern's matches, ``pieces`` what is between them."""
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
     n = F.size(found)
@@ -136,25 +136,18 @@ def _checked(kind: str) -> Callable[[Column], Column]:
 
 def proposals(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``texts`` with ``_text`` and an array of located spans ``_<kind>`` for each kind."""
-    out = texts.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    # Most texts have no digit, "@" or "=" and end here.
-    out = out.withColumn("_digit", F.col("_text").rlike("[0-9]"))
-    for kind, pattern in BASE.items():
-        out = _proposed(out, kind, pattern, F.contains("_text", F.lit("@")) if kind == "email" else F.col("_digit"))
-    for kind, (pattern, needs) in GENERATORS.items():
-        guard = F.col("_digit") if needs == "[0-9]" else F.col("_text").rlike(needs)
-        out = _proposed(out, kind, pattern, guard)
-    for kind in BASE:
-        out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _checked(kind)))
-    return out.drop("_digit")
-
-
-def _proposed(df: DataFrame, kind: str, pattern: str, guard: Column) -> DataFrame:
     text, none = F.col("_text"), F.array().cast("array<string>")
-    found = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    df = df.withColumn("_found", found)
-    df = df.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(text, pattern, -1)).otherwise(none))
-    return df.withColumn(f"_{kind}", located(text, F.col("_found"), F.col("_pieces"))).drop("_found", "_pieces")
+    digit = text.rlike("[0-9]")
+    patterns = {**BASE, **{kind: pattern for kind, (pattern, _) in GENERATORS.items()}}
+    # Most texts have no digit, "@" or "=" and end here.
+    guards = {kind: F.contains(text, F.lit("@")) if kind == "email" else F.col("_digit") for kind in BASE}
+    guards |= {kind: F.col("_digit") if needs == "[0-9]" else text.rlike(needs) for kind, (_, needs) in GENERATORS.items()}
+    out = texts.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_digit", digit)
+    out = out.withColumns({f"_found_{k}": F.when(guards[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
+    out = out.withColumns({f"_pieces_{k}": F.when(F.size(f"_found_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in patterns.items()})
+    out = out.withColumns({f"_{k}": located(F.col(f"_found_{k}"), F.col(f"_pieces_{k}")) for k in patterns})
+    out = out.withColumns({f"_{kind}": F.filter(f"_{kind}", _checked(kind)) for kind in BASE})
+    return out.drop("_digit", *[f"_found_{k}" for k in patterns], *[f"_pieces_{k}" for k in patterns])
 
 
 def _count(match: Column, pattern: str) -> Column:
@@ -295,7 +288,7 @@ def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame
         score = lambda c: chooser.model.column([c["f"][f"f{i}"] for i in range(len(FEATURES))])
         return F.filter(F.transform(measured, lambda c: plain(kind, c["s"], score(c))), lambda c: c["score"] >= chooser.thresholds[kind])
 
-    wide = wide.withColumn("_base", F.concat(*[sure(k) for k in BASE])).withColumn("_chosen", F.concat(*[chosen(k) for k in GENERATORS]))
+    wide = wide.withColumns({"_base": F.concat(*[sure(k) for k in BASE]), "_chosen": F.concat(*[chosen(k) for k in GENERATORS])})
     wide = wide.withColumn("_all", F.array_sort(F.concat("_base", "_chosen")))  # by start
     some = F.size("_chosen") > 0
     none = F.expr("cast(array() as array<struct<start: int, o: int, end: int, head: int, kind: string, score: double>>)")
@@ -309,9 +302,8 @@ def find(docs: DataFrame, chooser: Chooser, text_col: str = "text") -> DataFrame
     whole = F.when(F.size("_taken") > 0, let(F.col("_taken"), lambda t: let(open_(t), ended))).otherwise(none)
     in_order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["o"], s["start"], s["end"], s["kind"].alias("kind"), s["score"].alias("score"))))
     shape = lambda a: F.transform(in_order(a), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
-    out = wide.withColumn("base", shape(F.col("_base"))).withColumn("spans", shape(F.concat("_base", whole)))
-    for kind in BASE:
-        out = out.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("bigint"))
+    found = {"base": shape(F.col("_base")), "spans": shape(F.concat("_base", whole))}
+    out = wide.withColumns(found | {f"n_{kind}": F.size(f"_{kind}").cast("bigint") for kind in BASE})
     return out.select(*[F.col(f"_row.`{c}`") for c in kept_names], *[F.col(c) for c in names])
 
 
