@@ -318,8 +318,56 @@ def test_chosen_heads_of_keys_and_digit_groups_go_to_their_end(spark):
     assert {x.doc_id: re.sub("<[a-z]+>", "<>", x.text) for x in pii.redact(docs, every).collect()} == {i: "call <> now" if i != 3 else "call <> <> now" for i in range(6)}
 
 
+def test_running_sums_and_maxima_in_chunks(spark):
+    r = random.Random(2)
+    rows = [([r.randint(0, 99) for _ in range(n)],) for n in (1, 2, 127, 128, 129, 256, 257, 1000)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    got = df.select("v", pii.running(F.col("v"), lambda a, b: a + b).alias("sums"), pii.running(F.col("v"), pii.larger).alias("tops")).collect()
+    for x in got:
+        assert x.sums == list(itertools.accumulate(x.v)) and x.tops == list(itertools.accumulate(x.v, max))
+
+
+def brute_greedy(spans):
+    """(start, head, end, score, kind number) that stay: base ones, and of others the best that are free."""
+    taken = [s for s in spans if s[4] < len(pii.BASE)]
+    for s in sorted((s for s in spans if s[4] >= len(pii.BASE)), key=lambda s: (-s[3], s[0], s[4])):
+        if all(s[0] >= t[1] or t[0] >= s[1] for t in taken):
+            taken.append(s)
+    return sorted(taken)
+
+
+def test_overlaps_are_taken_greedily(spark):
+    r = random.Random(9)
+    chain = [(0, 10, 10, 0.8, 5), (8, 20, 20, 0.9, 6), (18, 30, 30, 0.95, 7)]  # the middle one goes, so the first stays
+    rows = [chain] + [
+        [(a, a + n, a + n, r.choice((0.5, 0.7, 0.9)), r.randrange(len(pii.KINDS))) for a, n in ((r.randint(0, 400), r.randint(1, 30)) for _ in range(r.choice((1, 5, 40, 300))))]
+        for _ in range(40)
+    ]
+    data = [(i, [(s[0], s[4], s[2], s[1], pii.KINDS[s[4]], s[3]) for s in row]) for i, row in enumerate(rows)]
+    df = spark.createDataFrame(data, "i int, s array<struct<start: int, o: int, end: int, head: int, kind: string, score: double>>")
+    got = df.withColumn("s", F.array_sort("s")).select("i", F.flatten(F.transform(pii.clusters(F.col("s")), pii.greedy)).alias("s")).collect()
+    for x in got:
+        assert sorted((s.start, s.head, s.end, s.score, s.o) for s in x.s) == brute_greedy(rows[x.i]), x.i
+    assert len(brute_greedy(chain)) == 2
+
+
+def test_many_spans_in_one_text_take_little_time(spark, chooser):
+    import time
+
+    text = " ".join(f"call +1 555 01{i % 100:02d} {i % 9000 + 1000} or mail a{i}@b.org, key = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"." for i in range(4000))
+    began = time.time()
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id int, text string"), chooser).collect()
+    assert row.n_email == 4000 and row.n_phone == 4000 and len(row.spans) >= 11_000
+    assert time.time() - began < 60
+    plain = [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text) if passes(k, m.group())]
+    assert [(s.kind, s.start, s.end) for s in row.base] == plain
+
+
 def test_redaction(spark, odd, none, chooser):
     docs = spark.createDataFrame([(1, "🎉 to a.b@c.de from 10.0.0.1!", 5), (2, None, 5), (3, "plain", 5)], "doc_id int, text string, spans int")
+    assert [tuple(r) for r in pii.redact(docs.withColumn("_text", F.lit("t")), chooser).select("spans", "_text").collect()] == [(5, "t")] * 3
+    found = pii.find(docs.withColumnRenamed("doc_id", "_t"), chooser)
+    assert found.columns == ["_t", "text", "base", "spans", *[f"n_{k}" for k in pii.BASE]]
     assert [r.text for r in pii.redact(docs, chooser).orderBy("doc_id").collect()] == ["🎉 to <email> from <ip>!", None, "plain"]
     assert pii.redact(docs, chooser).columns == docs.columns
     assert pii.redact(odd, chooser).count() == odd.count() and pii.redact(none, chooser).count() == 0
@@ -644,20 +692,23 @@ def test_common_shingles_go_last_and_prefixes_still_meet():
         common = keys, r.integers(4, 90, share)
         sets = [np.sort(r.choice(pool[:130], int(n), replace=False)) for n in r.integers(100, 130, 60)]
         firsts = [simhash.prefix(s, common, 0.8) for s in sets]
-        key = np.concatenate(firsts).view(np.int64)
-        node = np.repeat(np.arange(60), [len(f) for f in firsts])
-        size = np.array([len(s) for s in sets])[node]
-        left = size - np.concatenate([np.arange(len(f)) for f in firsts])
-        order = np.argsort(key, kind="stable")
-        root = node // 3
-        for most in (1 << 17, 50):
-            shared = collections.Counter()
-            for found in simhash.crossing_pairs(key[order], node[order], root[order], size[order], left[order], 0.8, most):
-                for a, b, n, need in found.tolist():
-                    shared[a, b, need] += n
-            got = {(a, b) for (a, b, need), n in shared.items() if n >= need}
-            alike = {(a, b) for a, b in itertools.combinations(range(60), 2) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+        size, root = np.array([len(x) for x in sets]), np.arange(60) // 3
+        lists = [np.unique(f.view(np.int64) >> 32) for f in firsts]
+        alike = {(a, b) for a, b in itertools.combinations(range(60), 2) if 1.8 * len(np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+        for tile, long in ((512, 0), (7, 0), (16, 9)):
+            simhash.TILE, before = tile, simhash.TILE
+            shared, named = collections.Counter(), collections.Counter()
+            for key in np.unique(np.concatenate(lists)).tolist():
+                mine = np.array([i for i in range(60) if key in lists[i]])
+                own = [None if i < long else lists[i] for i in mine]
+                for found in simhash.crossing_pairs(key, mine, root[mine], size[mine], own, 0.8):
+                    for a, b, n, need in found.tolist():
+                        shared[a, b, need] += n
+                        named[a, b] += 1
+            simhash.TILE = before
+            got = {(a, b) for a, b, need in shared if shared[a, b, need] >= need}
             assert {p for p in alike if p[0] // 3 != p[1] // 3} <= got and all(a // 3 != b // 3 for a, b in got)
+            assert all(n == 1 for (a, b), n in named.items() if min(a, b) >= long)
 
 
 def test_links_in_small_and_large_sets_are_the_same():
@@ -690,6 +741,23 @@ def test_popcounts_bound_the_distance_and_links_meet_at_a_point():
         assert around(u) & around(v)
 
 
+def test_crowded_points_give_the_same_groups(spark):
+    r = random.Random(6)
+    prints = {r.getrandbits(64) for _ in range(30)}
+    for p in list(prints) * 3:
+        for _ in range(r.randint(1, 4)):
+            p ^= 1 << r.randrange(64)
+        prints.add(p)
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame(rows, "fp bigint, rep bigint")
+    got = []
+    for crowd in (0, 3, 4096):
+        roots = components.connected_components(simhash.near_links(df, crowd))
+        got.append({x.node: x.root for x in roots.collect()})
+    want = brute_components([i for _, i in rows], lambda a, b: ((rows[a][0] ^ rows[b][0]) & (1 << 64) - 1).bit_count() <= 2)
+    assert got[0] == got[1] == got[2] == {n: root for n, root in want.items() if n != root}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 101), (101, 100)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}

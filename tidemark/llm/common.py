@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Arrow schema strings and Spark use the same names for these.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Texts that a task unpacks at a time.
+TEXTS_AT_ONCE = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(column: Column | str) -> Column:
     """A-Z to a-z and nothing else; a null text is an empty one."""
     return F.translate(
@@ -95,3 +104,12 @@ def table(df: DataFrame) -> DataFrame:
     there = context._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(written: DataFrame) -> None:
+    """Delete the files of a ``table`` from which nothing will be read again."""
+    context = written.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if "/table-" in folder:
+            there = context._jvm.org.apache.hadoop.fs.Path(folder)
+            there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)

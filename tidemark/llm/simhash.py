@@ -6,7 +6,8 @@ a lower bound of their Hamming distance, and fingerprints within two bits share
 a grid point within one step of both. Every distinct fingerprint is posted at its
 own grid point and at those one step away; what meets at a point is compared bit
 by bit. Only links found there leave a point, as a star for each group, so a group
-of many near copies costs rows in proportion to its size.
+of many near copies costs rows in proportion to its size. A point that many prints
+share is split by the values within one bit of them.
 """
 
 from __future__ import annotations
@@ -20,18 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Rolling
-from .common import cut, table
+from .common import cut, forget, parts, table
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEGMENTS = 16
 RADIUS = 2
+#: Prints of a grid point that are compared in one task.
+CROWD = 4096
 #: For similarity in shingles: words of a shingle, least share of common ones, and keys of a text in the round of leaders.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 KEYS = 16
 #: One text in so many tells which shingles are common; at most so many, met so often, are put last in the order.
 ORDER_SHARE, ORDER_TIMES, ORDER_MOST = 32, 4, 1 << 17
+#: What a task holds at a time: pairs it has found, and texts of a key that are compared with as many others.
+PAIRS_AT_ONCE, TILE = 1 << 17, 512
+#: Hashes of a list that travels; texts with more are counted pair by pair.
+LISTED = 256
 
 
 def simhash64(text: str | None, words: int = 3) -> int:
@@ -58,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the signed 64 bits of each row's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             prints = np.array([simhash64(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
@@ -166,11 +173,35 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links among distinct (fp, rep) rows, as stars per grid point."""
-    posted = prints.mapInArrow(_posted, "cell bigint, fp bigint, rep bigint")
+def _values_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint at itself and at the 64 values one bit away."""
+    flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    for batch in parts(batches, 4096):
+        near = (batch.column(0).to_numpy().view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.repeat(batch.column(1).to_numpy(), len(flips)))], ["value", "rep"])
+
+
+def crowd_links(prints: DataFrame) -> DataFrame:
+    """(a, b): links among (fp, rep) rows of crowded grid points, without bringing a point's prints together.
+
+    Fingerprints within two bits share one of the 65 values within one bit of each, and
+    any two that share one are within two bits. So each value's prints are linked to
+    the least of them, found with map-side combine.
+    """
+    near = table(prints.mapInArrow(_values_near, "value bigint, rep bigint"))
+    least = table(near.groupBy(F.col("value").alias("_value")).agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").drop("c"))
+    return near.join(least, near["value"] == least["_value"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+
+
+def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links among distinct (fp, rep) rows, as stars per grid point; points of more than ``crowd`` prints are split by value."""
+    posted = table(prints.mapInArrow(_posted, "cell bigint, fp bigint, rep bigint"))
+    crowded = table(posted.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("_cell"))
     width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return posted.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_met, "a bigint, b bigint")
+    few = posted.join(crowded, posted["cell"] == crowded["_cell"], "left_anti")
+    links = few.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_met, "a bigint, b bigint")
+    many = posted.join(crowded, posted["cell"] == crowded["_cell"], "left_semi").select("fp", "rep").distinct()
+    return links.unionByName(crowd_links(many))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -208,7 +239,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
     """(id, key): the least shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [shingle_set(t, words)[:KEYS].view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "keys"])
 
@@ -219,7 +250,7 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
     """(id, shingles): the halves of a text's shingle hashes that tell them apart, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [np.unique((shingle_set(t, words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
@@ -229,13 +260,13 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose (id, text) rows share ``similarity`` of their shingles or more."""
     wanted = table(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
-    sets = table(_shingles(docs.join(wanted, docs["id"] == wanted["_id"], "left_semi"), words))
-    mine = pairs.join(sets, pairs["a"] == sets["id"]).select("a", "b", "shingles")
+    sets = table(_shingles(docs.join(wanted.hint("merge"), docs["id"] == wanted["_id"], "left_semi"), words))
+    mine = pairs.join(sets.hint("merge"), pairs["a"] == sets["id"]).select("a", "b", "shingles")
     other = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("_shingles"))
-    both = mine.join(other, mine["b"] == other["_id"]).select("a", "b", "shingles", "_shingles")
+    both = mine.join(other.hint("merge"), mine["b"] == other["_id"]).select("a", "b", "shingles", "_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             alike = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
@@ -244,7 +275,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
             keep = pa.array(alike, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    alike = table(both.mapInArrow(run, "a bigint, b bigint"))
+    forget(sets)
+    return alike
 
 
 def leader_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -260,18 +293,22 @@ def leader_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float
     posted = table(_keys(docs, words).select("id", F.explode("keys").alias("key")))
     shared = table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n"))
     met = table(posted.join(shared, posted["key"] == shared["_key"]).select("id", "key", "n"))
+    forget(posted)
     weight = table(met.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("weight")))
     weighed = table(met.join(weight, met["id"] == weight["_id"]).select("id", "key", "weight"))
+    forget(met)
     leaders = table(weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("weight", (-F.col("id")).alias("no"))).alias("top")))
     pairs = weighed.join(leaders, weighed["key"] == leaders["_key"]).select(F.col("id").alias("a"), (-F.col("top.no")).alias("b"))
-    return _verified(table(pairs.where("a <> b").distinct()), docs, words, similarity)
+    wanted = table(pairs.where("a <> b").distinct())
+    forget(weighed)
+    return _verified(wanted, docs, words, similarity)
 
 
 def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles and how often each was met. They set the order of prefixes; no link depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(1).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["key"])
 
@@ -291,41 +328,72 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1] if len(shingles) else shingles
 
 
-def crossing_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
-    """(n, 4) nodes of different roots that share keys, how many, and how many they must; rows come sorted by key.
+def needed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many hashes the prefixes of sets of x and y hashes share if the sets overlap by ``similarity`` or more.
+
+    They share t / (1 + t) * (x + y) hashes then. Of the prefix that ends first, all but
+    what is missing from the other set are in both.
+    """
+    share = np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6).astype(np.int64)
+    beyond = np.ceil(similarity * np.maximum(x, y) - 1e-6).astype(np.int64) - 1
+    return np.maximum(share - beyond, 1)
+
+
+def crossing_pairs(key: int, node: np.ndarray, root: np.ndarray, size: np.ndarray, lists: list[np.ndarray | None], similarity: float) -> Iterator[np.ndarray]:
+    """(n, 4) nodes, how many prefix hashes they share, and how many they must, of one key's texts of different roots.
 
-    Sets of x and y hashes overlap by t if they share t / (1 + t) * (x + y). Both
-    must have that many before and after any hash they share. Of the prefix that
-    ends first, all but what is missing from the other set are in both prefixes.
+    ``lists`` has all sorted hashes that a text shares with texts of other roots. So a
+    pair is counted here, and only where the key is the least that it shares: it is named
+    once, if it has enough. A text with a list too long to travel (None) is named with
+    every text of its size that it meets, one shared hash at a time.
     """
-    first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
-    start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-    stop = np.append(start[1:], len(key))
-    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-    out = []
-
-    def add(x: np.ndarray, y: np.ndarray) -> None:
-        share = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64)
-        ok = np.minimum(size[x] - left[x], size[y] - left[y]) + np.minimum(left[x], left[y]) >= share
-        x, y, share = x[ok], y[ok], share[ok]
-        need = share + np.minimum(first[x] - size[x], first[y] - size[y])
-        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need], axis=1))
-
-    x = start[mixed & (stop - start == 2)]
-    add(x, x + 1)
-    more = mixed & (stop - start > 2)
-    for s, e in zip(start[more].tolist(), stop[more].tolist()):
-        # The largest group last: its rows are only ever met by those of others.
-        _, group, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
-        order = np.lexsort((group, n[group]))
-        at, group = s + order, group[order]
-        rank = n[group] * (len(n) + 1) + group
-        ends = np.searchsorted(rank, rank, side="right")
-        for i in range(len(at) - int(n[group[-1]])):
-            y = at[int(ends[i]) :]
-            add(np.full(len(y), at[i]), y)
-    pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
-    return np.column_stack([pairs[:, :2], times, pairs[:, 2]])
+    order = np.argsort(size, kind="stable")
+    node, root, size = node[order], root[order], size[order]
+    lists = [lists[i] for i in order.tolist()]
+    tile = TILE if len(node) > 12 else len(node)
+    for i in range(0, len(node), tile):
+        for j in range(i, len(node), tile):
+            x, y = np.arange(i, min(i + tile, len(node))), np.arange(j, min(j + tile, len(node)))
+            if size[x[-1]] < similarity * size[y[0]] - 1e-6:
+                break
+            fits = (size[x][:, None] >= similarity * size[y][None, :] - 1e-6) & (root[x][:, None] != root[y][None, :])
+            if i == j:
+                fits = np.triu(fits, 1)
+            if not fits.any():
+                continue
+            shared, least = _shared([lists[k] for k in x.tolist()], [lists[k] for k in y.tolist()], key)
+            at, to = np.nonzero(fits & least)
+            one, other = x[at], y[to]
+            need, n = needed(size[one], size[other], similarity), shared[at, to]
+            # Hashes are cut to 32 bits, so two of a text can fall together: one fewer is enough to be looked at.
+            good = (n == 0) | (n >= need - 1)
+            one, other, need, n = one[good], other[good], need[good], n[good]
+            if len(one):
+                low, high = np.minimum(node[one], node[other]), np.maximum(node[one], node[other])
+                yield np.stack([low, high, np.where(n == 0, 1, np.maximum(n, need)), need], axis=1)
+
+
+def _shared(x: list[np.ndarray | None], y: list[np.ndarray | None], key: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each two lists share, 0 where one is None; and whether none of them is less than ``key``."""
+    if len(x) * len(y) <= 64:
+        n, least = np.zeros((len(x), len(y)), np.int64), np.ones((len(x), len(y)), bool)
+        mine, theirs = ([None if v is None else set(v.tolist()) for v in part] for part in (x, y))
+        for i, a in enumerate(mine):
+            for j, b in enumerate(theirs):
+                if a is not None and b is not None:
+                    both = a & b
+                    n[i, j], least[i, j] = len(both), min(both, default=key) >= key
+        return n, least
+    lengths = [0 if v is None else len(v) for v in (*x, *y)]
+    every, column, times = np.unique(np.concatenate([v for v in (*x, *y) if v is not None] or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    some = times[column] > 1
+    place = np.cumsum(times > 1) - 1
+    has = np.zeros((len(lengths), int((times > 1).sum())), np.float32)
+    has[row[some], place[column[some]]] = 1
+    before = int(np.searchsorted(every[times > 1], key))
+    a, b = has[: len(x)], has[len(x) :]
+    return np.rint(a @ b.T).astype(np.int64), (a[:, :before] @ b[:, :before].T) < 0.5
 
 
 def crossing_links(docs: DataFrame, roots: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -333,45 +401,69 @@ def crossing_links(docs: DataFrame, roots: DataFrame, words: int = SHINGLE_WORDS
 
     Exact: hashes are ordered with common ones last, and each text is posted at all
     of its first ones (a fifth of its shingles and one, at 0.8), so any two texts
-    with the overlap meet. Nothing is capped: texts of different groups are compared
-    whenever they share as many of these as the overlap asks for.
+    with the overlap meet. Hashes that only texts of one group have are dropped; to
+    the others a text goes with the list of them, so that what meets is counted there
+    and only pairs that share as many as the overlap asks for leave, once. Nothing is
+    capped: that many texts of different groups share a hash costs the time to compare
+    them, tile by tile, but no rows.
     """
     common = _common_shingles(docs, words)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for node, root, text in zip(*[c.to_pylist() for c in batch.columns]):
                 every = shingle_set(text, words)
                 first = prefix(every, common, similarity)
-                n = len(first)
-                sizes = (len(every) << 32) + len(every) - np.arange(n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(sizes)], ["key", "node", "root", "sizes"]
-                )
+                cols = [first.view(np.int64), *(np.full(len(first), v, np.int64) for v in (node, root, len(every)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "root", "size"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            for node, root, size, keys in zip(*batch.columns):
+                own = np.sort(keys.values.to_numpy()) if keys.is_valid else np.zeros(0, np.int64)
+                held = None if len(own) > LISTED else np.unique(own >> 32).astype("<i4").tobytes()
+                n = len(own)
+                cols = [pa.array(own), *(pa.array(np.full(n, v.as_py(), np.int64)) for v in (node, root, size)), pa.array([held] * n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "node", "root", "size", "list"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-            found = crossing_pairs(*rows[:3], rows[3] >> 32, rows[3] & 0xFFFFFFFF, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(found.T)], ["a", "b", "n", "need"])
-
+        def found(rows: list[tuple]) -> Iterator[np.ndarray]:
+            if len(rows) < 2 or len({r[2] for r in rows}) < 2:
+                return
+            node, root, size = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            lists = [None if r[4] is None else np.frombuffer(r[4], "<i4").astype(np.int64) for r in rows]
+            yield from crossing_pairs(rows[0][0] >> 32, node, root, size, lists, similarity)
+
+        def packed(out: list[np.ndarray]) -> pa.RecordBatch:
+            every = np.ascontiguousarray(np.concatenate(out).T)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in every], ["a", "b", "n", "need"])
+
+        rows: list[tuple] = []
+        out: list[np.ndarray] = []
         for batch in batches:
-            part = [c.to_numpy() for c in batch.columns]
-            part = [np.concatenate([x, y]) for x, y in zip(held, part)] if held else part
-            if not len(part[0]):
-                continue
-            last = int(np.searchsorted(part[0], part[0][-1]))  # the last key may go on
-            if last:
-                yield pairs([x[:last] for x in part])
-            held = [x[last:] for x in part]
-        if held and len(held[0]):
-            yield pairs(held)
-
-    rooted = docs.join(roots, docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
-    posted = rooted.mapInArrow(post, "key bigint, node bigint, root bigint, sizes bigint")
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if rows and rows[0][0] != row[0]:
+                    for pairs in found(rows):
+                        out.append(pairs)
+                        if sum(map(len, out)) >= PAIRS_AT_ONCE:
+                            yield packed(out)
+                            out = []
+                    rows = []
+                rows.append(row)
+        for pairs in found(rows):
+            out.append(pairs)
+        if out:
+            yield packed(out)
+
+    rooted = docs.join(roots.hint("merge"), docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    posted = table(rooted.mapInArrow(post, "key bigint, node bigint, root bigint, size bigint"))
+    several = posted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    crossing = table(posted.join(table(several.select(F.col("key").alias("_key"))), F.col("key") == F.col("_key")).drop("_key"))
+    forget(posted)
+    lists = crossing.groupBy("node", "root", "size").agg(F.collect_list("key").alias("keys"))
+    rows = lists.mapInArrow(listed, "key bigint, node bigint, root bigint, size bigint, list binary")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = posted.repartition(width, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, n bigint, need bigint")
+    met = rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, n bigint, need bigint")
     enough = met.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
     return _verified(table(enough.select("a", "b")), docs, words, similarity)
 
@@ -392,7 +484,7 @@ def keep_one(
     if similarity is not None:
         # One row for each text; texts with one fingerprint can differ, so each is linked to the fingerprint's own.
         texts = table(known.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("id").alias("_rep")).select("_rep").distinct())
-        first = known.join(texts, known["id"] == texts["_rep"], "left_semi")
+        first = known.join(texts.hint("merge"), known["id"] == texts["_rep"], "left_semi")
         same = every.join(texts, every["id"] == texts["_rep"], "left_semi").join(distinct.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
         links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
         links = links.unionByName(leader_links(first, similarity=similarity))
@@ -405,4 +497,4 @@ def keep_one(
     )
     groups = every.join(labelled, every["fp"] == labelled["_fp"])
     gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
