@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, Rolling, mix
-from .common import table
+from .common import forget, parts, table
 
 LENGTH = 400
 #: Symbols of a bucket's string in each round; in the last round it is the whole length.
-DEPTHS = (128, 336)
+DEPTHS = (64, 336)
 #: Words of a passage; words are what ASCII white space parts.
 WORDS = 50
-WORD_DEPTHS = (16, 42)
+WORD_DEPTHS = (8, 42)
 #: Of a ranked q-gram's 64 bits: its place, below its identifier. And symbols that are looked at together.
 PLACE_BITS = 24
 PORTION = 1 << 20
@@ -205,7 +205,7 @@ def _anchor_rows(texts: DataFrame, kinds: list[Repeats], level: int) -> DataFram
         return pa.RecordBatch.from_arrays([*cols, pa.array(more, pa.binary())], ["kind", "gram", "run", "doc", "print", "base", "lo", "hi", "k", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in parts(batches, 2048):
             for kind, wanted in enumerate(kinds):
                 tags = whole.column(0).fill_null(kind).to_numpy()
                 batch = whole if (tags == kind).all() else whole.filter(pa.array(tags == kind))
@@ -238,6 +238,7 @@ def _level(texts: DataFrame, kinds: list[Repeats], level: int) -> tuple[DataFram
     grams = rows.groupBy("gram").agg(*counts, F.min("run").alias("a"), F.max("run").alias("b"))
     shared = table(grams.where(twice).select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many")))
     met = table(rows.join(shared, rows["gram"] == shared["_gram"]).drop("_gram"))
+    forget(rows)
     several = met.where("many")
     # Places of one row that are alike stay together: they are no repeat across rows, but others can repeat a part of them.
     places = ["doc", "print", "base", "lo", "hi", "more"]
@@ -282,7 +283,7 @@ def _fetch(texts: DataFrame, left: DataFrame, kinds: list[Repeats], whole: bool)
     # Of whole texts a row serves all kinds; later rows have one each.
     keys = ["doc", "print", "base"] if whole else ["kind", "doc", "print", "base"]
     spans = left.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.collect_list(F.struct("kind", "lo", "hi", "more")).alias("spans"))
-    joined = texts.join(spans, [texts[c].eqNullSafe(spans[f"_{c}"]) if c == "doc" else texts[c] == spans[f"_{c}"] for c in keys])
+    joined = texts.join(spans.hint("merge"), [texts[c].eqNullSafe(spans[f"_{c}"]) if c == "doc" else texts[c] == spans[f"_{c}"] for c in keys])
     joined = joined.select("doc", "print", "base", "data", "spans")
     return table(joined.mapInArrow(run, "kind int, doc bigint, print bigint, base int, data binary"))
 
@@ -358,7 +359,7 @@ def _met(docs: DataFrame, id_col: str, text_col: str, kinds: list[Repeats], othe
     windows = repeated_windows(docs.select(*known), kinds)
     windows = windows.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "windows")
     rows = docs.select(*known, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]) if others else docs.select(*known)
-    return rows.join(windows, rows["doc"].eqNullSafe(windows["_doc"]) & (rows["print"] == windows["_print"]), "left")
+    return rows.join(windows.hint("merge"), rows["doc"].eqNullSafe(windows["_doc"]) & (rows["print"] == windows["_print"]), "left")
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, depths: tuple[int, ...] = DEPTHS, passages: Repeats = PASSAGES) -> DataFrame:
@@ -374,7 +375,7 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 raw, windows = text.as_py(), found.as_py()
@@ -400,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names, text_at = list(docs.columns), docs.columns.index(text_col)
 
     def cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for text, found in zip(batch.column(text_at), batch.column(len(names))):
                 windows = found.as_py()
