@@ -91,6 +91,25 @@ def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column], o
     return numbered.withColumn(out, F.col("_within") + F.col("before")).drop("_within", "_b", "before", *[f"_{k}" for k in keys])
 
 
+#: A key is hot if it holds more than this part of the rows; fewer than so many keys can.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str) -> DataFrame:
+    """``rows`` with the columns of ``groups``, a row for each key, as "left" or "inner".
+
+    ``groups`` has in ``n`` how many of the ``total`` rows have the key. Keys of more
+    than a ``HOT``-th of the rows go by a broadcast of fewer than ``HOT`` groups, so
+    that no task gets all rows of one of them; the others by an exchange.
+    """
+    share = F.col(n) * HOT > total
+    hot = F.broadcast(groups.where(share))
+    few = rows.join(hot, keys)
+    rest = rows.join(F.broadcast(groups.where(share).select(*keys)), keys, "left_anti")
+    many = rest.hint("merge").join(groups.where(~share), keys, how)
+    return few.unionByName(many)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 

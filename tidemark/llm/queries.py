@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
+from . import exact_dedup, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
 from .common import documents
 
 SHARDS = 24
@@ -73,7 +73,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.find_repeats(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 ORACLES: dict[str, str] = {
+    "op11_exact_dedup": """
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\t\\n\\x0b\\x0c\\r ]+', ' ', 'g') AS t FROM documents),
+        g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS n,
+                     row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS place FROM d)
+        SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM g
+    """,
     "op1_suffix_dedup": """
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         c AS (SELECT k, s, len(h) // 2 - 399 AS n, substring(h, 2 * s + 1, 1598) AS part
@@ -143,7 +154,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing, op11_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
