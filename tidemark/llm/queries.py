@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
+from . import divergence, exact_dedup, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
 from .common import documents
 
 SHARDS = 24
@@ -78,7 +78,33 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 ORACLES: dict[str, str] = {
+    "op12_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+        v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS words, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY w.lang, w.source, w.term),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        sized AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n FROM groups g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.n + v.words) AS p
+              FROM sized s JOIN kept k ON s.lang = k.lang JOIN v ON s.lang = v.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        q AS (SELECT k.lang, k.term, 1 + 1000000000 * (k.n + 1) // (v.n + v.words) AS q FROM kept k JOIN v ON k.lang = v.lang),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        terms AS (SELECT p.lang, p.source, p.term AS item, CAST((p.p - q.q) * (p.p - q.q) // q.q AS BIGINT) AS value
+                  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+        said AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM said)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+    """,
     "op11_exact_dedup": """
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\t\\n\\x0b\\x0c\\r ]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS n,
@@ -154,7 +180,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing, op11_exact_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing, op11_exact_dedup, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
