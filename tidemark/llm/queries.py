@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup
+from . import divergence, exact_dedup, kdtree, licenses, media, packing, pieces, pii, quality, sharding, simhash, suffix_dedup, trie
 from .common import documents
 
 SHARDS = 24
@@ -82,7 +82,36 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": """
+        WITH crc AS (
+          SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), own AS (
+          SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) AS i, chars, s
+          FROM (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS chars,
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL)
+        ), n AS (SELECT c, max(i) AS n, list_transform(regexp_extract_all(hex(encode(CAST(c AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM own GROUP BY c),
+        h AS (SELECT c, n, c - c % 100 AS lead,
+                     xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 6 AS h FROM n, crc),
+        m AS (SELECT a.c, a.n, a.lead, a.h, least(a.h, coalesce(b.n, 0)) AS head FROM h a LEFT JOIN h b ON a.lead = b.c),
+        turns AS (SELECT m.c, own.i AS d, s, chars FROM m JOIN own ON own.c = m.lead AND own.i <= m.h
+                  UNION ALL SELECT m.c, own.i - m.h + m.head, s, chars FROM m JOIN own ON own.c = m.c AND own.i > m.h),
+        k AS (SELECT c, d, chars, string_agg(s, ',') OVER (PARTITION BY c ORDER BY d) AS k FROM turns UNION ALL SELECT c, 0, 0, '' FROM m),
+        up AS (SELECT c, d, chars, k, lag(k) OVER (PARTITION BY c ORDER BY d) AS p, d = max(d) OVER (PARTITION BY c) AS last FROM k),
+        nodes AS (SELECT k, min(c) AS conv_id, max(d) AS d, max(p) AS p, max(chars) AS chars, count(*) AS n,
+                         string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM up GROUP BY k),
+        kids AS (SELECT p, count(*) AS n FROM nodes WHERE p IS NOT NULL GROUP BY p),
+        sub AS (SELECT a.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.chars) AS saved
+                FROM nodes u JOIN up a ON a.c = u.conv_id AND a.d <= u.d LEFT JOIN kids ON kids.p = u.k GROUP BY a.k)
+        SELECT nodes.conv_id, nodes.d AS depth, up_.conv_id AS parent_conv_id, nodes.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+               CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(nodes.ends, '')) AS ends_sha256
+        FROM nodes JOIN sub USING (k) LEFT JOIN kids ON kids.p = nodes.k LEFT JOIN nodes up_ ON up_.k = nodes.p
+    """,
     "op12_source_divergence": """
         WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -180,7 +209,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing, op11_exact_dedup, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_pii, op4_media_columns, op5_quality, op6_sentencepiece, op7_simhash, op8_top_k, op9_sharding, op10_best_fit_packing, op11_exact_dedup, op12_source_divergence, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
