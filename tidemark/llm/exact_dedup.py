@@ -177,13 +177,15 @@ def look_up(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 def _only_alike(texts: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
     """(digest): digests that different texts share. ``texts``: (id, digest, text); ``repeated``: groups of more than one row."""
     parts = F.ceil(F.col("n") / PER_PART).cast("int").alias("parts")
-    met = join_counted(texts, repeated.select("digest", F.col("id").alias("_first"), "n", parts), ["digest"], "n", total, "inner")
+    met = table(join_counted(texts, repeated.select("digest", F.col("id").alias("_first"), "n", parts), ["digest"], "n", total, "inner").drop("n"))
     first = F.col("id").eqNullSafe(F.col("_first"))
     stays = met.where(first).groupBy("digest", "parts").agg(F.min("text").alias("_least"), F.max("text").alias("_most"))
     spread = stays.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     others = met.where(~first).select("digest", "text", F.pmod(F.xxhash64("id", F.spark_partition_id()), F.col("parts")).cast("int").alias("part"))
     differs = others.hint("merge").join(spread, ["digest", "part"]).where((F.col("text") != F.col("_least")) | (F.col("text") != F.col("_most")))
-    return differs.select("digest").unionByName(stays.where(F.col("_least") != F.col("_most")).select("digest")).distinct()
+    odd = table(differs.select("digest").unionByName(stays.where(F.col("_least") != F.col("_most")).select("digest")).distinct())
+    forget(met)
+    return odd
 
 
 def _by_bytes(texts: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def find_repeats(docs: DataFrame, history: DataFrame | None = None, id_col: str
     groups = table(look_up(index, new, shards))
     forget(index)
     repeated = groups.where("n > 1")
-    odd = table(_only_alike(texts.select("id", "digest", "text"), repeated, total))
+    odd = _only_alike(texts.select("id", "digest", "text"), repeated, total)
     mine = join_counted(rows, repeated.select("digest", F.col("id").alias("_keep"), F.col("place").alias("_place"), "n"), ["digest"], "n", total, "left")
     found = mine.select(
         "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("_keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
