@@ -200,19 +200,25 @@ class Macd:
 
 
 class Directional:
-    """Smoothed shares of upward and downward reach, and their contrast."""
+    """Smoothed shares of upward and downward reach, and their contrast.
+
+    The series' first bar adds its own range. A bar without one of the three prices is
+    none to be measured against, so the bar after it adds nothing.
+    """
 
     def __init__(self, n: int) -> None:
-        self.n = n
+        self.n, self.first = n, True
         self.before: tuple[float, float, float] | None = None
         self.plus, self.minus, self.reach = expanding_wilder(n), expanding_wilder(n), expanding_wilder(n)
 
     def push(self, high: Value, low: Value, close: Value) -> tuple[float, float, float] | None:
-        if high is None or low is None or close is None:
+        first, before = self.first, self.before
+        self.first, self.before = False, None if None in (high, low, close) else (high, low, close)
+        if high is None or low is None:
             return None
-        before, self.before = self.before, (high, low, close)
         if before is None:
-            self.reach.push(high - low)
+            if first:
+                self.reach.push(high - low)
             return None
         up, down = high - before[0], before[1] - low
         reach = self.reach.push(max(high - low, abs(high - before[2]), abs(low - before[2])))

@@ -327,19 +327,19 @@ class Vidya(Fold):
 
 
 class ZeroLagExponentialMovingAverage(Fold):
-    """Starts from zero, not from a seed."""
+    """Starts from zero, not from a seed. A gap takes a place, and leaves no value where it lags onto a bar."""
 
     def start(self, length):
         self.n, self.window, self.value = length, Window(length), 0.0
 
     def step(self, b):
-        if b.close is None:
-            return (None,)
         self.window.push(b.close)
         if not self.window.full:
             return (None,)
         weight = 2 / (self.n + 1)
         earlier = self.window.items[(self.n - 1) // 2]
+        if b.close is None or earlier is None:
+            return (None,)
         self.value = weight * (2 * b.close - earlier) + (1 - weight) * self.value
         return (self.value,)
 
@@ -376,12 +376,13 @@ class DirectionalIndex(Fold):
 class NickRypockTrailingReverse(Fold):
     def start(self, length, multiple):
         self.n, self.scale = length, max(1.0, multiple) / 1000
-        self.k, self.value, self.trend = None, 0.0, 0
+        self.k, self.value, self.trend, self.count = None, 0.0, 0, 0
 
     def step(self, b):
         c = b.close
         if c is None:
             return (None,)
+        self.count += 1
         if self.k is None:
             self.k = self.high = self.low = c
         self.k = (self.k + (c - self.k) / self.n) * self.scale
@@ -394,7 +395,7 @@ class NickRypockTrailingReverse(Fold):
             self.low = min(self.low, c)
             self.value = self.low + self.k
             self._turn(1 if c >= self.value else -1, c, rising=True)
-        return (self.value if b.i >= self.n - 1 else None,)
+        return (self.value if self.count >= self.n else None,)
 
     def _turn(self, to: int, c: float, rising: bool = False) -> None:
         self.trend = to
@@ -490,7 +491,7 @@ class Alligator(Fold):
     """Three smoothed means of the middle price, as they stand on each bar: drawn ``shift`` bars after they were computed."""
 
     def start(self, jawLength, jawShift, teethLength, teethShift, lipsLength, lipsShift):
-        self.lines = [(wilder(n), Window(s + 1)) for n, s in ((jawLength, jawShift), (teethLength, teethShift), (lipsLength, lipsShift))]
+        self.lines = [(Smoothed(n, 1 / n), Window(s + 1)) for n, s in ((jawLength, jawShift), (teethLength, teethShift), (lipsLength, lipsShift))]
 
     def step(self, b):
         out, x = [], middle(b)
@@ -607,14 +608,20 @@ class ElderImpulseSystem(Fold):
 
 
 class GatorOscillator(Fold):
-    def start(self, **p):
-        self.lines = Alligator(p)
+    """Gaps of the three lines on each bar. A line counts from its length's bar on, with what its seed has by then."""
+
+    def start(self, jawLength, jawShift, teethLength, teethShift, lipsLength, lipsShift):
+        sizes = (jawLength, jawShift), (teethLength, teethShift), (lipsLength, lipsShift)
+        self.lines = [(n, Smoothed(n, 1 / n, warm="part"), Window(s + 1)) for n, s in sizes]
 
     def step(self, b):
-        jaw, teeth, lips = self.lines.step(b)
+        x, now = middle(b), []
+        for n, mean, held in self.lines:
+            value = mean.push(x)
+            held.push(value if b.i >= n - 1 else None)
+            now.append(held.items[0] if held.full else None)
+        jaw, teeth, lips = now
         upper, lower = minus(jaw, lips), minus(lips, teeth)
-        if jaw is None:
-            return (None, None)
         return (None if upper is None else abs(upper), None if lower is None else -abs(lower))
 
 
@@ -948,7 +955,7 @@ class ElderForceIndex(Fold):
         if b.close is None:
             return (None,)
         before, self.before = self.before, b.close
-        return (None,) if before is None else (self.mean.push((b.volume or 0.0) * (b.close - before)),)
+        return (self.mean.push((b.volume or 0.0) * (b.close - before)) if before else None,)
 
 
 class KlingerVolumeOscillator(Fold):
@@ -1042,11 +1049,10 @@ class EhlersFisherTransform(Fold):
         self.top, self.bottom, self.value, self.main = Extreme(length, 1), Extreme(length, -1), 0.0, 0.0
 
     def step(self, b):
-        x = middle(b)
-        top, bottom = self.top.push(x), self.bottom.push(x)
+        x, top, bottom = middle(b), self.top.push(b.high), self.bottom.push(b.low)
         if x is None or top is None or bottom is None:
             return (None, None)
-        place = divide(x - bottom, top - bottom, 0.0)
+        place = divide(x - bottom, top - bottom, 0.5)
         self.value = min(0.999, max(-0.999, 0.33 * (place - 0.5) + 0.67 * self.value))
         before, self.main = self.main, 0.5 * math.log((1 + self.value) / (1 - self.value))
         return (self.main, before)

@@ -353,7 +353,7 @@ def _(q, p):
 @oracle("GatorOscillator")
 def _(q, p):
     _alligator(q, p)
-    return {"upper": "abs(jaw - lips)", "lower": "CASE WHEN jaw IS NOT NULL THEN -abs(lips - teeth) END"}
+    return {"upper": "abs(jaw - lips)", "lower": "-abs(lips - teeth)"}
 
 
 def _rsi(q: Query, name: str, x: str, n: int, array: bool = False) -> None:
@@ -703,8 +703,8 @@ def _(q, p):
 def _(q, p):
     n = p["length"]
     q.cols(m=HL2)
-    q.cols(hi=Q.high("m", n), lo=Q.low("m", n))
-    q.cols(x="coalesce((m - lo) / nullif(hi - lo, 0), 0)")
+    q.cols(hi=Q.high("high", n), lo=Q.low("low", n))
+    q.cols(x="coalesce((m - lo) / nullif(hi - lo, 0), 0.5)")
     q.fold({"v": (number(0), f"CASE WHEN b.i < {n - 1} THEN 0 ELSE greatest(-0.999, least(0.999, 0.33 * (b.x - 0.5) + 0.67 * p.v)) END")})
     q.cols(f="0.5 * ln((1 + v) / (1 - v))")
     return {"main": f"CASE WHEN i >= {n - 1} THEN f END", "trigger": f"CASE WHEN i >= {n - 1} THEN coalesce({Q.lag('f')}, 0) END"}
