@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, pii, quality, simhash, suffix_dedup
-from tidemark.llm.common import documents, table
+from tidemark.llm.common import documents, table, unused
 
 
 def _with_size(docs: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def _with_size(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a score of at least its threshold."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, name="_quality")
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    name = unused(docs, "_quality")
+    scored = quality.score(docs, model, name=name)
+    return scored.where(F.col(name) >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,3 +153,25 @@ def test_empty_tables_and_the_whole_run(spark, stages, tmp_path):
     whole = corpus_pipeline.run(spark, folder).drop("sequence_id", "offset")
     assert whole.exceptAll(found["packing"][1].drop("sequence_id", "offset")).count() == 0 and whole.count() == found["packing"][1].count()
     assert whole.select(F.sum("length")).first()[0] > 0
+
+
+def test_a_text_whose_id_another_text_has_stays(spark):
+    t, u = prose(61, 60), prose(62, 60)
+    rows = [(3, t), (5, t), (5, u), (7, u), (8, prose(63, 60)), (8, prose(64, 60)), (None, t)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_node", F.lit(1)).withColumn("a.b", F.lit(2))
+    for options in ({}, {"similarity": simhash.SIMILARITY}):
+        out = simhash.keep_one(docs, **options)
+        assert out.columns == docs.columns
+        kept = [(r[0], r[1]) for r in out.collect()]
+        assert len(kept) == 5 and {x for _, x in kept} == {x for _, x in rows}
+        assert (3, t) in kept and (None, t) in kept and [k for k, x in kept if x == u] in ([5], [7])
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    rows, labels = corpus()
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_quality", F.lit("mine")).withColumn("a.b", F.lit(1)).withColumn("_gone", F.lit(2)).withColumn("node", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(out.columns) == set(docs.columns), name
+        assert out.where("_quality <> 'mine' or `a.b` <> 1 or _gone <> 2 or node <> 3").count() == 0, name

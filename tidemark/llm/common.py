@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -110,11 +113,15 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, to
     return few.unionByName(many)
 
 
+#: Tables made within each open ``scratch``.
+_OPEN: list[list[DataFrame]] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 
     For what is wide or long: compressed and columnar where ``cut`` is neither.
-    The files go when the application ends.
+    The files go at the end of the ``scratch`` around it, or when the application ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -122,7 +129,10 @@ def table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     there = context._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(written)
+    return written
 
 
 def forget(written: DataFrame) -> None:
@@ -132,3 +142,46 @@ def forget(written: DataFrame) -> None:
         if "/table-" in folder:
             there = context._jvm.org.apache.hadoop.fs.Path(folder)
             there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+    for made in _OPEN:
+        made[:] = [t for t in made if t is not written]
+
+
+def release(context: SparkContext) -> None:
+    """Let executors drop shuffle files that no plan refers to any more; Spark does so when the driver collects garbage."""
+    gc.collect()
+    context._jvm.System.gc()
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables made within go at its end, with the shuffle files behind them, but for those given to what it yields.
+
+    What is read after the end may depend on no other of them.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+
+    def keep(written: DataFrame) -> DataFrame:
+        kept.append(written)
+        return written
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for written in made:
+            if not any(written is k for k in kept):
+                forget(written)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+        if made:
+            release(made[0].sparkSession.sparkContext)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores after it, if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import forget, table
 
 
 def _min_neighbour(pairs: DataFrame, key: str, value: str) -> DataFrame:
@@ -33,11 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``root`` is the smallest node that can be reached. Each round keeps at most
     as many edges as the last one, joins on nodes only after taking minima with
-    map-side combine, and is cut by a checkpoint, so lineage stays short and a
+    map-side combine, and is written, so lineage stays short and a
     lost executor costs one round. Rounds grow with the logarithm of the longest
     chain. Self-links and null ends are ignored; no edges give no rows.
     """
-    current = cut(
+    current = table(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
         .distinct()
@@ -48,4 +48,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark[0] == 0 or mark == seen:
             return current.select(F.col("child").alias("node"), F.col("parent").alias("root"))
         seen = mark
-        current = cut(_small_star(_large_star(current).distinct()).distinct())
+        before = current
+        current = table(_small_star(_large_star(before).distinct()).distinct())
+        forget(before)

@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -339,6 +339,19 @@ def portions(texts: list[str], most: int = CHARACTERS_AT_ONCE) -> Iterator[tuple
         yield start, len(texts)
 
 
+def _plain(names: list[str]) -> list[str]:
+    """Names that mapInArrow can take, which those with dots are not."""
+    return [f"_c{i}" for i in range(len(names))]
+
+
+def _mapped(df: DataFrame, keep: list[str], run: Callable, name: str, kind: str) -> DataFrame:
+    """Columns ``keep`` of ``df`` and one that ``run`` makes."""
+    plain = _plain(keep)
+    schema = ", ".join(f"{p} {df.schema[c].dataType.simpleString()}" for p, c in zip(plain, keep))
+    rows = df.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, keep)])
+    return rows.mapInArrow(run, f"{schema}, made {kind}").toDF(*keep, name)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, theta: float = THETA) -> DataFrame:
     """``docs`` with ``ids``, a sampled segmentation of each text.
 
@@ -356,10 +369,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for a, b in portions(texts):
                 found = coder.encode(texts[a:b], keys[a:b], seed)
                 ids = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], [*_plain(keep), "made"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(run, f"{schema}, ids array<int>")
+    return _mapped(docs, keep, run, "ids", "array<int>")
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -371,10 +383,9 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "te
         vocabulary = sampler(model).vocabulary
         for batch in batches:
             texts = [vocabulary.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*_plain(keep), "made"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep).mapInArrow(run, f"{schema}, `{out_col}` string")
+    return _mapped(rows, keep, run, out_col, "string")
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, theta: float = THETA) -> DataFrame:

@@ -209,7 +209,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
         held = Model(weights.astype(np.float64), slope, shift)
         for batch in batches:
             scores = [held.score(features(t)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*plain, "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(run, f"{schema}, `{name}` double")
+    # mapInArrow cannot take names with dots.
+    plain = [f"_c{i}" for i in range(len(keep))]
+    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(plain, keep))
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, keep)])
+    return rows.mapInArrow(run, f"{schema}, score double").toDF(*keep, name)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Rolling
-from .common import cut, forget, parts, table
+from .common import cut, forget, parts, release, scratch, table, unused
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -189,7 +189,7 @@ def crowd_links(prints: DataFrame) -> DataFrame:
     the least of them, found with map-side combine.
     """
     near = table(prints.mapInArrow(_values_near, "value bigint, rep bigint"))
-    least = table(near.groupBy(F.col("value").alias("_value")).agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").drop("c"))
+    least = (near.groupBy(F.col("value").alias("_value")).agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").drop("c"))
     return near.join(least, near["value"] == least["_value"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
 
 
@@ -277,6 +277,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
 
     alike = table(both.mapInArrow(run, "a bigint, b bigint"))
     forget(sets)
+    forget(wanted)
+    release(docs.sparkSession.sparkContext)
     return alike
 
 
@@ -294,13 +296,17 @@ def leader_links(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float
     shared = table(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n"))
     met = table(posted.join(shared, posted["key"] == shared["_key"]).select("id", "key", "n"))
     forget(posted)
+    forget(shared)
     weight = table(met.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("weight")))
     weighed = table(met.join(weight, met["id"] == weight["_id"]).select("id", "key", "weight"))
     forget(met)
+    forget(weight)
     leaders = table(weighed.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("weight", (-F.col("id")).alias("no"))).alias("top")))
     pairs = weighed.join(leaders, weighed["key"] == leaders["_key"]).select(F.col("id").alias("a"), (-F.col("top.no")).alias("b"))
     wanted = table(pairs.where("a <> b").distinct())
     forget(weighed)
+    forget(leaders)
+    release(docs.sparkSession.sparkContext)
     return _verified(wanted, docs, words, similarity)
 
 
@@ -458,14 +464,20 @@ def crossing_links(docs: DataFrame, roots: DataFrame, words: int = SHINGLE_WORDS
     rooted = docs.join(roots.hint("merge"), docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
     posted = table(rooted.mapInArrow(post, "key bigint, node bigint, root bigint, size bigint"))
     several = posted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    crossing = table(posted.join(table(several.select(F.col("key").alias("_key"))), F.col("key") == F.col("_key")).drop("_key"))
+    kept = table(several.select(F.col("key").alias("_key")))
+    crossing = table(posted.join(kept, F.col("key") == F.col("_key")).drop("_key"))
     forget(posted)
+    forget(kept)
+    release(docs.sparkSession.sparkContext)
     lists = crossing.groupBy("node", "root", "size").agg(F.collect_list("key").alias("keys"))
     rows = lists.mapInArrow(listed, "key bigint, node bigint, root bigint, size bigint, list binary")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, n bigint, need bigint")
     enough = met.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-    return _verified(table(enough.select("a", "b")), docs, words, similarity)
+    pairs = table(enough.select("a", "b"))
+    forget(crossing)
+    release(docs.sparkSession.sparkContext)
+    return _verified(pairs, docs, words, similarity)
 
 
 def keep_one(
@@ -474,27 +486,44 @@ def keep_one(
     """``docs`` with one row for each group of near copies: that with the smallest id.
 
     Groups are linked by fingerprints within two bits and, with ``similarity``, by
-    every two texts whose shingles overlap by that much. Rows without an id are kept. Rows that repeat the kept id are
-    kept with it. Columns of ``docs`` keep their names and values.
+    every two texts whose shingles overlap by that much. Rows without an id are kept.
+    Rows alike in id and text stay or go together; rows that share an id but not a text
+    are told apart. Columns of ``docs`` keep their names and values.
     """
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    every = cut(fingerprints(known, "id", "text", words))
-    distinct = table(every.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = near_links(distinct)
-    if similarity is not None:
-        # One row for each text; texts with one fingerprint can differ, so each is linked to the fingerprint's own.
-        texts = table(known.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("id").alias("_rep")).select("_rep").distinct())
-        first = known.join(texts.hint("merge"), known["id"] == texts["_rep"], "left_semi")
-        same = every.join(texts, every["id"] == texts["_rep"], "left_semi").join(distinct.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
-        links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
-        links = links.unionByName(leader_links(first, similarity=similarity))
-    roots = connected_components(links)
-    if similarity is not None:
-        rest = crossing_links(first, roots, similarity=similarity)
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    labelled = table(
-        distinct.join(roots, distinct["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    )
-    groups = every.join(labelled, every["fp"] == labelled["_fp"])
-    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
+    with scratch() as keep:
+        rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        marks = rows.groupBy(F.col("id").alias("_shared")).agg(F.min(F.xxhash64("text")).alias("_first"), F.max(F.xxhash64("text")).alias("_last"))
+        shared = keep(table(marks.where("_first < _last").drop("_last")))
+        known = _noded(rows, "id", "text", shared, "node").select(F.col("node").alias("id"), "text")
+        every = table(fingerprints(known, "id", "text", words))
+        distinct = table(every.groupBy("fp").agg(F.min("id").alias("rep")))
+        links = near_links(distinct)
+        if similarity is not None:
+            # One row for each text; texts with one fingerprint can differ, so each is linked to the fingerprint's own.
+            texts = table(known.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("id").alias("_rep")).select("_rep").distinct())
+            first = table(known.join(texts.hint("merge"), known["id"] == texts["_rep"], "left_semi"))
+            same = every.join(texts, every["id"] == texts["_rep"], "left_semi").join(distinct.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
+            links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+            links = links.unionByName(leader_links(first, similarity=similarity))
+        roots = connected_components(links)
+        if similarity is not None:
+            rest = crossing_links(first, roots, similarity=similarity)
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+        labelled = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+        groups = every.join(labelled, every["fp"] == labelled["_fp"])
+        gone = keep(table(groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()))
+    node = unused(docs, "_node")
+    marked = _noded(docs, id_col, text_col, shared, node)
+    return marked.join(gone.hint("merge"), marked[node] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _noded(docs: DataFrame, id_col: str, text_col: str, shared: DataFrame, name: str) -> DataFrame:
+    """``docs`` with its id as ``name``, but for texts after the first of an id in ``shared``: those get a number beyond any id."""
+    number = F.col(f"`{id_col}`").cast("bigint")
+    if shared.isEmpty():
+        return docs.withColumn(name, number)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    mark = F.xxhash64(F.col(f"`{text_col}`"))
+    beyond = F.lit(1 << 62) + F.xxhash64(number, mark).bitwiseAND((1 << 61) - 1)
+    own = F.when(F.col("_first") != mark, beyond).otherwise(number)
+    return docs.join(shared.hint("merge"), number == F.col("_shared"), "left").select(*kept, own.alias(name))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE, Rolling, mix
-from .common import forget, parts, table
+from .common import forget, parts, release, scratch, table
 
 LENGTH = 400
 #: Symbols of a bucket's string in each round; in the last round it is the whole length.
@@ -239,6 +239,8 @@ def _level(texts: DataFrame, kinds: list[Repeats], level: int) -> tuple[DataFram
     shared = table(grams.where(twice).select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many")))
     met = table(rows.join(shared, rows["gram"] == shared["_gram"]).drop("_gram"))
     forget(rows)
+    forget(shared)
+    release(texts.sparkSession.sparkContext)
     several = met.where("many")
     # Places of one row that are alike stay together: they are no repeat across rows, but others can repeat a part of them.
     places = ["doc", "print", "base", "lo", "hi", "more"]
@@ -298,7 +300,9 @@ def repeated_windows(docs: DataFrame, kinds: list[Repeats]) -> DataFrame:
     texts = docs.select(F.lit(None).cast("int").alias("kind"), "doc", "print", F.lit(0).alias("base"), data)
     found, left = _level(texts, kinds, 0)
     for level in range(1, max(len(x.depths) for x in kinds) + 1):
-        texts = _fetch(texts, left, kinds, whole=level == 1)
+        before, texts = texts, _fetch(texts, left, kinds, whole=level == 1)
+        if level > 1:
+            forget(before)
         more, left = _level(texts, kinds, level)
         found = found.unionByName(more)
     return found.groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "lo", "hi", "more")).alias("windows"))
@@ -356,8 +360,9 @@ def _met(docs: DataFrame, id_col: str, text_col: str, kinds: list[Repeats], othe
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.col(id_col).cast("bigint")
     known = [doc.alias("doc"), F.xxhash64(doc, text).alias("print"), text.alias("text")]
-    windows = repeated_windows(docs.select(*known), kinds)
-    windows = windows.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "windows")
+    with scratch() as keep:
+        windows = repeated_windows(docs.select(*known), kinds)
+        windows = keep(table(windows.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "windows")))
     rows = docs.select(*known, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]) if others else docs.select(*known)
     return rows.join(windows.hint("merge"), rows["doc"].eqNullSafe(windows["_doc"]) & (rows["print"] == windows["_print"]), "left")
 
