@@ -69,11 +69,16 @@ class Dialect:
     def total(self, x: str, n: int) -> str:
         return self.full(f"sum({x})", x, n)
 
+    def forms(self, preview: str, commit: str) -> str:
+        """``preview`` on a bar that is still forming, ``commit`` on a final one. All bars are final here."""
+        return commit
+
     def high(self, x: str, n: int) -> str:
-        return self.full(f"max({x})", x, n)
+        """A forming bar comes on top of the last n, and takes no place of theirs."""
+        return self.forms(self.full(f"max({x})", x, n + 1), self.full(f"max({x})", x, n))
 
     def low(self, x: str, n: int) -> str:
-        return self.full(f"min({x})", x, n)
+        return self.forms(self.full(f"min({x})", x, n + 1), self.full(f"min({x})", x, n))
 
     def deviation(self, x: str, n: int) -> str:
         """Population standard deviation; a flat window has exactly zero."""
@@ -152,6 +157,16 @@ class SparkSql(Dialect):
 
 
 
+class FormingSql(SparkSql):
+    """For bars of which the last of a symbol may still be forming, as column ``forming`` tells.
+
+    Only that bar's own value differs; windows of final bars never see it.
+    """
+
+    def forms(self, preview: str, commit: str) -> str:
+        return f"CASE WHEN forming THEN {preview} ELSE {commit} END"
+
+
 class DuckSql(Dialect):
     def known(self, x: str) -> str:
         return f"{x} IGNORE NULLS"

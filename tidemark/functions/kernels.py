@@ -3,10 +3,15 @@
 A block takes one value per bar through ``push`` and gives its value after that
 bar or None. ``formed`` tells whether its warm-up is over. All state is in plain
 attributes, so that blocks can be pickled into a stream's state.
+
+``preview`` gives the value for a bar that is still forming and changes nothing. It
+is what a push would give only where a block says no more of it: means and extrema
+that read the window of final bars as it stands differ.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 
 Value = float | None
@@ -22,6 +27,38 @@ def minus(a: Value, b: Value) -> Value:
     return None if a is None or b is None else a - b
 
 
+class Kernel:
+    """A block. On a copy that is ``forming``, a push is a preview, so that folds of blocks are written once."""
+
+    forming = False
+
+    def push(self, *x):
+        return self.preview(*x) if self.forming else self.take(*x)
+
+    def take(self, *x):
+        raise NotImplementedError
+
+    def preview(self, *x):
+        return forming(self).take(*x)
+
+
+def forming(block):
+    """A copy of a block, or of what is made of blocks, all of which preview."""
+    made = pickle.loads(pickle.dumps(block))
+    _mark(made)
+    return made
+
+
+def _mark(x) -> None:
+    if isinstance(x, (list, tuple)):
+        for y in x:
+            _mark(y)
+    elif hasattr(x, "forming"):
+        x.forming = True
+        for y in vars(x).values():
+            _mark(y)
+
+
 class Window:
     """The last n values; ``full`` once there are n."""
 
@@ -36,11 +73,14 @@ class Window:
         return len(self.items) == self.n
 
 
-class Extreme(Window):
-    """Highest (sign 1) or lowest (sign -1) of the last n; a missing value empties the result while it is in the window."""
+class Extreme(Kernel, Window):
+    """Highest (sign 1) or lowest (sign -1) of the last n; a missing value empties the result while it is in the window.
+
+    A forming value comes on top of the n of a full window.
+    """
 
     def __init__(self, n: int, sign: int) -> None:
-        super().__init__(n)
+        Window.__init__(self, n)
         self.sign = sign
 
     @property
@@ -49,54 +89,76 @@ class Extreme(Window):
             return None
         return max(self.items) if self.sign > 0 else min(self.items)
 
-    def push(self, x: Value) -> Value:
-        super().push(x)
+    def take(self, x: Value) -> Value:
+        Window.push(self, x)
         return self.partial if self.full else None
 
+    def preview(self, x: Value) -> Value:
+        if x is None or not self.full or self.partial is None:
+            return None
+        return max(x, self.partial) if self.sign > 0 else min(x, self.partial)
 
-class Sma(Window):
-    """Mean of the last n; a missing value takes a place."""
 
-    def push(self, x: Value) -> Value:
-        super().push(x)
+class Sma(Kernel, Window):
+    """Mean of the last n; a missing value takes a place. A forming value takes that of the oldest."""
+
+    def take(self, x: Value) -> Value:
+        Window.push(self, x)
         return sum(self.items) / self.n if self.full and None not in self.items else None
 
+    def preview(self, x: Value) -> Value:
+        held = [*self.items][1:]
+        return (sum(held) + x) / self.n if self.full and x is not None and None not in held else None
+
     @property
     def formed(self) -> bool:
         return self.full
 
 
-class PartialSma(Window):
-    """Sum of what is there over the whole length; missing values are skipped."""
+class PartialSma(Kernel, Window):
+    """Sum of what is there over the whole length; missing values are skipped. A forming value takes the oldest one's place, full or not."""
 
-    def push(self, x: Value) -> Value:
+    def take(self, x: Value) -> Value:
         if x is None:
             return None
-        super().push(x)
+        Window.push(self, x)
         return sum(self.items) / self.n
 
+    def preview(self, x: Value) -> Value:
+        return None if x is None else (sum([*self.items][1:]) + x) / self.n
+
     @property
     def formed(self) -> bool:
         return self.full
 
 
-class Smoothed:
+class Smoothed(Kernel):
     """value += (x - value) * weight, from the mean of the first n values.
 
     ``warm``: what is given before that: nothing, the sum over n ("part") or the
     mean so far ("mean"). ``gap``: whether a missing value is skipped ("skip"),
-    spoils only the seed ("seed"), or spoils everything after it ("all").
+    spoils only the seed ("seed"), or spoils everything after it ("all"). A value that
+    forms in the seed takes the place of the oldest there where a sum over n is given.
     """
 
     def __init__(self, n: int, weight: float, warm: str = "none", gap: str = "skip") -> None:
         self.n, self.weight, self.warm, self.gap = n, weight, warm, gap
-        self.count, self.total, self.value, self.spoilt = 0, 0.0, None, False
+        self.count, self.total, self.value, self.spoilt, self.oldest = 0, 0.0, None, False, 0.0
 
     @property
     def formed(self) -> bool:
         return self.count >= self.n and not self.spoilt
 
-    def push(self, x: Value) -> Value:
+    def preview(self, x: Value) -> Value:
+        if x is None or self.spoilt:
+            return None
+        if self.count >= self.n:
+            return self.value + (x - self.value) * self.weight
+        if self.warm == "mean":
+            return (self.total + x) / (self.count + 1)
+        return (self.total - self.oldest + x) / self.n if self.warm == "part" else None
+
+    def take(self, x: Value) -> Value:
         if x is None:
             if self.gap == "all" or (self.gap == "seed" and self.count < self.n):
                 self.spoilt = True
@@ -104,6 +166,8 @@ class Smoothed:
         if self.spoilt:
             return None
         if self.count < self.n:
+            if not self.count:
+                self.oldest = x
             self.count += 1
             self.total += x
             if self.count == self.n:
@@ -137,13 +201,16 @@ def expanding_wilder(n: int) -> Smoothed:
     return Smoothed(n, 1 / n, warm="mean")
 
 
-class TrueRange:
+class TrueRange(Kernel):
     """Reach of a bar including the close before; the first bar's is its own range."""
 
     def __init__(self) -> None:
         self.before: Value = None
 
     def push(self, high: Value, low: Value, close: Value) -> Value:
+        return self.take(high, low, close)
+
+    def take(self, high: Value, low: Value, close: Value) -> Value:
         if high is None or low is None or close is None:
             return None
         reach = high - low if self.before is None else max(high, self.before) - min(low, self.before)
@@ -151,7 +218,7 @@ class TrueRange:
         return reach
 
 
-class Rsi:
+class Rsi(Kernel):
     """Smoothed gains over smoothed moves. An unchanged value repeats the last result, no moves at all give 50."""
 
     def __init__(self, n: int, array: bool = False) -> None:
@@ -165,6 +232,9 @@ class Rsi:
         return self.gain.formed
 
     def push(self, x: Value) -> Value:
+        return self.take(x)
+
+    def take(self, x: Value) -> Value:
         if not self.started:
             self.started, self.before = x is not None, x
             return None
@@ -182,7 +252,7 @@ class Rsi:
         return self.last
 
 
-class Macd:
+class Macd(Kernel):
     """Difference of two means and, once that is there, its own mean."""
 
     def __init__(self, fast: int, slow: int, signal: int = 0, relative: bool = False) -> None:
@@ -191,6 +261,9 @@ class Macd:
         self.relative = relative
 
     def push(self, x: Value) -> tuple[Value, Value, Value]:
+        return self.take(x)
+
+    def take(self, x: Value) -> tuple[Value, Value, Value]:
         a, b = self.fast.push(x), self.slow.push(x)
         gap = minus(a, b)
         if self.relative and gap is not None:
@@ -199,7 +272,7 @@ class Macd:
         return gap, mean, minus(gap, mean)
 
 
-class Directional:
+class Directional(Kernel):
     """Smoothed shares of upward and downward reach, and their contrast.
 
     The series' first bar adds its own range. A bar without one of the three prices is
@@ -212,6 +285,9 @@ class Directional:
         self.plus, self.minus, self.reach = expanding_wilder(n), expanding_wilder(n), expanding_wilder(n)
 
     def push(self, high: Value, low: Value, close: Value) -> tuple[float, float, float] | None:
+        return self.take(high, low, close)
+
+    def take(self, high: Value, low: Value, close: Value) -> tuple[float, float, float] | None:
         first, before = self.first, self.before
         self.first, self.before = False, None if None in (high, low, close) else (high, low, close)
         if high is None or low is None:
@@ -228,8 +304,11 @@ class Directional:
         return a, b, divide(100 * abs(a - b), a + b, 0.0)
 
 
-class Aroon:
-    """Age of the window's extremes. When an extreme leaves, its follower's age is counted from the window's old end."""
+class Aroon(Kernel):
+    """Age of the window's extremes. When an extreme leaves, its follower's age is counted from the window's old end.
+
+    A forming bar is an extreme only if it goes beyond, and an age then goes on past the window.
+    """
 
     def __init__(self, n: int) -> None:
         self.n = n
@@ -237,7 +316,13 @@ class Aroon:
         self.best: list[Value] = [None, None]
         self.age = [0, 0]
 
-    def push(self, high: Value, low: Value) -> tuple[Value, Value]:
+    def preview(self, high: Value, low: Value) -> tuple[Value, Value]:
+        if high is None or low is None or not self.sides[0].full:
+            return None, None
+        ages = (0 if high > self.best[0] else self.age[0] + 1), (0 if low < self.best[1] else self.age[1] + 1)
+        return tuple(100 * (self.n - a) / self.n for a in ages)
+
+    def take(self, high: Value, low: Value) -> tuple[Value, Value]:
         if high is None or low is None:
             return None, None
         for k, x in enumerate((high, low)):

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 from ..functions.kernels import (
     Aroon, Directional, Extreme, Macd, PartialSma, Rsi, Sma, Smoothed, TrueRange, Value, Window,
-    chained_ema, divide, ema, expanding_wilder, minus, partial_ema, wilder,
+    chained_ema, divide, ema, expanding_wilder, forming, minus, partial_ema, wilder,
 )
 
 
@@ -32,7 +32,18 @@ RELOCATED: dict[str, type] = {}
 
 
 class Fold:
-    """Registers its subclasses under their names."""
+    """Registers its subclasses under their names.
+
+    ``commit`` takes a final bar. ``preview`` gives the values for a bar that is still
+    forming, and changes nothing: a copy of the fold, on which blocks preview, takes
+    the step. Where a fold itself treats such a bar in another way, it asks ``forming``.
+    A line that has had no value on a final bar has none on a forming one, but for
+    folds whose values are ``standing``: those come from earlier bars.
+    """
+
+    forming = False
+    standing = False
+    seen: tuple[bool, ...] = ()
 
     def __init_subclass__(cls, relocated: bool = False, base: bool = False) -> None:
         if not base:
@@ -48,6 +59,16 @@ class Fold:
     def step(self, b: Bar) -> tuple:
         raise NotImplementedError
 
+    def commit(self, b: Bar) -> tuple:
+        values = self.step(b)
+        if not all(self.seen) or not self.seen:
+            self.seen = tuple(v is not None or old for v, old in zip(values, self.seen or (False,) * len(values)))
+        return values
+
+    def preview(self, b: Bar) -> tuple:
+        values = forming(self).step(b)
+        return values if self.standing else tuple(v if f else None for v, f in zip(values, self.seen or (False,) * len(values)))
+
 
 def middle(b: Bar) -> Value:
     return None if b.high is None or b.low is None else (b.high + b.low) / 2
@@ -191,9 +212,13 @@ class KaufmanAdaptiveMovingAverage(Fold):
         self.fast, self.slow = 2 / (fastSCPeriod + 1), 2 / (slowSCPeriod + 1)
 
     def step(self, b):
-        self.window.push(b.close)
-        w = list(self.window.items)
-        whole = self.window.full and None not in w
+        if self.forming:  # the path goes on from the window's front
+            w = [*self.window.items, b.close]
+            whole = self.window.full and None not in w
+        else:
+            self.window.push(b.close)
+            w = list(self.window.items)
+            whole = self.window.full and None not in w
         if self.value is None:
             self.dead |= b.close is None or (b.i >= self.n and not whole)
             if self.dead or b.i < self.n:
@@ -492,6 +517,7 @@ class Alligator(Fold):
 
     def start(self, jawLength, jawShift, teethLength, teethShift, lipsLength, lipsShift):
         self.lines = [(Smoothed(n, 1 / n), Window(s + 1)) for n, s in ((jawLength, jawShift), (teethLength, teethShift), (lipsLength, lipsShift))]
+        self.standing = min(jawShift, teethShift, lipsShift) > 0
 
     def step(self, b):
         out, x = [], middle(b)
@@ -523,7 +549,8 @@ class CompositeMomentum(Fold):
     def step(self, b):
         changes = []
         for w in self.past:
-            w.push(b.close)
+            if not self.forming:
+                w.push(b.close)
             changes.append(divide(minus(b.close, w.items[0]), w.items[0]) if w.full else None)
         rsi, fast, slow = self.rsi.push(b.close), self.fast.push(b.close), self.slow.push(b.close)
         if None in (*changes, rsi, fast, slow) or b.i < self.rsi_from:
@@ -537,14 +564,14 @@ class ConnorsRSI(Fold):
     def start(self, rsiPeriod, streakRSIPeriod, rocRSIPeriod):
         self.first, self.n = max(rsiPeriod, streakRSIPeriod, rocRSIPeriod), rocRSIPeriod
         self.rsis = [Rsi(n, array=True) for n in (rsiPeriod, streakRSIPeriod, rocRSIPeriod)]
-        self.past, self.before, self.streak = Window(rocRSIPeriod), None, 0
+        self.past, self.before, self.streak = Window(rocRSIPeriod + 1), None, 0
 
     def step(self, b):
         c, streak, change = b.close, None, None
         if c is not None:
             side = 1 if self.before is None else (c > self.before) - (c < self.before)
             streak = side + self.streak if side * self.streak > 0 else side
-            base = self.past.items[0] if self.past.items else c
+            base = self.past.items[1 if self.past.full and not self.forming else 0] if self.past.items else c
             change = divide(100 * (c - base), base) if base is not None else None
             self.before, self.streak = c, streak
         values = [r.push(x) for r, x in zip(self.rsis, (c, None if streak is None else float(streak), change))]
@@ -557,13 +584,14 @@ class ConnorsRSI(Fold):
 class ConstanceBrownCompositeIndex(Fold):
     def start(self, rsiLength, rocLength, shortRsiLength, momentumLength, fastSmaLength, slowSmaLength):
         self.long, self.short = Rsi(rsiLength, array=True), Rsi(shortRsiLength, array=True)
-        self.past, self.mean = Window(rocLength), PartialSma(momentumLength)
+        self.past, self.mean, self.roc = Window(rocLength + 1), PartialSma(momentumLength), rocLength
         self.fast, self.slow = Sma(fastSmaLength), Sma(slowSmaLength)
         self.first = max(rsiLength, shortRsiLength, rocLength + 1, momentumLength)
 
     def step(self, b):
         rsi, short = self.long.push(b.close), self.short.push(b.close)
-        move = minus(rsi, self.past.items[0]) if self.past.full else None
+        at = len(self.past.items) - self.roc - self.forming
+        move = minus(rsi, self.past.items[at]) if at >= 0 else None
         self.past.push(rsi)
         mean = self.mean.push(short)
         value = (move or 0.0) + (mean or 0.0) if b.i >= self.first else None
@@ -608,13 +636,19 @@ class ElderImpulseSystem(Fold):
 
 
 class GatorOscillator(Fold):
-    """Gaps of the three lines on each bar. A line counts from its length's bar on, with what its seed has by then."""
+    """Gaps of the three lines on each bar. A line counts from its length's bar on, with what its seed has by then.
+
+    A forming bar shows what the bar before it showed.
+    """
 
     def start(self, jawLength, jawShift, teethLength, teethShift, lipsLength, lipsShift):
         sizes = (jawLength, jawShift), (teethLength, teethShift), (lipsLength, lipsShift)
         self.lines = [(n, Smoothed(n, 1 / n, warm="part"), Window(s + 1)) for n, s in sizes]
+        self.shown = (None, None)
 
     def step(self, b):
+        if self.forming:
+            return self.shown
         x, now = middle(b), []
         for n, mean, held in self.lines:
             value = mean.push(x)
@@ -622,7 +656,8 @@ class GatorOscillator(Fold):
             now.append(held.items[0] if held.full else None)
         jaw, teeth, lips = now
         upper, lower = minus(jaw, lips), minus(lips, teeth)
-        return (None if upper is None else abs(upper), None if lower is None else -abs(lower))
+        self.shown = (None if upper is None else abs(upper), None if lower is None else -abs(lower))
+        return self.shown
 
 
 class KasePeakOscillator(Fold):
@@ -633,7 +668,7 @@ class KasePeakOscillator(Fold):
 
     def step(self, b):
         mean = self.mean.push(self.reach.push(b.high, b.low, b.close))
-        if b.i < 9 or mean is None:
+        if b.i < 9 + self.forming or mean is None:
             return (None, None)
         peak, valley = b.high, b.low
         if self.before and b.close > self.before:
@@ -641,11 +676,14 @@ class KasePeakOscillator(Fold):
         elif self.before and b.close < self.before:
             peak, valley = min(peak, self.before + mean / 2), min(valley, self.before - mean)
         self.before = b.close
-        self.peaks.push(peak)
-        self.valleys.push(valley)
-        low, old_low = min(self.valleys.items), self.valleys.items[0]
-        short = divide(100 * (b.close - low), max(self.peaks.items) - low, 0.0)
-        long = divide(100 * (b.close - old_low), self.peaks.items[0] - old_low, 0.0)
+        peaks, valleys = [*self.peaks.items, peak], [*self.valleys.items, valley]
+        if not self.forming:  # a forming bar comes on top of the two
+            self.peaks.push(peak)
+            self.valleys.push(valley)
+            peaks, valleys = self.peaks.items, self.valleys.items
+        low, old_low = min(valleys), valleys[0]
+        short = divide(100 * (b.close - low), max(peaks) - low, 0.0)
+        long = divide(100 * (b.close - old_low), peaks[0] - old_low, 0.0)
         return (short if b.i >= self.first else None, long if b.i >= self.second else None)
 
 
@@ -737,7 +775,7 @@ class PsychologicalLine(Fold):
         if b.close is None:
             return (None,)
         w = self.window.items
-        if self.window.full and w[0] < w[-1]:
+        if self.window.full and w[0] < w[-1] and not self.forming:
             self.ups -= 1
         if w and b.close > w[-1]:
             self.ups += 1
@@ -763,7 +801,8 @@ class Trix(Fold):
             x = mean.push(x)
         if x is None:
             return (None,)
-        self.past.push(x)
+        if not self.forming:
+            self.past.push(x)
         return (divide(1000 * (x - self.past.items[0]), self.past.items[0]) if self.past.full else None,)
 
 
@@ -836,7 +875,8 @@ class ChaikinVolatility(Fold):
         mean = self.mean.push(minus(b.high, b.low))
         if mean is None:
             return (None,)
-        self.past.push(mean)
+        if not self.forming:
+            self.past.push(mean)
         return (divide(100 * (mean - self.past.items[0]), self.past.items[0]) if self.past.full else None,)
 
 
@@ -929,7 +969,11 @@ class EaseOfMovement(Fold):
             return (None,)
         value, reach = None, b.high - b.low
         if self.high and self.low and reach and b.volume:
-            value = self.mean.push(((b.high + b.low) / 2 - (self.high + self.low) / 2) * reach / b.volume)
+            move = ((b.high + b.low) / 2 - (self.high + self.low) / 2) * reach / b.volume
+            if self.forming:  # on top of a full window
+                value = (sum(self.mean.items) + move) / self.mean.n if self.mean.full else None
+            else:
+                value = self.mean.push(move)
         if value is None:
             self.high, self.low = b.high, b.low
         return (value,)
@@ -1049,7 +1093,11 @@ class EhlersFisherTransform(Fold):
         self.top, self.bottom, self.value, self.main = Extreme(length, 1), Extreme(length, -1), 0.0, 0.0
 
     def step(self, b):
-        x, top, bottom = middle(b), self.top.push(b.high), self.bottom.push(b.low)
+        x = middle(b)
+        if self.forming:  # within the range of the final bars
+            top, bottom = (side.partial if side.full else None for side in (self.top, self.bottom))
+        else:
+            top, bottom = self.top.push(b.high), self.bottom.push(b.low)
         if x is None or top is None or bottom is None:
             return (None, None)
         place = divide(x - bottom, top - bottom, 0.5)
@@ -1070,7 +1118,7 @@ class SchaffTrendCycle(Fold):
             self.top.push(b.close)
             self.bottom.push(b.close)
         gap = self.macd.push(b.close)[2]
-        if gap is None:
+        if gap is None or self.top.partial is None:
             return (None,)
         reach = self.top.partial - self.bottom.partial
         value = self.last
@@ -1078,7 +1126,8 @@ class SchaffTrendCycle(Fold):
             raw = (gap - self.bottom.partial) / reach
             self.k_top.push(raw)
             self.k_bottom.push(raw)
-            value = divide(100 * (raw - self.k_bottom.partial), self.k_top.partial - self.k_bottom.partial, 0.0)
+            ends = [x for x in (raw, self.k_top.partial, self.k_bottom.partial) if x is not None]
+            value = divide(100 * (raw - min(ends)), max(ends) - min(ends), 0.0)
         if not self.k_top.full:
             return (None,)
         self.last = value

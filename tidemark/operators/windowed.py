@@ -54,7 +54,8 @@ def lunar_phase(q: Dialect, p: dict) -> Formula:
 
 @indicator("BalanceOfPower")
 def balance_of_power(q: Dialect, p: dict) -> Formula:
-    return line(q.clamp(q.divide("close - open", "high - low"), -1, 1))
+    """A forming bar has none."""
+    return line(q.forms("CAST(NULL AS DOUBLE)", q.clamp(q.divide("close - open", "high - low"), -1, 1)))
 
 
 @indicator("PivotPoints")
@@ -71,14 +72,19 @@ def sine_wave(q: Dialect, p: dict) -> Formula:
 
 
 # Earlier bars
+def _past(q: Dialect, n: int) -> str:
+    """The close n bars ago; one bar further back from a bar that is still forming."""
+    return q.forms(q.lag("close", n + 1), q.lag("close", n))
+
+
 @indicator("Momentum")
 def momentum(q: Dialect, p: dict) -> Formula:
-    return line(f"close - {q.lag('close', p['length'])}")
+    return line(f"close - {_past(q, p['length'])}")
 
 
 @indicator("RateOfChange")
 def rate_of_change(q: Dialect, p: dict) -> Formula:
-    return line(f"100 * ({q.divide('close - base', 'base')})", ("base", q.lag("close", p["length"])))
+    return line(f"100 * ({q.divide('close - base', 'base')})", ("base", _past(q, p["length"])))
 
 
 @indicator("Shift")
@@ -304,9 +310,11 @@ def balance_of_market_power(q: Dialect, p: dict) -> Formula:
 
 @indicator("FiniteVolumeElement")
 def finite_volume(q: Dialect, p: dict) -> Formula:
-    """Bars without a range, a close or a volume count as zero."""
+    """Bars without a range, a close or a volume count as zero. A forming bar stands for the last final one in the mean."""
     raw = f"CASE WHEN coalesce(volume, 0) = 0 THEN {q.number(0)} ELSE coalesce(2 * ({q.divide('close - low', 'high - low')}) - 1, {q.number(0)}) END"
-    return line(f"100 * ({q.mean('raw', p['length'])})", ("raw", raw))
+    n = p["length"]
+    preview = f"({q.full('sum(raw)', 'raw', n + 1)} - {q.lag('raw')}) / {n}"
+    return line(f"100 * ({q.forms(preview, q.mean('raw', n))})", ("raw", raw))
 
 
 @indicator("IntradayIntensityIndex")
@@ -326,7 +334,7 @@ def know_sure_thing(q: Dialect, p: dict) -> Formula:
     """Every mean starts to fill once the longest rate of change is there, and rests on bars without it; so does the signal without a value."""
     start, steps = p["roc4Length"], []
     for k in range(1, 5):
-        steps.append((f"b{k}", q.lag("close", p[f"roc{k}Length"])))
+        steps.append((f"b{k}", _past(q, p[f"roc{k}Length"])))
         change = f"100 * ({q.divide(f'close - b{k}', f'b{k}')})"
         steps.append((f"c{k}", f"CASE WHEN i >= {start} THEN {change} END"))
     steps.append(("ok", q.flag(q.both("c4"))))
@@ -352,7 +360,9 @@ def _range(q: Dialect, n: int) -> list[tuple[str, str]]:
 
 @indicator("DonchianChannels")
 def donchian(q: Dialect, p: dict) -> Formula:
-    return Formula({"upper": "hi", "middle": "(hi + lo) / 2", "lower": "lo"}, _range(q, p["length"]))
+    """The middle of a forming bar is that of the bar before."""
+    middle = q.forms(f"({q.lag('hi')} + {q.lag('lo')}) / 2", "(hi + lo) / 2")
+    return Formula({"upper": "hi", "middle": middle, "lower": "lo"}, _range(q, p["length"]))
 
 
 @indicator("PriceChannels")
@@ -369,8 +379,14 @@ def detrended_synthetic(q: Dialect, p: dict) -> Formula:
 def fibonacci(q: Dialect, p: dict) -> Formula:
     """Windows that still fill have values; a gap in one leaves none."""
     n = p["length"]
-    whole = f"count(high) {q.over(n)} = count(*) {q.over(n)} AND count(low) {q.over(n)} = count(*) {q.over(n)}"
-    steps = [("hi", q.frame("max(high)", n)), ("lo", q.frame("min(low)", n)), ("whole", q.flag(whole))]
+
+    def whole(k: int) -> str:
+        return f"(count(high) {q.over(k)} = count(*) {q.over(k)} AND count(low) {q.over(k)} = count(*) {q.over(k)})"
+
+    steps = [
+        ("hi", q.forms(q.frame("max(high)", n + 1), q.frame("max(high)", n))), ("lo", q.forms(q.frame("min(low)", n + 1), q.frame("min(low)", n))),
+        ("whole", q.flag(q.forms(whole(n + 1), whole(n)))),
+    ]
     return Formula({k: f"CASE WHEN whole = 1 THEN lo + (hi - lo) * {q.number(x)} END" for k, x in GOLDEN.items()}, steps)
 
 
@@ -388,7 +404,11 @@ def stochastic(q: Dialect, p: dict) -> Formula:
 
 @indicator("WilliamsR")
 def williams_r(q: Dialect, p: dict) -> Formula:
-    return line(f"-100 * ({q.divide('hi - close', 'hi - lo')})", *_range(q, p["length"]))
+    """A forming bar with a gap in the window before it has only its own range."""
+    n = p["length"]
+    hi = q.forms(f"coalesce({q.full('max(high)', 'high', n + 1)}, high)", q.high("high", n))
+    lo = q.forms(f"coalesce({q.full('min(low)', 'low', n + 1)}, low)", q.low("low", n))
+    return line(f"-100 * ({q.divide('hi - close', 'hi - lo')})", ("hi", hi), ("lo", lo))
 
 
 @indicator("HighLowIndex")
@@ -404,13 +424,14 @@ def pretty_good(q: Dialect, p: dict) -> Formula:
 
 @indicator("MomentumPinball")
 def momentum_pinball(q: Dialect, p: dict) -> Formula:
-    """Over the last closes there were; bars without one have no value."""
+    """Over the last closes there were; bars without one have no value. A forming bar is held against the final ones."""
     n = p["length"]
     steps = [
-        ("ok", q.flag(q.both("close"))), ("hi", q.filled("max(close)", "close", "ok", n)), ("lo", q.filled("min(close)", "close", "ok", n)),
-        ("base", q.earlier("close", "ok", n - 1)),
+        ("ok", q.flag(q.both("close"))), ("top", q.filled("max(close)", "close", "ok", n)), ("low_", q.filled("min(close)", "close", "ok", n)),
+        ("hi", q.forms(q.earlier("top", "ok", 1), "top")), ("lo", q.forms(q.earlier("low_", "ok", 1), "low_")),
+        ("base", q.forms(q.earlier("close", "ok", n), q.earlier("close", "ok", n - 1))),
     ]
-    return line(f"CASE WHEN {q.both('hi', 'lo', 'base')} THEN coalesce(100 * ({q.divide('close - base', 'hi - lo')}), {q.number(0)}) END", *steps)
+    return line(f"CASE WHEN {q.both('close', 'hi', 'lo', 'base')} THEN coalesce(100 * ({q.divide('close - base', 'hi - lo')}), {q.number(0)}) END", *steps)
 
 
 @indicator("GopalakrishnanRangeIndex")
@@ -427,7 +448,14 @@ def chande_kroll(q: Dialect, p: dict) -> Formula:
     """The stops' means are over the last stops there were, and divide by the whole length while they fill."""
     n, k = p["period"], p["stopPeriod"]
     steps = [*_range(q, n), ("a", f"hi - (hi - lo) * {q.number(p['multiplier'])}"), ("b", f"lo + (hi - lo) * {q.number(p['multiplier'])}"), ("ok", q.flag(q.both("hi", "lo")))]
-    mean = lambda x: f"CASE WHEN ok = 1 THEN {q.among(f'sum({x})', 'ok', k)} / {k} END"
+
+
+    def mean(x: str) -> str:
+        """A forming bar takes the place of the oldest stop, also while they fill."""
+        total = q.among(f"sum({x})", "ok", k)
+        oldest = f"CASE WHEN {q.among(f'count({x})', 'ok', k + 1)} <= {k} THEN {q.among(f'first_value({x})', 'ok', k + 1)} ELSE {q.number(0)} END"
+        return f"CASE WHEN ok = 1 THEN ({q.forms(f'{total} - {oldest}', total)}) / {k} END"
+
     return Formula({"longStop": mean("a"), "shortStop": mean("b")}, steps)
 
 
@@ -435,12 +463,12 @@ def chande_kroll(q: Dialect, p: dict) -> Formula:
 def ichimoku(q: Dialect, p: dict) -> Formula:
     """Values as they stand on each bar: the spans were computed ``kijunLength`` bars before."""
     t, k, b = p["tenkanLength"], p["kijunLength"], p["senkouBLength"]
-    steps = [
-        ("t", f"(({q.high('high', t)}) + ({q.low('low', t)})) / 2"),
-        ("k", f"(({q.high('high', k)}) + ({q.low('low', k)})) / 2"),
-        ("a", "(t + k) / 2"),
-        ("b", f"(({q.high('high', b)}) + ({q.low('low', b)})) / 2" if b >= k else "CAST(NULL AS DOUBLE)"),
-    ]
+
+    def middle(n: int) -> str:
+        """A forming bar takes the place of the oldest one here."""
+        return f"(({q.full('max(high)', 'high', n)}) + ({q.full('min(low)', 'low', n)})) / 2"
+
+    steps = [("t", middle(t)), ("k", middle(k)), ("a", "(t + k) / 2"), ("b", middle(b) if b >= k else "CAST(NULL AS DOUBLE)")]
 
     def drawn(x: str, first: int) -> str:
         """The first value also stands one bar earlier."""
@@ -465,14 +493,19 @@ def detrended_price(q: Dialect, p: dict) -> Formula:
         ("m", q.mean("close", n)), ("ok", q.flag(q.both("m"))), ("met", f"CASE WHEN ok = 1 THEN {q.earlier('m', 'ok', back)} END"),
         ("kept", f"coalesce(met, {q.before('met')})"), ("means", f"count(m) {q.so_far}"),
     ]
-    return line(f"CASE WHEN means >= {n} THEN close - kept END", *steps)
+    return line(f"CASE WHEN means >= {n} THEN close - {q.forms(q.lag('kept'), 'kept')} END", *steps)
 
 
 @indicator("KaufmanEfficiencyRatio")
 def efficiency(q: Dialect, p: dict) -> Formula:
+    """A forming bar makes the path a bar longer."""
     n = p["length"]
-    steps = [("move", f"abs(close - {q.lag('close')})"), ("base", q.lag("close", n - 1)), ("path", q.frame("sum(move)", n - 1) if n > 1 else q.number(0))]
-    return line(f"CASE WHEN count(close) {q.over(n)} = {n} THEN coalesce({q.divide('abs(close - base)', 'path')}, {q.number(0)}) END", *steps)
+    path = q.frame("sum(move)", n - 1) if n > 1 else q.number(0)
+    steps = [
+        ("move", f"abs(close - {q.lag('close')})"), ("base", q.forms(q.lag("close", n), q.lag("close", n - 1))), ("path", q.forms(q.frame("sum(move)", n), path)),
+        ("whole", q.flag(q.forms(f"count(close) {q.over(n + 1)} = {n + 1}", f"count(close) {q.over(n)} = {n}"))),
+    ]
+    return line(f"CASE WHEN whole = 1 THEN coalesce({q.divide('abs(close - base)', 'path')}, {q.number(0)}) END", *steps)
 
 
 @indicator("VerticalHorizontalFilter")
@@ -489,7 +522,8 @@ def fractal_dimension(q: Dialect, p: dict) -> Formula:
         return line("CAST(NULL AS DOUBLE)")
     steps = [
         ("ok", q.flag(q.both("close"))), ("move", f"CASE WHEN ok = 1 THEN abs(close - {q.before('close')}) END"), ("path", q.among("sum(move)", "ok", n - 1)),
-        ("hi", q.filled("max(close)", "close", "ok", n)), ("lo", q.filled("min(close)", "close", "ok", n)),
+        ("hi", q.forms(q.filled("max(close)", "close", "ok", n + 1), q.filled("max(close)", "close", "ok", n))),
+        ("lo", q.forms(q.filled("min(close)", "close", "ok", n + 1), q.filled("min(close)", "close", "ok", n))),
     ]
     log = f"1 + (ln(path) - ln(hi - lo)) / {q.number(math.log(2 * (n - 1)))}"
     value = f"CASE WHEN hi - lo > 0 AND path > 0 THEN {q.clamp(log, 1, 2)} ELSE {q.number(1.5)} END"
@@ -500,10 +534,10 @@ def fractal_dimension(q: Dialect, p: dict) -> Formula:
 
 
 # Moves up and down
-def _moves(q: Dialect, x: str, k: int = 1) -> list[tuple[str, str]]:
+def _moves(q: Dialect, base: str) -> list[tuple[str, str]]:
     zero = q.number(0)
     return [
-        ("d", f"{x} - {q.lag(x, k)}"),
+        ("d", f"close - {base}"),
         ("up", f"CASE WHEN d IS NOT NULL THEN greatest(d, {zero}) END"),
         ("down", f"CASE WHEN d IS NOT NULL THEN greatest(-d, {zero}) END"),
     ]
@@ -512,14 +546,14 @@ def _moves(q: Dialect, x: str, k: int = 1) -> list[tuple[str, str]]:
 @indicator("ChandeMomentumOscillator")
 def chande_momentum(q: Dialect, p: dict) -> Formula:
     n = p["length"]
-    steps = [*_moves(q, "close"), ("u", q.total("up", n)), ("v", q.total("down", n))]
+    steps = [*_moves(q, q.lag("close")), ("u", q.total("up", n)), ("v", q.total("down", n))]
     return line(f"CASE WHEN {q.both('u', 'v')} THEN coalesce(100 * ({q.divide('u - v', 'u + v')}), {q.number(0)}) END", *steps)
 
 
 @indicator("RelativeMomentumIndex")
 def relative_momentum(q: Dialect, p: dict) -> Formula:
     n = p["length"]
-    return line(f"100 * ({q.divide('u', 'u + v')})", *_moves(q, "close", p["momentumPeriod"]), ("u", q.mean("up", n)), ("v", q.mean("down", n)))
+    return line(f"100 * ({q.divide('u', 'u + v')})", *_moves(q, _past(q, p["momentumPeriod"])), ("u", q.mean("up", n)), ("v", q.mean("down", n)))
 
 
 @indicator("DeMarker")
@@ -602,18 +636,22 @@ def standard_deviation(q: Dialect, p: dict) -> Formula:
     return line(q.deviation("close", p["length"]))
 
 
+def _last_spread(q: Dialect, n: int) -> list[tuple[str, str]]:
+    """Mean and deviation; a forming bar is held against those of the bar before."""
+    return [("m", q.mean("close", n)), ("s", q.deviation("close", n)), ("base", q.forms(q.lag("m"), "m")), ("width", q.forms(q.lag("s"), "s"))]
+
+
 @indicator("BollingerBands")
 def bollinger(q: Dialect, p: dict) -> Formula:
     up, down = (p["upBandWidth"], p["lowBandWidth"]) if p["width"] == 2 else (p["width"], -p["width"])
-    steps = [("m", q.mean("close", p["length"])), ("s", q.deviation("close", p["length"]))]
-    return Formula({"upper": f"m + {q.number(up)} * s", "middle": "m", "lower": f"m + {q.number(down)} * s"}, steps)
+    steps = [*_last_spread(q, p["length"])]
+    return Formula({"upper": f"base + {q.number(up)} * width", "middle": "m", "lower": f"base + {q.number(down)} * width"}, steps)
 
 
 @indicator("BollingerPercentB")
 def percent_b(q: Dialect, p: dict) -> Formula:
     k = q.number(p["stdDevMultiplier"])
-    steps = [("m", q.mean("close", p["length"])), ("s", q.deviation("close", p["length"]))]
-    return line(f"100 * ({q.divide(f'close - (m - {k} * s)', f'2 * {k} * s')})", *steps)
+    return line(f"100 * ({q.divide(f'close - (base - {k} * width)', f'2 * {k} * width')})", *_last_spread(q, p["length"]))
 
 
 @indicator("Envelope")
@@ -697,7 +735,7 @@ def regression_r2(q: Dialect, p: dict) -> Formula:
     spread = f"var_pop(close) {q.over(n)}"
     share = f"slope * slope * {q.number((n * n - 1) / 12)}"
     value = f"CASE WHEN hi = lo THEN {q.number(0)} ELSE {q.clamp(q.divide(share, 'spread'), 0, 1)} END"
-    steps = [*_fit(q, n), ("hi", q.high("close", n)), ("lo", q.low("close", n)), ("spread", spread)]
+    steps = [*_fit(q, n), ("hi", q.full("max(close)", "close", n)), ("lo", q.full("min(close)", "close", n)), ("spread", spread)]
     return line(f"CASE WHEN m IS NOT NULL THEN {q.number(0) if n == 1 else value} END", *steps)
 
 
@@ -745,7 +783,8 @@ def relative_vigor(q: Dialect, p: dict) -> Formula:
     """Weights 1, 2, 2, 1 on the oldest four of each window; over flat bars the mean move itself."""
 
     def oldest(x: str, n: int) -> str:
-        return f"({' + '.join(f'{k} * {q.lag(x, n - 1 - j)}' for j, k in enumerate((1, 2, 2, 1)))}) / 6"
+        first = " + ".join(f"{k} * {q.lag(x, n - 1 - j)}" for j, k in enumerate((1, 2, 2)))
+        return f"({first} + {q.forms(x, q.lag(x, n - 4))}) / 6"
 
     n, whole = p["averageLength"], q.both("open", "high", "low", "close")
     steps = [

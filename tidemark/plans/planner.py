@@ -12,19 +12,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import Definition, definition
-from ..functions.dialect import SPEC, Dialect, SparkSql
+from ..functions.dialect import SPEC, Dialect, FormingSql, SparkSql
 from ..model import BAR
 from ..operators.recursive import RECURSIVE, RELOCATED, Bar
 from ..operators.windowed import WINDOWED
 
 
+#: Whether a bar is still forming, in plans for previews.
+FORMING = "forming"
+
+
 @dataclass(frozen=True)
 class Request:
     """An indicator with parameters; ``prefix`` goes before its output columns."""
@@ -77,12 +82,27 @@ def layers(requests: Iterable[Request], dialect: Dialect) -> tuple[list[dict[str
     return steps, outputs
 
 
+#: Outputs that show on a forming bar what final bars put there, or by the bar's number, so that nothing has to have been there before.
+STANDING = {("Ichimoku", "senkouA"), ("Ichimoku", "senkouB"), ("Shift", "line")}
+
+
 def _windowed(bars: DataFrame, requests: list[Request]) -> DataFrame:
-    steps, outputs = layers(requests, SparkSql())
+    forming = FORMING in bars.columns
+    steps, outputs = layers(requests, FormingSql() if forming else SparkSql())
     df = bars.withColumn("i", F.expr(f"row_number() OVER ({SPEC}) - 1"))
     for layer in steps:
         df = df.withColumns({name: F.expr(text) for name, text in layer.items()})
-    return df.select(*bars.columns, *[F.expr(text).cast("double").alias(name) for name, text in outputs.items()])
+    values = {name: F.expr(text).cast("double") for name, text in outputs.items()}
+    if forming:
+        df = df.withColumns(values)
+        free = {r.prefix + o for r in requests for d, o in STANDING if d == r.definition.id}
+        values = {name: F.col(f"`{name}`") if name in free else F.when(~F.col(FORMING) | _formed(name), F.col(f"`{name}`")) for name in outputs}
+    return df.select(*bars.columns, *[value.alias(name) for name, value in values.items()])
+
+
+def _formed(name: str) -> Column:
+    """Whether a line has had a value on an earlier bar: a bar that is still forming never is a line's first."""
+    return F.expr(f"coalesce(max(CASE WHEN `{name}` IS NOT NULL THEN 1 ELSE 0 END) OVER ({SPEC} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1")
 
 
 def ordered(bars: DataFrame) -> DataFrame:
@@ -103,24 +123,26 @@ def fold_bars(bars: DataFrame, requests: list[Request], in_order: bool = False)
     """
     made = [(RECURSIVE[r.definition.id], r.resolved) for r in requests]
     names = [c for r in requests for c in r.columns]
-    kept = [c for c in bars.columns if c not in names]
+    kept = [*BAR, *[c for c in bars.columns if c not in names and c not in BAR]]
+    flag = kept.index(FORMING) if FORMING in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, folds, i = object(), [], 0
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(BAR)))):
+            flags = repeat(False) if flag is None else batch.column(flag).to_pylist()
+            for forming, *row in zip(flags, *(batch.column(k).to_pylist() for k in range(len(BAR)))):
                 if row[0] != symbol or not folds:
                     symbol, folds, i = row[0], [cls(dict(p)) for cls, p in made], 0
                 bar = Bar(i, *row[1:])
-                out.append(tuple(x for f in folds for x in f.step(bar)))
+                out.append(tuple(x for f in folds for x in (f.preview(bar) if forming else f.commit(bar))))
                 i += 1
             new = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64()) for _ in names]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, *names])
 
     old = ", ".join(f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in kept)
     shape = ", ".join([old, *(f"`{c}` double" for c in names)])
-    rows = bars.select(*BAR, *[c for c in kept if c not in BAR])
+    rows = bars.select(*kept)
     return (rows if in_order else ordered(rows)).mapInArrow(run, shape)
 
 
@@ -139,13 +161,30 @@ def compute(bars: DataFrame, requests: list[Request]) -> DataFrame:
         raise ValueError(f"output columns clash; give prefixes: {sorted(columns)}")
     folds = [r for r in requests if r.definition.id in RECURSIVE]
     windows = [r for r in requests if r.definition.id in WINDOWED]
-    df = bars.select(*BAR)
+    return _computed(bars.select(*BAR), folds, windows).select(*BAR, *columns)
+
+
+def preview(bars: DataFrame, forming: DataFrame, requests: list[Request]) -> DataFrame:
+    """(symbol, time, bar, outputs) for bars that are still forming, one for a symbol at most, after its final ``bars``.
+
+    A forming bar is in no window yet. Most lines give what they would if it closed as
+    it is, but extrema reach over it and all bars of the window, some lines hold it
+    against the bar before, and a line never starts on it. ``bars`` must have every
+    bar of the symbols in ``forming``.
+    """
+    folds = [r for r in requests if r.definition.id in RECURSIVE]
+    windows = [r for r in requests if r.definition.id in WINDOWED]
+    both = bars.select(*BAR, F.lit(False).alias(FORMING)).unionByName(forming.select(*BAR, F.lit(True).alias(FORMING)))
+    return _computed(both, folds, windows).where(FORMING).select(*BAR, *[c for r in requests for c in r.columns])
+
+
+def _computed(df: DataFrame, folds: list[Request], windows: list[Request]) -> DataFrame:
     if windows:
         df = _windowed(df, windows)
     if folds:
         # MapInArrow takes all columns of its input, so the windows, and with them their sort, are never pruned.
         df = fold_bars(df, folds, in_order=bool(windows))
-    return df.select(*BAR, *columns)
+    return df
 
 
 def events(bars: DataFrame, wanted: Request) -> DataFrame:
