@@ -190,16 +190,36 @@ def brute_license(text):
         labels |= {label} if at else set()
     best, extra = 0.0, set()
     for s in range(0, max(len(words) - 33, 0) + 1, 32):
-        block = set(words[s : s + 64])
+        block, shares = set(words[s : s + 64]), {}
         for label, t in licenses.TEMPLATES.items():
             t = set(licenses.template_words(t))
-            if len(t & block) >= math.ceil(0.8 * len(t) - 1e-9):
+            if len(t & block) >= math.ceil(0.8 * len(t) - 1e-9) and set(licenses.MUST.get(label, "").split()) <= block:
+                shares[label] = len(t & block) / len(t)
+        for label, share in shares.items():
+            if not set(licenses.NARROWER.get(label, "").split()) & set(shares):
                 extra.add(label)
-                best = max(best, len(t & block) / len(t))
+                best = max(best, share)
     first, last = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), first, last, ",".join(sorted(labels)), ",".join(sorted(labels | extra)), 1.0 if labels else best
 
 
+def test_licences_that_differ_by_a_word_get_their_own_labels(spark):
+    said = {
+        "This work is licensed under the GNU General Public License version 3": {"gpl", "gpl-3.0"},
+        "licensed under the GNU General Public License version 3": {"gpl"},
+        "Licensed under the GNU Affero General Public License version 3": {"agpl-3.0"},
+        "licensed under the GNU Lesser General Public License": {"lgpl"},
+        "licensed under CC BY 4.0 Creative Commons Attribution": {"cc-by", "cc-by-4.0"},
+        "licensed under CC BY SA 4.0": {"cc-by", "cc-by-sa-4.0"},
+        "Licensed under CC BY NC 4.0 Creative Commons Attribution": {"cc-by", "cc-by-nc-4.0"},
+        "the film was released under the new license": set(),
+        "released under the MIT License": {"mit", "mit-notice"},
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files": {"mit-text"},
+    }
+    found = {r.text: r.labels for r in licenses.scan(spark.createDataFrame([(t,) for t in said], "text string")).collect()}
+    assert found == {t: ",".join(sorted(x)) for t, x in said.items()}
+
+
 def test_licenses_against_brute_force(spark, none):
     texts = [r[1] for r in odd_rows()] + [
         "MIT License MIT license; the GNU General   Public-License. CC BY-NC 4.0", "licensed under the Apache license, version 2.0 " * 3,

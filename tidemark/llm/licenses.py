@@ -10,6 +10,10 @@ an entry becomes a candidate if the block has c template words at all (length),
 and if from that word on both sides still have c words in the order (position:
 the first word they share always passes).
 Candidates are verified by the intersection itself.
+
+One word can be all that tells two licences apart. So a template can have words that
+must be there, whatever share of the others is, and of two templates that match in one
+block the narrower one can stand for both.
 """
 
 from __future__ import annotations
@@ -57,17 +61,23 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: Words without which a template does not match.
+MUST = {"agpl-3.0": "affero", "cc-by-nc-4.0": "cc nc", "cc-by-sa-4.0": "cc sa", "gpl-3.0": "gnu general", "lgpl": "lesser", "mit-notice": "mit", "mpl-2.0": "mozilla"}
+#: Templates that are meant where they match in the same block as the one named first.
+NARROWER = {"cc-by-4.0": "cc-by-nc-4.0 cc-by-sa-4.0", "gpl-3.0": "agpl-3.0 lgpl", "gpl-notice": "agpl-3.0 lgpl"}
 
 FOUND = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks")
 
 
 @dataclass(frozen=True)
 class Template:
-    """``words`` distinct, rarest first; ``need`` of them make a match."""
+    """``words`` distinct, rarest first; ``need`` of them with all of ``must`` make a match, unless one of ``narrower`` does."""
 
     label: str
     words: tuple[str, ...]
     need: int
+    must: tuple[str, ...] = ()
+    narrower: tuple[str, ...] = ()
 
     @property
     def indexed(self) -> tuple[str, ...]:
@@ -90,6 +100,11 @@ def template_table(templates: dict[str, str] | DataFrame) -> dict[str, str]:
     return {r.label: r.text for r in rows if template_words(r.text)}
 
 
+def rules_of(templates: dict[str, str] | DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """``MUST`` and ``NARROWER`` for the templates they are about; own templates have none."""
+    return (MUST, NARROWER) if templates is TEMPLATES else ({}, {})
+
+
 def words_of(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
@@ -99,14 +114,16 @@ def ordered_templates(docs: DataFrame, text_col: str = "text", templates: dict[s
 
     Every text counts. What comes to the driver is one number for each template word.
     """
-    vocabulary = sorted({w for t in [*templates.values(), *PHRASES] for w in template_words(t)})
+    must, narrower = rules_of(templates)
+    vocabulary = sorted({w for t in [*templates.values(), *PHRASES, *must.values()] for w in template_words(t)})
     has = F.array_intersect(F.lit(vocabulary), words_of(lower_ascii(text_col)))
     counts = {r[0]: r[1] for r in docs.select(F.explode(has).alias("w")).groupBy("w").count().collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     out = []
     for label, text in sorted(templates.items()):
         words = sorted(template_words(text), key=order.index)
-        out.append(Template(label, tuple(words), math.ceil(threshold * len(words) - 1e-9)))
+        need = math.ceil(threshold * len(words) - 1e-9)
+        out.append(Template(label, tuple(words), need, tuple(template_words(must.get(label, ""))), tuple(narrower.get(label, "").split())))
     return out, order
 
 
@@ -135,6 +152,13 @@ def template_matches(words: Column, templates: list[Template], order: list[str],
     ])
     known = F.create_map(*[x for t in templates for x in (F.lit(t.label), F.lit(list(t.words)))])
     needs = F.create_map(*[x for t in templates for x in (F.lit(t.label), F.lit(t.need))])
+    none = F.lit([]).cast("array<string>")
+
+    def listed(of: dict[str, tuple[str, ...]]) -> Column:
+        pairs = [x for label, words in of.items() if words for x in (F.lit(label), F.lit(list(words)))]
+        return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,array<string>>")
+
+    must, narrower = listed({t.label: t.must for t in templates}), listed({t.label: t.narrower for t in templates})
     indexed = F.lit(sorted({w for t in templates for w in t.indexed}))
 
     def verified(block: Column) -> Column:
@@ -150,7 +174,10 @@ def template_matches(words: Column, templates: list[Template], order: list[str],
                 x.alias("label"), (F.size(F.array_intersect(known[x], block)) / F.size(known[x])).alias("share"), F.size(known[x]).alias("n")
             ),
         )
-        return F.filter(shares, lambda s: s["share"] * s["n"] + 1e-9 >= needs[s["label"]])
+        alike = F.filter(shares, lambda s: s["share"] * s["n"] + 1e-9 >= needs[s["label"]])
+        whole = F.filter(alike, lambda s: F.size(F.array_except(F.coalesce(must[s["label"]], none), block)) == 0)
+        labels = F.transform(whole, lambda s: s["label"])
+        return F.filter(whole, lambda s: ~F.arrays_overlap(F.coalesce(narrower[s["label"]], none), labels))
 
     kept = F.transform(blocks_of(words, block), lambda b: F.array_intersect(vocabulary, b))
     probing = F.filter(kept, lambda b: F.arrays_overlap(b, indexed))
@@ -226,7 +253,11 @@ def oracle(table: str = "documents") -> str:
     """The same result by brute force: every block against every template."""
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({template_words(t)!r}, '{label}', {math.ceil(THRESHOLD * len(template_words(t)) - 1e-9)})" for label, t in TEMPLATES.items())
+    templates = ", ".join(
+        f"({template_words(t)!r}, '{label}', {math.ceil(THRESHOLD * len(template_words(t)) - 1e-9)}, CAST({template_words(MUST.get(label, ''))!r} AS VARCHAR[]), "
+        f"CAST({NARROWER.get(label, '').split()!r} AS VARCHAR[]))"
+        for label, t in TEMPLATES.items()
+    )
     word, block = WORD.replace("'", "''"), block_words(TEMPLATES)
     return f"""
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, {lowered} AS t FROM {table}),
@@ -240,15 +271,17 @@ def oracle(table: str = "documents") -> str:
           SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM hits GROUP BY k
         ),
         blocks AS (
-          SELECT k, ws[pos + 1 : pos + {block}] AS b
+          SELECT k, pos, ws[pos + 1 : pos + {block}] AS b
           FROM (SELECT k, ws, unnest(range(0, greatest(len(ws) - {1 + block // 2}, 0) + 1, {block // 2})) AS pos FROM w WHERE len(ws) > 0)
         ),
-        t(words, label, need) AS (VALUES {templates}),
-        m AS (
-          SELECT k, label, max(c / n) AS share FROM (
-            SELECT k, label, need, len(words) AS n, len(list_intersect(words, b)) AS c FROM blocks, t
-          ) WHERE c >= need GROUP BY k, label
+        t(words, label, need, must, narrower) AS (VALUES {templates}),
+        alike AS (
+          SELECT k, pos, label, narrower, c / n AS share FROM (
+            SELECT k, pos, label, need, narrower, len(words) AS n, len(list_intersect(words, b)) AS c, len(must) - len(list_intersect(must, b)) AS missing FROM blocks, t
+          ) WHERE c >= need AND missing = 0
         ),
+        met AS (SELECT k, pos, list(label) AS labels FROM alike GROUP BY k, pos),
+        m AS (SELECT k, label, max(share) AS share FROM alike JOIN met USING (k, pos) WHERE len(list_intersect(narrower, labels)) = 0 GROUP BY k, label),
         method AS (SELECT k, list(label) AS labels, max(share) AS share FROM m GROUP BY k)
         SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
                array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
