@@ -22,6 +22,10 @@ class Formula:
 class Dialect:
     """What the two engines write alike."""
 
+    def taken(self) -> dict[str, str]:
+        """Outputs besides those of a formula that its expressions need: none."""
+        return {}
+
     def over(self, n: int) -> str:
         return f"OVER ({SPEC} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -167,6 +171,56 @@ class FormingSql(SparkSql):
         return f"CASE WHEN forming THEN {preview} ELSE {commit} END"
 
 
+class ResumingSql(FormingSql):
+    """For the last bars of a series, with what the bars before them have come to in an array ``carry``.
+
+    Running totals, first and last values go on from there. What they have come to after
+    each bar is in outputs ``carry_0``, ``carry_1``, .. of the formula, for the bars that
+    follow once this one is let go. Outputs ``among_0``, .. tell which bars count where
+    a window is over bars of one kind, and ``reach`` of how many.
+    """
+
+    def __init__(self) -> None:
+        self.slots = 0
+        self.kinds: list[int] = []
+        self._made: dict[str, str] = {}
+
+    def taken(self) -> dict[str, str]:
+        """The outputs that the expressions since the last call need."""
+        made, self._made = self._made, {}
+        return made
+
+    def _slot(self, after: str) -> str:
+        name, self.slots = f"carry_{self.slots}", self.slots + 1
+        self._made[name] = after.replace("@", f"carry[{self.slots - 1}]")
+        return f"carry[{self.slots - 1}]"
+
+    def _kind(self, where: str, n: int) -> None:
+        self._made[f"among_{len(self.kinds)}"] = f"CAST({where} AS DOUBLE)"
+        self.kinds.append(n + 1)
+
+    def cumulative(self, x: str) -> str:
+        here = f"CAST(sum({x}) {self.so_far} AS DOUBLE)"
+        text = f"CASE WHEN @ IS NULL THEN {here} ELSE @ + coalesce({here}, {self.number(0)}) END"
+        return f"({text})".replace("@", self._slot(text))
+
+    def before(self, x: str) -> str:
+        carried = self._slot(f"coalesce(CAST(last_value({self.known(x)}) {self.so_far} AS DOUBLE), @)")
+        return f"coalesce({super().before(x)}, {carried})"
+
+    def first(self, x: str) -> str:
+        text = f"coalesce(@, CAST(first_value({self.known(x)}) {self.so_far} AS DOUBLE))"
+        return text.replace("@", self._slot(text))
+
+    def among(self, call: str, where: str, n: int) -> str:
+        self._kind(where, n)
+        return super().among(call, where, n)
+
+    def earlier(self, x: str, where: str, k: int) -> str:
+        self._kind(where, k)
+        return super().earlier(x, where, k)
+
+
 class DuckSql(Dialect):
     def known(self, x: str) -> str:
         return f"{x} IGNORE NULLS"

@@ -169,7 +169,8 @@ def vwap(q: Dialect, p: dict) -> Formula:
 
 @indicator("TimeWeightedAveragePrice")
 def twap(q: Dialect, p: dict) -> Formula:
-    return line(f"CASE WHEN tp IS NOT NULL THEN avg(tp) {q.so_far} END", ("tp", TP))
+    steps = [("tp", TP), ("there", q.flag(q.both("tp")))]
+    return line(f"CASE WHEN there = 1 THEN {q.cumulative('tp')} / {q.cumulative('there')} END", *steps)
 
 
 @indicator("WilliamsAccumulationDistribution")
@@ -491,7 +492,7 @@ def detrended_price(q: Dialect, p: dict) -> Formula:
     back = min(n - 1, n // 2 + 1)
     steps = [
         ("m", q.mean("close", n)), ("ok", q.flag(q.both("m"))), ("met", f"CASE WHEN ok = 1 THEN {q.earlier('m', 'ok', back)} END"),
-        ("kept", f"coalesce(met, {q.before('met')})"), ("means", f"count(m) {q.so_far}"),
+        ("kept", f"coalesce(met, {q.before('met')})"), ("means", q.cumulative("ok")),
     ]
     return line(f"CASE WHEN means >= {n} THEN close - {q.forms(q.lag('kept'), 'kept')} END", *steps)
 

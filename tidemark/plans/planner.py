@@ -60,6 +60,7 @@ def layers(requests: Iterable[Request], dialect: Dialect) -> tuple[list[dict[str
     outputs: dict[str, str] = {}
     for r in requests:
         formula = WINDOWED[r.definition.id](dialect, r.resolved)
+        hidden = dialect.taken()
         local: dict[str, str] = {}
 
         def named(text: str, local: dict[str, str] = local) -> str:
@@ -79,6 +80,7 @@ def layers(requests: Iterable[Request], dialect: Dialect) -> tuple[list[dict[str
             local[name] = names[text]
         for name, text in formula.outputs.items():
             outputs[r.prefix + name] = named(text)
+        outputs |= {name: named(text) for name, text in hidden.items()}
     return steps, outputs
 
 
@@ -182,8 +184,8 @@ def _computed(df: DataFrame, folds: list[Request], windows: list[Request]) -> Da
     if windows:
         df = _windowed(df, windows)
     if folds:
-        # MapInArrow takes all columns of its input, so the windows, and with them their sort, are never pruned.
-        df = fold_bars(df, folds, in_order=bool(windows))
+        # MapInArrow takes all columns of its input, so the windows are never pruned. Windows over bars of one kind leave those together.
+        df = fold_bars(df.sortWithinPartitions("symbol", "time") if windows else df, folds, in_order=bool(windows))
     return df
 
 

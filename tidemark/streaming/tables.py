@@ -1,23 +1,25 @@
-"""Any indicator over a stream of bars, by the plans that batches use.
-
-Final bars are kept as Parquet, a part for each micro-batch; a micro-batch that is run
-again writes its part again. Of a bar that stands in several parts the last one
-counts, so a final bar that is sent again is a correction. The symbols that a
-micro-batch touches are computed from their bars as they are after it and as they
-were before it, and ``sink`` gets what differs. Work follows the length of the
-touched series; ``folds`` has a constant cost a bar, for recursive indicators alone.
+"""Any indicator over a stream of bars.
+
+``stream_bars`` has a cost a bar that does not grow with the series. Indicators that
+place values on earlier bars have ``stream_events``: final bars are kept as Parquet, a
+part for each micro-batch; a micro-batch that is run again writes its part again. Of a
+bar that stands in several parts the last one counts, so a final bar that is sent again
+is a correction. The symbols that a micro-batch touches are computed from their bars as
+they are after it and as they were before it, and ``sink`` gets what differs. Its work
+follows the length of the touched series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..model import BAR, PRICES
-from ..plans.planner import Request, compute, events
+from ..plans.planner import Request, events
+from .runtime import HISTORY, Runtime
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -36,40 +38,15 @@ def _kept(batch: DataFrame, number: int, folder: str) -> tuple[DataFrame, DataFr
     return known(mine), known(mine.where(F.col("part") < number))
 
 
-def stream_bars(bars: DataFrame, requests: list[Request], folder: str, sink: Sink) -> DataStreamWriter:
-    """Give ``sink`` (symbol, time, kind, outputs) of each micro-batch of (bar columns, is_final).
+def stream_bars(bars: DataFrame, requests: list[Request], folder: str, sink: Sink, history: int = HISTORY) -> DataStreamWriter:
+    """Give ``sink`` (symbol, time, kind, outputs) of each micro-batch of (bar columns, is_final, command).
 
     ``kind`` is append for a new bar, correction where a value of an earlier bar
-    changed, preview for the last bar that is not final yet (its value if it closed as
-    it is; nothing is kept of it), or rejected for such a bar that is not after the
-    final ones. ``folder`` is one that all executors share. Start what comes back with
-    a checkpoint location of its own.
+    changed, preview for the bar that is not final yet, remove for a bar that was taken
+    back, or rejected for what is too old. ``runtime`` tells the rest. ``folder`` is one
+    that all executors share. Start what comes back with a checkpoint location of its own.
     """
-    columns = [c for r in requests for c in r.columns]
-
-    def changed() -> Column:
-        differs = F.lit(False)
-        for c in columns:
-            differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-        return differs
-
-    def each(batch: DataFrame, number: int) -> None:
-        after, before = _kept(batch, number, folder)
-        old = compute(before, requests).select(F.col("symbol").alias("_symbol"), F.col("time").alias("_time"), *[F.col(c).alias(f"_{c}") for c in columns])
-        new = compute(after, requests)
-        met = new.join(old, (new["symbol"] == old["_symbol"]) & (new["time"] == old["_time"]), "left")
-        kind = F.when(F.col("_time").isNull(), "append").when(changed(), "correction").alias("kind")
-        said = met.select("symbol", "time", kind, *columns).where("kind is not null")
-        ends = after.groupBy(F.col("symbol").alias("_symbol")).agg(F.max("time").alias("_end"))
-        forming = batch.where("not is_final").groupBy("symbol").agg(F.max_by(F.struct("time", *PRICES), "time").alias("last")).select("symbol", "last.*")
-        placed = forming.join(ends, forming["symbol"] == ends["_symbol"], "left").withColumn("late", F.coalesce(F.col("time") <= F.col("_end"), F.lit(False)))
-        open_bars = placed.where("not late").select(*BAR)
-        with_open = compute(after.join(open_bars.select("symbol"), "symbol", "left_semi").unionByName(open_bars), requests)
-        previews = with_open.join(open_bars.select("symbol", "time"), ["symbol", "time"], "left_semi").select("symbol", "time", F.lit("preview").alias("kind"), *columns)
-        rejected = placed.where("late").select("symbol", "time", F.lit("rejected").alias("kind"), *[F.lit(None).cast("double").alias(c) for c in columns])
-        sink(said.unionByName(previews).unionByName(rejected), number)
-
-    return bars.writeStream.foreachBatch(each)
+    return Runtime(folder, requests, history).stream(bars, sink)
 
 
 def stream_events(bars: DataFrame, wanted: Request, folder: str, sink: Sink) -> DataStreamWriter:
