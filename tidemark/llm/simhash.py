@@ -36,7 +36,7 @@ KEYS = 16
 #: One text in so many tells which shingles are common; at most so many, met so often, are put last in the order.
 ORDER_SHARE, ORDER_TIMES, ORDER_MOST = 32, 4, 1 << 17
 #: What a task holds at a time: pairs it has found, and texts of a key that are compared with as many others.
-PAIRS_AT_ONCE, TILE = 1 << 17, 512
+PAIRS_AT_ONCE, TILE = 1 << 17, 128
 #: Hashes of a list that travels; texts with more are counted pair by pair.
 LISTED = 256
 
