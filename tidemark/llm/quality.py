@@ -116,7 +116,7 @@ def fit_weights(rows: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS,
                 dual[i] = new
         if worst < 1e-4:
             break
-    used = weights != 0
+    used = np.abs(weights) > 1e-9  # of what is rounding alone the sign is chance
     mean = np.abs(weights[used]).mean() if used.any() else 0.0
     drawn = np.where(used, (1 - MEAN_SHARE) * weights + MEAN_SHARE * mean * np.sign(weights), 0)
     return drawn * ratios
