@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_indicators import SCHEMA, smooth
 from tidemark.plans import scan
 from tidemark.plans.planner import compute, request
+from tidemark.plans.queries import built_oracles, built_queries
 
 
 def gappy(rows, at):
@@ -56,3 +57,7 @@ def test_odd_series(spark):
     with pytest.raises(ValueError):
         scan.long_series(spark.createDataFrame([], SCHEMA), request("Highest"), 60)
     assert scan.long_series(spark.createDataFrame([], SCHEMA), request("ExponentialMovingAverage")).count() == 0
+
+
+def test_what_is_built_on_indicators_has_sql():
+    assert set(built_queries()) == set(built_oracles()) == {"preview_lines", *(f"long_{name}" for name in scan.LINEAR)}

@@ -103,8 +103,16 @@ def _preview_sql() -> str:
 
 
 def indicator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(request(name)) for name in DEFINITIONS}
-    return found | {f"long_{name}": _long_query(request(name)) for name in LINEAR} | {"preview_lines": preview_lines}
+    return {f"ind_{name}": (_event_query if name in RELOCATED else _line_query)(request(name)) for name in DEFINITIONS}
+
+
+def built_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries of what is built on the indicators: long series, and bars that are still forming."""
+    return {f"long_{name}": _long_query(request(name)) for name in LINEAR} | {"preview_lines": preview_lines}
+
+
+def built_oracles() -> dict[str, str]:
+    return {f"long_{name}": fold_sql(request(name)) for name in LINEAR} | {"preview_lines": _preview_sql()}
 
 
 def indicator_oracles() -> dict[str, str]:
@@ -117,7 +125,6 @@ def indicator_oracles() -> dict[str, str]:
             found[f"ind_{name}"] = fold_sql(request(name), _digits(name))
         elif name in RELOCATED:
             found[f"ind_{name}"] = event_sql(request(name))
-    found |= {f"long_{name}": fold_sql(request(name)) for name in LINEAR} | {"preview_lines": _preview_sql()}
     parts = [(windowed_sql if r.definition.id in WINDOWED else fold_sql)(r) for r in FLAGSHIP]
     joined = parts[0]
     for part in parts[1:]:
