@@ -1,13 +1,13 @@
 """Recursive indicators over a stream of bars.
 
 A row is a bar with ``is_final``. Final bars in order of time are committed. A bar
-that is not final is a preview: it is computed on a copy of the state and changes
+that is not final is a preview, by the folds' preview arithmetic, and changes
 nothing. A final bar for a time that has been committed is a correction: it is put
 in its place and everything after it is computed again. Corrections reach back
 ``history`` bars; the folds' state before those is kept, so state does not grow
 with a series.
 
-A preview is the value the bar would have if it closed as it is.
+``runtime`` does the same for all indicators, and more.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Series:
 
     def _step(self, folds: list, i: int, row: tuple) -> tuple:
         bar = Bar(i, *row)
-        return tuple(x for f in folds for x in f.step(bar))
+        return tuple(x for f in folds for x in f.commit(bar))
 
     def commit(self, row: tuple) -> tuple:
         value = self._step(self.tail, self.first + len(self.bars), row)
@@ -51,7 +51,8 @@ class Series:
         return value
 
     def preview(self, row: tuple) -> tuple:
-        return self._step(pickle.loads(pickle.dumps(self.tail)), self.first + len(self.bars), row)
+        bar = Bar(self.first + len(self.bars), *row)
+        return tuple(x for f in self.tail for x in f.preview(bar))
 
     def correct(self, row: tuple) -> list[tuple[int, tuple]] | None:
         """(time, values) that changed; None if there is no such bar to correct."""
