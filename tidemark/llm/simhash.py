@@ -261,6 +261,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     """The (a, b) of ``pairs`` whose (id, text) rows share ``similarity`` of their shingles or more."""
     wanted = table(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
     sets = table(_shingles(docs.join(wanted.hint("merge"), docs["id"] == wanted["_id"], "left_semi"), words))
+    release(docs.sparkSession.sparkContext)
     mine = pairs.join(sets.hint("merge"), pairs["a"] == sets["id"]).select("a", "b", "shingles")
     other = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("_shingles"))
     both = mine.join(other.hint("merge"), mine["b"] == other["_id"]).select("a", "b", "shingles", "_shingles")
@@ -463,6 +464,7 @@ def crossing_links(docs: DataFrame, roots: DataFrame, words: int = SHINGLE_WORDS
 
     rooted = docs.join(roots.hint("merge"), docs["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "text")
     posted = table(rooted.mapInArrow(post, "key bigint, node bigint, root bigint, size bigint"))
+    release(docs.sparkSession.sparkContext)  # the texts went through an exchange
     several = posted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     kept = table(several.select(F.col("key").alias("_key")))
     crossing = table(posted.join(kept, F.col("key") == F.col("_key")).drop("_key"))
@@ -502,6 +504,7 @@ def keep_one(
             # One row for each text; texts with one fingerprint can differ, so each is linked to the fingerprint's own.
             texts = table(known.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("id").alias("_rep")).select("_rep").distinct())
             first = table(known.join(texts.hint("merge"), known["id"] == texts["_rep"], "left_semi"))
+            release(docs.sparkSession.sparkContext)
             same = every.join(texts, every["id"] == texts["_rep"], "left_semi").join(distinct.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
             links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
             links = links.unionByName(leader_links(first, similarity=similarity))
