@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 
 #: Texts that a task unpacks at a time.
 TEXTS_AT_ONCE = 512
+#: What an Arrow batch to a Python task holds at most; Spark's own limit is 10,000 rows of any size.
+BATCH_BYTES, BATCH_LIMIT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +128,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     there = context._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(there)
     written = spark.read.schema(df.schema).parquet(path)
@@ -135,6 +138,19 @@ def table(df: DataFrame) -> DataFrame:
     return written
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run within has Arrow batches of ``BATCH_BYTES``, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_LIMIT, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+
+
 def forget(written: DataFrame) -> None:
     """Delete the files of a ``table`` from which nothing will be read again."""
     context = written.sparkSession.sparkContext
