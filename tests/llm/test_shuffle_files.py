@@ -1,0 +1,20 @@
+"""Shuffle files go before the next large exchange of op1."""
+
+from tidemark.llm import suffix_dedup
+
+
+def test_exchanges_are_let_go_before_the_next_one(spark, monkeypatch):
+    steps = []
+    table, release, level = suffix_dedup.table, suffix_dedup.release, suffix_dedup._level
+    monkeypatch.setattr(suffix_dedup, "table", lambda df: steps.append("table") or table(df))
+    monkeypatch.setattr(suffix_dedup, "release", lambda context: steps.append("release") or release(context))
+    monkeypatch.setattr(suffix_dedup, "_level", lambda *given: steps.append("level") or level(*given))
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text), (2, "and " + text), (3, "other")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.repeat_digests(docs).collect()} == {1: True, 2: True, 3: False}
+    rounds = " ".join(steps).split("level ")[1:]
+    assert len(rounds) == 3
+    for k, made in enumerate(rounds):
+        # anchors, buckets, what met and runs; then the symbols of the next round, whose exchange goes before that begins
+        assert made.startswith("table table release table release table")
+        assert k == 2 or made.rstrip().endswith("table release")
