@@ -237,7 +237,6 @@ def _level(texts: DataFrame, kinds: list[Repeats], level: int) -> tuple[DataFram
     twice = F.when(F.col("_kind").isin(across), F.col("p") < F.col("q")).otherwise(F.col("n") > 1) if across else F.col("n") > 1
     grams = rows.groupBy("gram").agg(*counts, F.min("run").alias("a"), F.max("run").alias("b"))
     shared = table(grams.where(twice).select(F.col("gram").alias("_gram"), (F.col("a") != F.col("b")).alias("many")))
-    release(texts.sparkSession.sparkContext)  # the counts' exchange, before the one of all rows
     met = table(rows.join(shared, rows["gram"] == shared["_gram"]).drop("_gram"))
     forget(rows)
     forget(shared)
@@ -304,7 +303,6 @@ def repeated_windows(docs: DataFrame, kinds: list[Repeats]) -> DataFrame:
         before, texts = texts, _fetch(texts, left, kinds, whole=level == 1)
         if level > 1:
             forget(before)
-        release(docs.sparkSession.sparkContext)  # the texts went through an exchange
         more, left = _level(texts, kinds, level)
         found = found.unionByName(more)
     return found.groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "lo", "hi", "more")).alias("windows"))
