@@ -1,9 +1,12 @@
 """Divergence of sources against plain Python with whole numbers of any size, and odd rows."""
 
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,32 @@ def test_odd_rows(spark):
     assert sorted(tuple(r) for r in divergence.audit(clashing, blocks=2).collect()) == brute(rows)
     with pytest.raises(ValueError):
         divergence.audit(clashing, blocks=3)
+
+
+def test_words_are_counted_as_numbers_in_less_time_than_by_counters():
+    draw = random.Random(3)
+    known = ["".join(draw.choices("abcdefghij\u00e9", k=6)) for _ in range(20_000)]
+    rows = [(f"l{k % 2}", f"s{k % 5}", " ".join(draw.choices(known, k=300)).title()) for k in range(2000)] + [("l0", "none", "1 _ 2"), ("l1", "s1", "")]
+    given = pa.record_batch([pa.array(x, pa.string()) for x in zip(*rows)], names=["lang", "source", "text"])
+
+    began = time.process_time()
+    occurrences, holders = defaultdict(Counter), defaultdict(Counter)
+    for lang, source, text in rows:
+        mine = Counter(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.encode().lower().decode()))
+        occurrences[lang, source].update(mine)
+        holders[lang, source].update(mine.keys())
+    plain = time.process_time() - began
+    want = {(*g, t): (n, holders[g][t]) for g, found in occurrences.items() for t, n in found.items()} | {(*g, None): (0, 0) for g in occurrences}
+
+    took = []
+    for held in (divergence.HELD, 30_000):
+        began = time.process_time()
+        out = list(divergence.counted(iter([given]), held))
+        took.append(time.process_time() - began)
+        met = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert held == 30_000 or len(met) == len(want)
+        got = defaultdict(lambda: (0, 0))
+        for lang, source, term, n, docs in met:
+            got[lang, source, term] = (got[lang, source, term][0] + n, got[lang, source, term][1] + docs)
+        assert got == want
+    assert took[0] < plain

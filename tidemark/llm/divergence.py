@@ -27,11 +27,11 @@ gives no rows. Only the three columns are read, whatever others there are.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -47,44 +47,74 @@ TERMS = 200
 BLOCKS = 8
 #: Kept (group, word) counts in a slice.
 PER_SLICE = 100_000
-#: Counts that a task holds before it hands them on.
-HELD = 200_000
-WORD = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: Counts that a task holds before it hands them on, and rows that it hands on together.
+HELD, ROWS_AT_ONCE = 1_000_000, 1 << 16
+COUNTS = ["lang", "source", "term", "n", "docs"]
+#: Bits of a word's number, below that of its group or text.
+WORD_BITS = 32
+#: A-Z lower-cased, and a space for each byte of ASCII that is no letter.
+FOLDED = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters and of characters beyond ASCII, with A-Z lower-cased."""
-    return WORD.findall(text.encode().lower().decode())
+def words(text: bytes) -> list[bytes]:
+    """Runs of letters and of characters beyond ASCII, with A-Z lower-cased; a character beyond ASCII has no byte below 128."""
+    return text.translate(FOLDED).split()
+
+
+def counted(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of (lang, source, text) batches; each group and word once for about ``held`` of them.
+
+    Words and groups are numbered as they come, and counted as numbers.
+    """
+    groups: defaultdict[tuple, int] = defaultdict(count().__next__)
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+    sums: list[np.ndarray] = []
+
+    def added(parts: list[np.ndarray]) -> np.ndarray:
+        """(3, n): group and word in one number, n and docs, summed for each number."""
+        key, n, docs = np.concatenate(parts, axis=1)
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.diff(key[order], prepend=-1))
+        return np.stack([key[order][start], *(np.add.reduceat(x[order], start) if len(start) else x for x in (n, docs))])
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array(x, pa.string()) for x in zip(*groups))
+        own = np.arange(len(groups), dtype=np.int64)
+        terms = pa.array(numbers, pa.binary()).cast(pa.string())
+        none = np.zeros(len(own), np.int64)
+        yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(own), pa.string()), pa.array(none), pa.array(none)], COUNTS)
+        key, n, docs = added(sums)
+        for at in range(0, len(key), ROWS_AT_ONCE):
+            some = slice(at, at + ROWS_AT_ONCE)
+            group, word = pa.array(key[some] >> WORD_BITS), pa.array(key[some] & ((1 << WORD_BITS) - 1))
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), terms.take(word), pa.array(n[some]), pa.array(docs[some])], COUNTS)
+        sums.clear()
+        for numbering in (groups, numbers):
+            numbering.clear()
+            numbering.default_factory = count().__next__
+
+    for batch in parts(batches):
+        texts = [words(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        group = np.fromiter((groups[g] for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), np.int64, len(texts))
+        word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        # A text's words first, as each text counts once for its documents.
+        mine, n = np.unique((np.repeat(np.arange(len(texts)), sizes) << WORD_BITS) | word, return_counts=True)
+        key = (group[mine >> WORD_BITS] << WORD_BITS) | (mine & ((1 << WORD_BITS) - 1))
+        sums.append(added([np.stack([key, n, np.ones(len(key), np.int64)])]))
+        if sum(x.shape[1] for x in sums) > held * 3 // 2:
+            sums[:] = [added(sums)]
+            if sums[0].shape[1] > held:
+                yield from handed_on()
+    if groups:
+        yield from handed_on()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents with the word; a row with a null term for each group."""
-    shape = "lang string, source string, term string, n bigint, docs bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences: dict[tuple, Counter] = {}
-        holders: dict[tuple, Counter] = {}
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            for group, found in occurrences.items():
-                held = holders[group]
-                terms = [None, *found]
-                columns = [[group[0]] * len(terms), [group[1]] * len(terms), terms, [0, *found.values()], [0, *(held[t] for t in found)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], ["lang", "source", "term", "n", "docs"])
-            occurrences.clear()
-            holders.clear()
-
-        for batch in parts(batches):
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = Counter(words(text))
-                occurrences.setdefault((lang, source), Counter()).update(mine)
-                holders.setdefault((lang, source), Counter()).update(mine.keys())
-            if sum(map(len, occurrences.values())) > HELD:
-                yield from counted()
-        yield from counted()
-
     given = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found = given.mapInArrow(run, shape)
+    held = HELD
+    found = given.mapInArrow(lambda batches: counted(batches, held), "lang string, source string, term string, n bigint, docs bigint")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
